@@ -66,9 +66,11 @@ def _unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(get("docs", np.int64), get("counts", np.uint32)), get("places", np.uint32), get("prints", np.uint64)
 
 
-def _by_document(doc: np.ndarray, place: np.ndarray) -> pa.Table:
+def _merged(t: pa.Table) -> pa.Table:
+    """One row for each document of a part, with all of its positions."""
+    doc, place, _ = _unpack(t)
     order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order].astype(np.uint32)
+    doc, place = doc[order], place[order]
     first, _ = C.runs(doc)
     blobs = [place[a:b].tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)])]
     return pa.table({"doc_id": pa.array(doc[first], pa.int64()), "places": pa.array(blobs, pa.binary())})
@@ -122,12 +124,19 @@ def _send_samples(groups: int, window: int):
     return run
 
 
-def _shared_samples(t: pa.Table) -> pa.Table:
-    settled = np.array([not len(x) for x in t.column("prints").to_pylist()])
-    known_doc, known_place, _ = _unpack(t.filter(pa.array(settled)))
-    doc, place, prints = _unpack(t.filter(pa.array(~settled)))
-    _, shared = _nodes(prints, doc)
-    return _by_document(np.concatenate([known_doc, doc[shared]]), np.concatenate([known_place, place[shared]]))
+def _answers(parts: int, smallest_too: bool):
+    """For a group: which occurrences lie on a node that two documents share, packed by the documents' part."""
+
+    def run(t: pa.Table) -> pa.Table:
+        settled = np.array([not len(x) for x in t.column("prints").to_pylist()])
+        known_doc, known_place, _ = _unpack(t.filter(pa.array(settled)))
+        doc, place, prints = _unpack(t.filter(pa.array(~settled)))
+        smallest, shared = _nodes(prints, doc)
+        told = shared if smallest_too else shared & ~smallest
+        doc, place = np.concatenate([known_doc, doc[told]]), np.concatenate([known_place, place[told]])
+        return pa.Table.from_batches([_pack(doc % parts, doc, place)])
+
+    return run
 
 
 class _Prefixes:
@@ -180,9 +189,8 @@ def _send_suffixes(prefixes: _Prefixes, window: int):
                 continue
             f8, whole = C.grams(h, SAMPLE), C.grams(h, window)
             shared = np.zeros(len(h), bool)
-            for k, lists in enumerate(t.column("places").to_pylist()):
-                for blob in lists:
-                    shared[offsets[k] + np.frombuffer(blob, np.uint32)] = True
+            for k, blob in enumerate(t.column("places").to_pylist()):
+                shared[offsets[k] + np.frombuffer(blob, np.uint32)] = True
             at = at[shared[_sampled(f8, at, window)]]
             if not len(at):
                 continue
@@ -199,23 +207,14 @@ def _send_suffixes(prefixes: _Prefixes, window: int):
     return run
 
 
-def _subtree(t: pa.Table) -> pa.Table:
-    settled = np.array([not len(x) for x in t.column("prints").to_pylist()])
-    known_doc, known_place, _ = _unpack(t.filter(pa.array(settled)))
-    doc, place, prints = _unpack(t.filter(pa.array(~settled)))
-    smallest, inner = _nodes(prints, doc)
-    lost = inner & ~smallest
-    return _by_document(np.concatenate([known_doc, doc[lost]]), np.concatenate([known_place, place[lost]]))
-
-
 def _spans(window: int):
     """Merges the removed windows of each document to spans of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans = []
-            for blobs in b.column("places").to_pylist():
-                p = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in blobs])).astype(np.int64)
+            for blob in b.column("places").to_pylist():
+                p = np.frombuffer(blob, np.uint32).astype(np.int64)
                 new = np.flatnonzero(np.diff(p, prepend=-window - 1) > window)
                 last = np.append(new[1:], len(p)) - 1
                 spans.append([{"start": int(s), "end": int(e) + window} for s, e in zip(p[new], p[last])])
@@ -230,17 +229,17 @@ def repeated_spans(docs: DataFrame, window: int = 13, group_bytes: int = GROUP_B
     C.small_batches(docs.sparkSession)
     texts = C.documents(docs)
     n_docs, n_bytes = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    groups = max(1, n_bytes // group_bytes)
+    groups, parts = max(1, n_bytes // group_bytes), max(1, n_bytes // (4 * group_bytes))
     hashed = lambda df: df.withColumn("h", C.word_hashes(F.col("text"))).drop("text")
     samples = hashed(texts).mapInArrow(_send_samples(groups, window), _PACKED)
-    shared = samples.groupBy("group").applyInArrow(_shared_samples, _PLACES)
-    shared = shared.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    shared = samples.groupBy("group").applyInArrow(_answers(parts, True), _PACKED)
+    shared = shared.groupBy("group").applyInArrow(_merged, _PLACES)
     # sorted, so that a task that is run again forms the same chunks
     suffixes = hashed(texts.join(shared, "doc_id")).sortWithinPartitions("doc_id")
     prefixes = _sized_prefixes(hashed(texts), n_docs, groups)
     suffixes = suffixes.mapInArrow(_send_suffixes(prefixes, window), _PACKED)
-    removed = suffixes.groupBy("group").applyInArrow(_subtree, _PLACES)
-    removed = removed.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    removed = suffixes.groupBy("group").applyInArrow(_answers(parts, False), _PACKED)
+    removed = removed.groupBy("group").applyInArrow(_merged, _PLACES)
     return removed.mapInArrow(_spans(window), "doc_id long, spans array<struct<start:int,end:int>>")
 
 
