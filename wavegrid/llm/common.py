@@ -52,6 +52,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, longer where a column is already called so."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` computed once, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

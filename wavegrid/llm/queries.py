@@ -6,11 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op9_benchmark_decontamination
+from .line_dedup import op8_line_dedup
+from .near_dedup import op6_minhash_near_dedup
 from .substring_dedup import op1_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup}
+    every = [
+        op1_substring_dedup,
+        op6_minhash_near_dedup,
+        op8_line_dedup,
+        op9_benchmark_decontamination,
+    ]
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
