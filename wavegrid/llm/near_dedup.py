@@ -9,10 +9,11 @@ sketches agrees with the sets' Jaccard similarity, with concentration as of inde
 (1 - 0.85^6)^32, 3e-7; documents that share a band meet in its bucket.
 
 *Exact verification without all pairs.* Documents with equal sets are one class, and only its smallest document
-goes on. In a bucket a few hubs are compared with every other member; pairs already known to be connected are
-skipped, and a hub is done once it has met all. Buckets whose members are all connected are done; the others
-go on with twice as many hubs until no pair is left. So each pair that could still join two components is
-verified on the full sets, no task holds a bucket, and a group of near copies costs about a pair a document.
+goes on. First each bucket's smallest document meets the others: at most a pair a member, which connects groups of
+near copies. Then only members of different components can still add anything. Buckets where such are left are
+compared in blocks of ``BLOCK`` members inside tasks: 16-bit sketches rule out pairs more than ``SIGMAS`` standard
+deviations below the threshold, and only what is left becomes rows and is verified on the full sets. No pair of two
+components that share a bucket is passed over, and no task holds more than two blocks.
 
 Defined results: null or empty texts, and texts without words, have an empty set, link with nothing and are
 kept; fewer than five words are one shingle; ties go to the smallest doc_id.
@@ -34,9 +35,11 @@ from .components import components
 SHINGLE = 5
 BANDS, ROWS = 32, 6
 COORDS = BANDS * ROWS
+#: Members of a bucket that are compared at a time, and how far below the threshold a sketch may lie.
+BLOCK, SIGMAS = 512, 6
 #: Ids that may be broadcast: at most 16 MB.
 BROADCAST_IDS = 1_000_000
-_PROFILE = "doc_id long, n_shingles long, digest binary, bands array<long>"
+_PROFILE = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
 
 
 def shingle_sets(h: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -78,15 +81,17 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         value, offsets = shingle_sets(*C.ragged(b.column("h")))
         n = len(offsets) - 1
-        parts = sketches(value, offsets).reshape(n, BANDS, ROWS)
+        bins = sketches(value, offsets)
+        parts = bins.reshape(n, BANDS, ROWS)
         keys = np.zeros((n, BANDS), np.uint64)
         for j in range(ROWS):
             keys = C.mix(keys * C.POLY + parts[:, :, j])
         keys = C.mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * C.POLY)
         digests = [hashlib.blake2b(value[a:z].tobytes(), digest_size=16).digest() for a, z in zip(offsets[:-1], offsets[1:])]
         bands = pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), pa.array(keys.reshape(-1).view(np.int64)))
-        arrays = [b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(digests, pa.binary()), bands]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "digest", "bands"])
+        sketch = pa.array([x.tobytes() for x in bins.astype(np.uint16)], pa.binary())
+        arrays = [b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(digests, pa.binary()), bands, sketch]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +118,52 @@ def _verified(share: int):
     return run
 
 
+def _close(node, n, component, block, sketch, cross: bool, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components whose sketches don't rule out a link; with ``cross`` only of different blocks."""
+    p = share / 100
+    least = COORDS * p - SIGMAS * np.sqrt(COORDS * p * (1 - p))
+    a, b = [], []
+    for s in range(0, len(node), 64):
+        e = min(s + 64, len(node))
+        near = (sketch[s:e, None] == sketch[None]).sum(2) >= least
+        near &= (component[s:e, None] != component[None]) & (node[s:e, None] < node[None])
+        near &= 100 * np.minimum(n[s:e, None], n[None]) >= share * np.maximum(n[s:e, None], n[None])
+        if cross:
+            near &= block[s:e, None] != block[None]
+        i, j = np.nonzero(near)
+        a.append(node[s + i])
+        b.append(node[j])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _block_pairs(share: int):
+    """Rows sorted by (band, i, j): compares the members of blocks i and j of each bucket."""
+
+    def compared(rows: pa.Table) -> pa.RecordBatch:
+        node, n, component, block, i, j = (rows.column(c).to_numpy() for c in ("node", "n", "component", "block", "i", "j"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(len(node), COORDS)
+        a, b = _close(node, n, component, block, sketch, i[0] != j[0], share)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy() for c in ("band", "i", "j")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                key = tuple(keys[s]) if e > s else last
+                if held and key != last:
+                    yield compared(pa.Table.from_batches(held))
+                    held = []
+                held.append(b.slice(s, e - s))
+                last = key
+        if held and sum(x.num_rows for x in held):
+            yield compared(pa.Table.from_batches(held))
+
+    return run
+
+
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (node, component) after joining the components that ``links`` (a, b) connect."""
     a, b = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
@@ -123,63 +174,37 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): components of documents with 100 * inter >= share * union."""
-    spark = docs.sparkSession
-    C.small_batches(spark)
-    texts = C.documents(docs)
-    hashed = texts.select("doc_id", C.word_hashes(C.ascii_lower(F.col("text"))).alias("h"))
+    C.small_batches(docs.sparkSession)
+    hashed = C.documents(docs).select("doc_id", C.word_hashes(C.ascii_lower(F.col("text"))).alias("h"))
     profiles = C.work_table(hashed.mapInArrow(_profiles, _PROFILE), "profiles")
     classes = profiles.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     heads = profiles.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    members = heads.select(F.explode("bands").alias("band"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
-    shared = members.groupBy("band").agg(F.count("*").alias("times")).where("times > 1").select("band")
-    members = C.work_table(members.join(shared, "band"), "members")
-    labels = C.saved(members.select("node").distinct().select("node", F.col("node").alias("component")))
+    banded = heads.select(F.explode("bands").alias("band"), F.col("doc_id").alias("node"))
+    buckets = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
+    members = C.work_table(banded.join(buckets, "band"), "members")
+    nodes = members.select("node").distinct()
+    labels = C.saved(nodes.select("node", F.col("node").alias("component")))
     within = labels.select(F.col("node").alias("doc_id"))
     within = F.broadcast(within) if labels.count() <= BROADCAST_IDS else within
     sets = hashed.join(within, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set array<long>").dropDuplicates(["doc_id"])
     sets = C.work_table(sets, "sets")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"))
 
-    met, tried, hubs_now = None, None, 1
-    while True:
-        labelled = members.join(labels, "node")
-        spread = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-        open_ = labelled.join(spread, "band")
-        if met is not None:
-            open_ = open_.join(met, ["band", "node"], "left").select("band", "node", "n", "component", F.coalesce("met", F.lit(False)).alias("met"))
-        else:
-            open_ = open_.withColumn("met", F.lit(False))
-        open_ = C.saved(open_)
-        # the next hubs: the largest rows of a small top-k per bucket, found before rows meet in one task
-        rest = open_.where("not met")
-        if hubs_now == 1:
-            hubs = rest.groupBy("band").agg(F.min(F.struct("node", "n", "component")).alias("x")).select("band", "x.*")
-        else:
-            rest.createOrReplaceTempView("near_dedup_rest")
-            hubs = spark.sql(
-                f"SELECT band, node, n, component FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY node) AS k FROM near_dedup_rest) WHERE k <= {hubs_now}"
-            )
-        hubs = C.saved(hubs)
-        if hubs.isEmpty():
-            break
-        hub = hubs.select("band", F.col("node").alias("h"), F.col("n").alias("hn"), F.col("component").alias("hc"))
-        # a hub meets the members that have been no hub; hubs of one round meet each other once
-        pairs = (
-            open_.where("not met").join(hub, "band")
-            .where("node <> h and component <> hc")
-            .where(f"100 * least(n, hn) >= {share} * greatest(n, hn)")
-            .select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b"))
-            .distinct()
-        )
-        pairs = C.saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        links = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
-        links = C.work_table(links.mapInArrow(_verified(share), "a long, b long"), "links")
-        if not links.isEmpty():
-            labels = _relabelled(labels, links)
-        now = hubs.select("band", "node", F.lit(True).alias("met"))
-        met = C.saved(now if met is None else met.union(now))
-        tried = pairs if tried is None else tried.union(pairs)
-        hubs_now *= 2
+    def linked(labels: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
+        return _relabelled(labels, C.work_table(both.mapInArrow(_verified(share), "a long, b long"), name))
+
+    stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    labels = linked(labels, C.saved(stars), "stars")
+    more = members.where("size > 2").join(labels, "node")
+    spread = more.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+    more = more.join(spread, "band").join(heads.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch"), "node")
+    dealt = more.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "component", "sketch")
+    dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    labels = linked(labels, C.saved(dealt.mapInArrow(_block_pairs(share), "a long, b long").distinct()), "rest")
+
     rep = labels.select(F.col("node").alias("rep"), "component")
     named = classes.join(rep, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return (
