@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op9_benchmark_decontamination
 from .line_dedup import op8_line_dedup
 from .near_dedup import op6_minhash_near_dedup
+from .sentencepiece_viterbi import op3_sentencepiece
 from .substring_dedup import op1_substring_dedup
+from .token_shards import op10_token_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [
         op1_substring_dedup,
+        op3_sentencepiece,
         op6_minhash_near_dedup,
         op8_line_dedup,
         op9_benchmark_decontamination,
+        op10_token_shards,
     ]
     return {f.__name__: f for f in every}
 
