@@ -110,15 +110,17 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_dropped", "keep"])
 
 
+def _kept_text(text: str, keep: bytes) -> str:
+    lines = text.split("\n")
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=len(lines), bitorder="little")
+    return "\n".join(x for x, k in zip(lines, bits) if k)
+
+
 def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for text, keep in zip(b.column("text").to_pylist(), b.column("keep").to_pylist()):
-            if keep is not None:
-                lines = text.split("\n")
-                bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=len(lines), bitorder="little")
-                text = "\n".join(x for x, k in zip(lines, bits) if k)
-            out.append(text)
+            out.append(text if keep is None else _kept_text(text, keep))
         arrays = [b.column("doc_id"), b.column("n_lines"), b.column("n_dropped"), pa.array(out, pa.string()), b.column("keep")]
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_lines", "n_dropped", "kept_text", "keep"])
 
@@ -141,6 +143,21 @@ def first_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     return joined.mapInArrow(_applied, "doc_id long, n_lines long, n_dropped long, kept_text string, keep binary")
 
 
+def drop_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+    """``docs`` with the same columns, its texts without the lines that go; n_chars, where there is one, follows."""
+    names, mark = docs.columns, C.unused("keep", docs.columns)
+    maps = keep_bitmaps(docs, min_chars).select("doc_id", F.col("keep").alias(mark))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = zip(b.column("text").to_pylist(), b.column(mark).to_pylist())
+            texts = pa.array([t if k is None else _kept_text(t or "", k) for t, k in pairs], pa.string())
+            yield b.set_column(b.schema.get_field_index("text"), "text", texts).select(names)
+
+    out = docs.join(maps, "doc_id", "left").select(*names, mark).mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
+
+
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     df = first_lines(C.table(spark, sf_dir, "documents"))
     return df.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

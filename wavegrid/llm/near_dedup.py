@@ -214,5 +214,12 @@ def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame, share: int = 85) -> DataFrame:
+    """The rows of ``docs`` whose document is the smallest of its component; rows without a doc_id stay."""
+    gone = C.saved(near_duplicates(docs, share).where("NOT kept").select("doc_id").distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(C.table(spark, sf_dir, "documents"))

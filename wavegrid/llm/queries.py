@@ -9,16 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op9_benchmark_decontamination
 from .line_dedup import op8_line_dedup
 from .near_dedup import op6_minhash_near_dedup
+from .pii import op4_pii
+from .quality_classifier import op2_quality_classifier
+from .quality_rules import op5_quality_rules
 from .sentencepiece_viterbi import op3_sentencepiece
 from .substring_dedup import op1_substring_dedup
 from .token_shards import op10_token_shards
+from .toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [
         op1_substring_dedup,
+        op2_quality_classifier,
         op3_sentencepiece,
+        op4_pii,
+        op5_quality_rules,
         op6_minhash_near_dedup,
+        op7_toxicity,
         op8_line_dedup,
         op9_benchmark_decontamination,
         op10_token_shards,
@@ -26,5 +34,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+#: A text's words, as DuckDB lists.
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    op1 = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+     s AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS p, w FROM d WHERE len(w) >= 13),
+     k AS (SELECT doc_id, p, sha256(array_to_string(w[p:p+12], ' ')) AS h FROM s),
+     m AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY h) AS least FROM k),
+     r AS (SELECT DISTINCT doc_id, p + o AS q FROM m, range(13) t(o) WHERE least < doc_id),
+     g AS (SELECT doc_id, list(q) AS gone, count(*) AS n FROM r GROUP BY doc_id),
+     x AS (SELECT d.doc_id, unnest(range(1, len(w) + 1)) AS q, w FROM d),
+     y AS (SELECT x.doc_id, string_agg(w[x.q], ' ' ORDER BY x.q) AS t FROM x ANTI JOIN r ON x.doc_id = r.doc_id AND x.q = r.q GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(y.t, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN y USING (doc_id)"""
+    key = r"translate(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    op8 = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL),
+     x AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS p FROM d),
+     k AS (SELECT doc_id, l, p, {key} AS key FROM x),
+     m AS (SELECT doc_id, l, p, NOT (length(key) >= 10 AND min(doc_id) OVER (PARTITION BY key) < doc_id) AS keep FROM k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT keep) AS n_dropped,
+       sha256(coalesce(string_agg(l, chr(10) ORDER BY p) FILTER (keep), '')) AS kept_sha256
+FROM m GROUP BY doc_id"""
+    return {"op1_substring_dedup": op1, "op8_line_dedup": op8}
