@@ -27,6 +27,8 @@ from . import common as C
 
 BUCKETS = 1 << 14
 MARGIN = -0.3
+#: Ids of the target that may be broadcast, 16 MB at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -88,10 +90,10 @@ def ngrams(text: Column, h: Column, buckets: int) -> Column:
 
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """Log ratio of the target's and the corpus's share of each bin; ``trusted`` has the doc_ids of the target."""
-    target = trusted.where("doc_id IS NOT NULL").select("doc_id").distinct().withColumn("target", F.lit(1))
-    df = C.documents(docs).withColumn("h", C.word_hashes(F.col("text")))
-    counts = df.select("doc_id", ngrams(F.col("text"), F.col("h"), buckets).alias("bins")).join(target, "doc_id", "left")
-    grams = counts.select(F.explode("bins").alias("bin"), "target")
+    target = C.saved(trusted.where("doc_id IS NOT NULL").select("doc_id").distinct().withColumn("target", F.lit(1)))
+    target = F.broadcast(target) if target.count() <= BROADCAST_IDS else target
+    df = C.documents(docs).join(target, "doc_id", "left")
+    grams = df.select(F.explode(C.let(C.word_hashes(F.col("text")), lambda h: ngrams(F.col("text"), h, buckets))).alias("bin"), "target")
     raw, own = [1.0] * buckets, [1.0] * buckets
     for b, n, t in grams.groupBy("bin").agg(F.count("*"), F.count("target")).collect():  # at most ``buckets`` rows
         raw[b] += n
