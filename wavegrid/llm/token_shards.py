@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from .wordcache import WordCache
 #: Tokens after which a shard is closed, and bytes of text for each range of documents.
 SHARD_TOKENS, RANGE_BYTES = 2_000_000, 16 << 20
 END_ID = 1
+#: Marks that the tokenizer's pattern parts from a letter before them.
+MARKS = (".", ",")
 _SHARD = "part int, shard int, n_tokens long, file binary"
 _workers: dict[str, WordCache] = {}
 
@@ -41,9 +44,26 @@ def worker(path: str) -> WordCache:
 
         tokenizer = Tokenizer.from_file(path)
 
+        tokenizer.model._resize_cache(0)  # each word comes once
+        model = tokenizer.model
+
         def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids = [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
-            return np.fromiter((i for x in ids for i in x), np.uint32), np.array([len(x) for x in ids], np.int64)
+            """A mark after a letter is a token of its own, so such words share their letters' ids. Words of ASCII
+            letters pass the normalizer and the splitting pattern whole, in lower case, and go to the model at once."""
+            marked = [w[-1:] in MARKS and w[-2:-1].isalpha() for w in words]
+            bare = [w[:-1] if m else w for w, m in zip(words, marked)]
+            bare = [w.lower() if w.isascii() and w.isalpha() else w for w in bare]
+            distinct = list(dict.fromkeys([*MARKS, *bare]))
+            plain = [w for w in distinct if w.isascii() and w.isalpha()]
+            other = [w for w in distinct if not (w.isascii() and w.isalpha())]
+            ids = [[t.id for t in model.tokenize(w)] for w in plain]
+            ids += [e.ids for e in tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            place = dict(zip([*plain, *other], range(len(ids))))
+            length = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat, start = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum())), np.cumsum(length) - length
+            at = np.fromiter((x for w, b, m in zip(words, bare, marked) for x in (place[b], place[w[-1]] if m else -1)), np.int64, 2 * len(words))
+            own = np.where(at < 0, 0, length[at])
+            return flat[C.gathered(start[at], own)], own.reshape(-1, 2).sum(1)
 
         _workers[path] = WordCache(encode)
     return _workers[path]

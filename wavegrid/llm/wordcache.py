@@ -16,7 +16,7 @@ Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 class WordCache:
     """Remembers at most ``limit`` words besides those of the batch in hand, then starts anew."""
 
-    def __init__(self, encode: Encoder, limit: int = 1_000_000):
+    def __init__(self, encode: Encoder, limit: int = 2_000_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -27,11 +27,11 @@ class WordCache:
     def ids(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents one after another, and each document's number of ids."""
         words = list(chain.from_iterable(docs))
-        distinct = set(words)
-        new = [w for w in distinct if w not in self.index]
-        if len(self.index) + len(new) > self.limit and self.index:
+        index = self.index
+        new = list(dict.fromkeys([w for w in words if w not in index]))
+        if len(index) + len(new) > self.limit and index:
             self.clear()
-            new = list(distinct)
+            new = list(dict.fromkeys(words))
         if new:
             flat, length = self.encode(new)
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
