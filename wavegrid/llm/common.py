@@ -70,12 +70,12 @@ def small_batches(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor share; a temporary one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
         path = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(path)
     return path
 
 

@@ -33,14 +33,25 @@ def calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 50) -> np.ndarray:
-    """Ridge logistic regression on soft labels."""
+    """Ridge logistic regression on soft labels, by Newton steps that are halved until the loss falls."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge * (w @ w) / 2)
+
     w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (p - y) + ridge * w
         hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
         step = np.linalg.solve(hessian, gradient)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+        while (new := loss(w - step)) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        if new > now:
+            break
+        w, done = w - step, now - new < 1e-9 * (1 + abs(now))
+        now = new
+        if done:
             break
     return w
