@@ -34,6 +34,8 @@ FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Terms of the lexicon at most, contexts that a term needs, and its share of clean documents at most.
 TERMS, CONTEXTS, CLEAN_SHARE = 512, 4, 0.1
+#: Lengths of beginnings, and toxic documents that one needs.
+STEMS, STEM_DOCS = (4, 5, 6, 7), 3
 PATTERNS = ("no term", "several terms", "shouting", "runs of marks")
 
 
@@ -41,23 +43,33 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(C.ascii_lower(text), NO_TOKEN), "")
 
 
+def forms(word: Column, lengths: tuple[int, ...]) -> Column:
+    """A word and its beginnings of ``lengths``."""
+    return F.array_compact(F.array(word, *[F.when(F.length(word) > k, F.concat(F.left(word, F.lit(k)), F.lit("*"))) for k in lengths]))
+
+
 def mined_terms(rows: DataFrame) -> list[str]:
-    """Of (doc_id, text, label): words of many toxic contexts and hardly any clean document."""
-    placed = rows.select("doc_id", "label", F.posexplode(C.let(tokens(F.col("text")), lambda t: F.transform(t, lambda w, i: F.struct(w.alias("w"), F.xxhash64(F.get(t, i - 1), F.get(t, i + 1)).alias("context"))))))
+    """Of (doc_id, text, label): forms with many toxic contexts and hardly any clean document."""
+    placed = rows.select("doc_id", "label", F.explode(C.let(tokens(F.col("text")), lambda t: F.transform(t, lambda w, i: F.struct(w.alias("w"), F.xxhash64(F.get(t, i - 1), F.get(t, i + 1)).alias("context"))))))
     toxic = F.col("label") == 1
-    found = placed.select("doc_id", "label", F.col("col.w").alias("w"), F.col("col.context").alias("context")).groupBy("w").agg(
+    found = placed.select("doc_id", "label", F.explode(forms(F.col("col.w"), STEMS)).alias("w"), F.col("col.context").alias("context")).groupBy("w").agg(
         F.approx_count_distinct(F.when(toxic, F.col("context")), 0.02).alias("contexts"),
         F.approx_count_distinct(F.when(toxic, F.col("doc_id")), 0.02).alias("toxic"),
         F.approx_count_distinct(F.when(~toxic, F.col("doc_id")), 0.02).alias("clean"),
     )
     found = found.where((F.col("contexts") >= CONTEXTS) & (F.col("clean") <= CLEAN_SHARE * F.col("toxic")))
-    return [r[0] for r in found.orderBy(F.desc("contexts"), "w").limit(TERMS).select("w").collect()]
+    found = found.where(~F.endswith("w", F.lit("*")) | (F.col("toxic") >= STEM_DOCS))
+    best = [r[0] for r in found.orderBy(F.desc("contexts"), "w").limit(TERMS).select("w").collect()]
+    stems = [w[:-1] for w in best if w.endswith("*")]
+    return [w for w in best if not any(w.startswith(s) and w != f"{s}*" for s in stems)]  # a shorter beginning says it all
 
 
 def voters(text: Column, terms: list[str]) -> Column:
     """The voters that fire: term numbers, then the patterns'."""
     n = len(terms)
-    hits = F.array_distinct(F.filter(tokens(text), lambda w: w.isin(terms) if terms else F.lit(False)))
+    lengths = tuple(k for k in STEMS if any(t.endswith("*") and len(t) == k + 1 for t in terms))
+    every = F.flatten(F.transform(F.array_distinct(tokens(text)), lambda w: forms(w, lengths)))
+    hits = F.array_distinct(F.filter(every, lambda w: w.isin(terms) if terms else F.lit(False)))
     numbers = F.create_map(*[x for i, t in enumerate(terms) for x in (F.lit(t), F.lit(i))]) if terms else F.create_map(F.lit(""), F.lit(0))
     upper = F.length(text) - F.length(F.translate(text, C.UPPER, ""))
     lower = F.length(text) - F.length(F.translate(text, C.LOWER, ""))
