@@ -11,9 +11,11 @@ sketches agrees with the sets' Jaccard similarity, with concentration as of inde
 *Exact verification without all pairs.* Documents with equal sets are one class, and only its smallest document
 goes on. First each bucket's smallest document meets the others: at most a pair a member, which connects groups of
 near copies. Then only members of different components can still add anything. Buckets where such are left are
-compared in blocks of ``BLOCK`` members inside tasks: 16-bit sketches rule out pairs more than ``SIGMAS`` standard
-deviations below the threshold, and only what is left becomes rows and is verified on the full sets. No pair of two
-components that share a bucket is passed over, and no task holds more than two blocks.
+compared in blocks inside tasks, of about ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles at most: 16-bit sketches
+rule out pairs more than ``SIGMAS`` standard deviations below the threshold, and what is left is verified there on the
+full sets. Of the links found, a task sends those that join two components which none before them joined, so it sends
+no more rows than it has members. No pair of two components that share a bucket is passed over, and no task holds
+more than two blocks.
 
 Defined results: null or empty texts, and texts without words, have an empty set, link with nothing and are
 kept; fewer than five words are one shingle; ties go to the smallest doc_id.
@@ -36,7 +38,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 6
 COORDS = BANDS * ROWS
 #: Members of a bucket that are compared at a time, and how far below the threshold a sketch may lie.
-BLOCK, SIGMAS = 512, 6
+BLOCK, BLOCK_SHINGLES, SIGMAS = 512, 2_000_000, 6
 #: Ids that may be broadcast: at most 16 MB.
 BROADCAST_IDS = 1_000_000
 _PROFILE = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
@@ -118,8 +120,8 @@ def _verified(share: int):
     return run
 
 
-def _close(node, n, component, block, sketch, cross: bool, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components whose sketches don't rule out a link; with ``cross`` only of different blocks."""
+def _close(n, node, component, block, sketch, cross: bool, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of pairs of different components whose sketches don't rule out a link; with ``cross`` only of different blocks."""
     p = share / 100
     least = COORDS * p - SIGMAS * np.sqrt(COORDS * p * (1 - p))
     a, b = [], []
@@ -131,19 +133,56 @@ def _close(node, n, component, block, sketch, cross: bool, share: int) -> tuple[
         if cross:
             near &= block[s:e, None] != block[None]
         i, j = np.nonzero(near)
-        a.append(node[s + i])
-        b.append(node[j])
+        a.append(s + i)
+        b.append(j)
     return np.concatenate(a), np.concatenate(b)
 
 
-def _block_pairs(share: int):
-    """Rows sorted by (band, i, j): compares the members of blocks i and j of each bucket."""
+def _true_links(a: np.ndarray, b: np.ndarray, value: np.ndarray, offsets: np.ndarray, share: int) -> np.ndarray:
+    """Which of the pairs (a, b; sorted by a) of sets, given flat, have 100 * intersection >= share * union."""
+    _, value = np.unique(value, return_inverse=True)
+    size, ok = np.diff(offsets), np.zeros(len(a), bool)
+    mark = np.zeros(int(value.max(initial=0)) + 1, bool)
+    first, _ = C.runs(a)
+    for s, e in zip(first.tolist(), [*first[1:].tolist(), len(a)]):
+        own, others = value[offsets[a[s]] : offsets[a[s] + 1]], b[s:e]
+        mark[own] = True
+        inter = np.add.reduceat(mark[value[C.gathered(offsets[others], size[others])]], np.cumsum(size[others]) - size[others], dtype=np.int64)
+        mark[own] = False
+        ok[s:e] = 100 * inter >= share * (len(own) + size[others] - inter)
+    return ok
+
+
+def _joining(links: list[tuple[int, int]]) -> list[bool]:
+    """Which of the links between components join two that no link before joined."""
+    up: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while up.get(c, c) != c:
+            up[c] = up.get(up[c], up[c])
+            c = up[c]
+        return c
+
+    out = []
+    for a, b in links:
+        a, b = top(a), top(b)
+        out.append(a != b)
+        up[max(a, b)] = min(a, b)
+    return out
+
+
+def _block_links(share: int):
+    """Rows sorted by (band, i, j): the links between the members of blocks i and j of each bucket."""
 
     def compared(rows: pa.Table) -> pa.RecordBatch:
         node, n, component, block, i, j = (rows.column(c).to_numpy() for c in ("node", "n", "component", "block", "i", "j"))
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(len(node), COORDS)
-        a, b = _close(node, n, component, block, sketch, i[0] != j[0], share)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        a, b = _close(n, node, component, block, sketch, i[0] != j[0], share)
+        value, offsets = C.ragged(rows.column("set"))
+        true = _true_links(a, b, value, offsets, share)
+        a, b = a[true], b[true]
+        new = np.array(_joining(list(zip(component[a].tolist(), component[b].tolist()))), bool)
+        return pa.RecordBatch.from_arrays([pa.array(node[x[new]], pa.int64()) for x in (a, b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -179,8 +218,8 @@ def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
     profiles = C.work_table(hashed.mapInArrow(_profiles, _PROFILE), "profiles")
     classes = profiles.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     heads = profiles.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    banded = heads.select(F.explode("bands").alias("band"), F.col("doc_id").alias("node"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
+    banded = heads.select(F.explode("bands").alias("band"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
+    buckets = banded.groupBy("band").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("node").alias("hub")).where("size > 1")
     members = C.work_table(banded.join(buckets, "band"), "members")
     nodes = members.select("node").distinct()
     labels = C.saved(nodes.select("node", F.col("node").alias("component")))
@@ -190,20 +229,19 @@ def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
     sets = C.work_table(sets, "sets")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"))
 
-    def linked(labels: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
-        return _relabelled(labels, C.work_table(both.mapInArrow(_verified(share), "a long, b long"), name))
+    stars = C.saved(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    both = stars.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
+    labels = _relabelled(labels, C.work_table(both.mapInArrow(_verified(share), "a long, b long"), "stars"))
 
-    stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    labels = linked(labels, C.saved(stars), "stars")
     more = members.where("size > 2").join(labels, "node")
     spread = more.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    more = more.join(spread, "band").join(heads.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch"), "node")
-    dealt = more.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    more = more.join(spread, "band").join(heads.select(F.col("doc_id").alias("node"), "sketch"), "node").join(sets.withColumnRenamed("doc_id", "node"), "node")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    dealt = more.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "component", "sketch")
-    dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    labels = linked(labels, C.saved(dealt.mapInArrow(_block_pairs(share), "a long, b long").distinct()), "rest")
+    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "component", "sketch", "set")
+    dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+    labels = _relabelled(labels, C.work_table(dealt.mapInArrow(_block_links(share), "a long, b long"), "rest"))
 
     rep = labels.select(F.col("node").alias("rep"), "component")
     named = classes.join(rep, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
