@@ -181,6 +181,32 @@ def test_viterbi_is_best(pieces):
     assert alone.tolist() == pieces.search(sp.codes([long]).reshape(1, -1))[0].tolist()
 
 
+@pytest.mark.parametrize("kind", ["documents", "odd"])
+def test_pieces_are_the_library_s(spark, kind):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sp.model_path())
+    docs = plain.read(spark, "documents") if kind == "documents" else plain.odd_documents(spark)
+    rows = sp.add_pieces(docs.select("doc_id", "text")).select("text", "piece_ids").collect()
+    for text, ids in rows:
+        if sp.SPACE not in (text or ""):  # written as bytes here, as a space by the library
+            assert ids == library.encode(text or ""), text[:80]
+
+
+def test_merges_of_odd_words(pieces):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sp.model_path())
+    r = np.random.default_rng(7)
+    letters = list("abcdeé漢  \t\n\U0001f600.,0")
+    samples = ["Elle", "des", "  a   b     ", " " * 50, "\u0000x", "<s> <0x41> <unk>", "a" * 300, "ﬁn İ", *("".join(r.choice(letters, k)) for k in range(1, 120))]
+    for text in [*samples, "".join(chr(97 + (i * i) % 26) for i in range(2 * sp.LONG)), " " * (2 * sp.LONG), "漢a" * sp.LONG]:
+        flat, _ = pieces.merge_words(sp.split_words(text))
+        assert flat.tolist() == library.encode(text), text[:80]
+    some = sp.codes(["▁" + "internationalisation" * 9])
+    assert pieces.merge(some.reshape(1, -1))[0].tolist() == pieces.merge_long(some).tolist()
+
+
 @pytest.mark.parametrize("kind", ["documents", "odd", "none"])
 def test_pieces_round_trip(spark, kind):
     docs = plain.read(spark, "documents") if kind == "documents" else plain.odd_documents(spark) if kind == "odd" else plain.no_documents(spark)

@@ -1,16 +1,20 @@
-"""SentencePiece encoding and decoding by a batched numpy Viterbi search.
+"""SentencePiece encoding and decoding by batched numpy searches.
 
-Of the model file only the vocabulary and its scores are read, by the library that it belongs to. The best
-segmentation of a word is the one with the greatest sum of piece scores.
+Of the model file only the vocabulary and its scores are read, by the library that it belongs to. The installed
+model is a BPE model: its scores are merge ranks, and ids are right only if neighbours are merged in that order.
+``merge_words``, which the operator uses, does so and gives the library's ids.
 
 Words of equal length advance together: for each piece length, rolling hashes of all substrings at all positions
-probe the sorted keys of the pieces of that length (hits are compared character by character), and the search
-then goes over end positions once, taking the maxima of all words at a time and storing back pointers. A
-character that no piece covers is written as its UTF-8 bytes, at ``UNKNOWN_PENALTY`` under the lowest score.
+probe the sorted keys of the pieces of that length (hits are compared character by character). Then each step
+merges, in every word at once, the neighbours that make the piece of the greatest score, of equal ones the
+leftmost, until no two neighbours make a piece. A character that no piece covers is written as its UTF-8 bytes.
 
-A space is written as U+2581 and one stands before a text; a U+2581 of the text itself is written as bytes, so
-decoding gives back every text unchanged. Words begin at each run of spaces; no piece crosses such a start.
-Of equal sums, the shorter last piece wins.
+``encode_words`` is the Viterbi search for a unigram model's scores: the segmentation of the greatest sum, where an
+uncovered character counts ``UNKNOWN_PENALTY`` under the lowest score. With a BPE model its ids are not the library's.
+
+A space is written as U+2581 and one stands before a text; a U+2581 of the text itself is written as bytes, where
+the library makes it a space, so decoding gives back every text unchanged. Words begin at each run of spaces; no
+piece crosses such a start. Of equal sums, the shorter last piece wins.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; rows with a null doc_id are left
 out by ``encoded`` but kept by ``add_pieces``. Long texts without spaces are one long word, searched in whole.
@@ -18,8 +22,9 @@ out by ``encoded`` but kept by ``add_pieces``. Long texts without spaces are one
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +53,7 @@ class Pieces:
         self.byte_ids = np.array([byte_ids[b] for b in range(256)], np.int64)
         self.unknown = min((s for _, _, s in pieces if s > -1e8), default=0.0) - UNKNOWN_PENALTY
         self.longest = max((len(p) for _, p, _ in pieces), default=1)
+        self.table = {p: (s, i) for i, p, s in pieces}
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in range(1, self.longest + 1):
             own = [(i, p, s) for i, p, s in pieces if len(p) == n]
@@ -103,19 +109,91 @@ class Pieces:
             hit[row, col] = same
             yield n, np.where(hit, scores[at], -np.inf), np.where(hit, ids[at], -1)
 
-    def search(self, text: np.ndarray) -> list[np.ndarray]:
-        """Ids of each row of ``text``; -1 for a character to be written as bytes."""
+    def all_probed(self, text: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The lengths probed, and score and id of the piece by row, length and start; -inf and -1 where there is none."""
         count, length = text.shape
-        found = list(self.probed(text))
+        lengths = []
         score = np.full((count, self.longest + 1, length), -np.inf)
         piece = np.full((count, self.longest + 1, length), -1, np.int32)
-        for n, s, i in found:
+        for n, s, i in self.probed(text):
             score[:, n, : s.shape[1]], piece[:, n, : s.shape[1]] = s, i
+            lengths.append(n)
+        return lengths, score, piece
+
+    def merge(self, text: np.ndarray) -> list[np.ndarray]:
+        """Ids of each row of ``text`` by merges in the order of their scores, of equal ones the leftmost first."""
+        count, length = text.shape
+        _, score, piece = self.all_probed(text)
+        size = np.ones((count, length + 1), np.int64)  # of the symbol that starts here; the last place is no symbol
+        size[:, length] = self.longest + 1
+        before = np.tile(np.arange(-1, length), (count, 1))  # where the symbol before the one that starts here starts
+        pair = np.full((count, length), -np.inf)  # score of what the symbol that starts here makes with the next one
+        if length > 1:
+            pair[:, :-1] = score[:, 2, :-1] if self.longest > 1 else -np.inf
+        rows = np.arange(count)
+
+        def made(r: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return np.where(n <= self.longest, score[r, np.minimum(n, self.longest), at], -np.inf)
+
+        while len(rows):
+            at = pair.argmax(1)
+            go = pair[np.arange(len(rows)), at] > -np.inf
+            if not go.all():
+                rows, pair, at = rows[go], pair[go], at[go]
+                if not len(rows):
+                    break
+            own = np.arange(len(rows))
+            gone = at + size[rows, at]
+            n = size[rows, at] + size[rows, gone]
+            size[rows, at], size[rows, gone] = n, 0
+            pair[own, gone] = -np.inf
+            after = at + n
+            before[rows, after] = at
+            pair[own, at] = made(rows, at, n + size[rows, after])
+            has = at > 0
+            r, left = rows[has], before[rows[has], at[has]]
+            pair[own[has], left] = made(r, left, size[r, left] + n[has])
+        row, start = np.nonzero(size[:, :length])
+        ids = piece[row, size[row, start], start]
+        cuts = np.searchsorted(row, np.arange(1, count))
+        return [self.spelt(i, s, t) if (i == -1).any() else i for i, s, t in zip(np.split(ids, cuts), np.split(start, cuts), text)]
+
+    def merge_long(self, text: np.ndarray) -> np.ndarray:
+        """The same merges in one long word, taken from a heap."""
+        word, length = text.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), len(text)
+        size, before = [1] * length, list(range(-1, length - 1))
+        heap: list[tuple[float, int, int, int]] = []
+
+        def offer(at: int) -> None:
+            after = at + size[at]
+            if at >= 0 and after < length and (found := self.table.get(word[at : after + size[after]])):
+                heapq.heappush(heap, (-found[0], at, size[at], size[after]))
+
+        for at in range(length):
+            offer(at)
+        while heap:
+            _, at, n, m = heapq.heappop(heap)
+            if size[at] != n or size[at + n] != m:  # one of the two has been merged since
+                continue
+            size[at], size[at + n] = n + m, 0
+            if at + n + m < length:
+                before[at + n + m] = at
+            offer(at)
+            if at > 0:
+                offer(before[at])
+        start = [at for at in range(length) if size[at]]
+        ids = [self.table.get(word[at : at + size[at]], (0.0, -1))[1] for at in start]
+        return self.spelt(np.array(ids), np.array(start), text)
+
+    def search(self, text: np.ndarray) -> list[np.ndarray]:
+        """Ids of each row of ``text``; -1 for a character to be written as bytes."""
+        count, length = text.shape
+        probed, score, piece = self.all_probed(text)
         score[:, 1] = np.where(np.isneginf(score[:, 1]), self.unknown, score[:, 1])
         best = np.full((count, length + 1), -np.inf)
         best[:, 0] = 0
         back = np.ones((count, length + 1), np.int32)
-        lengths = sorted({1, *(n for n, _, _ in found)})
+        lengths = sorted({1, *probed})
         for end in range(1, length + 1):
             for n in lengths:
                 if n > end:
@@ -169,6 +247,14 @@ class Pieces:
         return np.array(out, np.int64)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words by the greatest sum of scores, and how many each has."""
+        return self.by_groups(words, self.search, self.search_long)
+
+    def merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words by merges, as the library gives them, and how many each has."""
+        return self.by_groups(words, self.merge, self.merge_long)
+
+    def by_groups(self, words: list[str], search: Callable[[np.ndarray], list[np.ndarray]], search_long: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(w) for w in words])
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
         for n in np.unique(size).tolist():
@@ -177,7 +263,7 @@ class Pieces:
             for s in range(0, len(at), step):
                 some = at[s : s + step]
                 text = codes([words[k] for k in some]).reshape(-1, n)
-                found = self.search(text) if n < LONG else [self.search_long(t) for t in text]
+                found = search(text) if n < LONG else [search_long(t) for t in text]
                 for k, ids in zip(some.tolist(), found):
                     out[k] = ids
         return np.concatenate(out) if out else np.zeros(0, np.int64), np.array([len(x) for x in out], np.int64)
@@ -206,7 +292,7 @@ def worker(path: str) -> tuple[Pieces, WordCache]:
     """The vocabulary and word cache of this Python worker, kept from task to task."""
     if path not in _workers:
         pieces = Pieces.load(path)
-        _workers[path] = pieces, WordCache(pieces.encode_words)
+        _workers[path] = pieces, WordCache(pieces.merge_words)
     return _workers[path]
 
 
