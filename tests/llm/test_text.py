@@ -286,6 +286,15 @@ def test_pipeline(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_near_dedup_stage_takes_pairs_from_80(spark):
+    words = [f"w{i}" for i in range(104)]  # 100 shingles; a changed word takes five of them, so 10 changed ends leave 90 of 110
+    texts = [(1, words), (2, [*words[:94], *(f"x{i}" for i in range(10))]), (3, [f"y{i}" for i in range(104)]), (4, [f"y{i}" for i in range(90)] + [f"z{i}" for i in range(14)])]
+    a, b, c, d = (plain.shingles(" ".join(w)) for _, w in texts)
+    assert 0.80 < len(a & b) / len(a | b) < 0.85 and len(c & d) / len(c | d) < 0.80
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, plain.SF).collect()) == [1, 3, 4]
+
+
 @pytest.mark.parametrize("kind", ["odd", "none"])
 def test_stages_on_odd_rows(spark, kind, tmp_path):
     docs = plain.odd_documents(spark) if kind == "odd" else plain.no_documents(spark)
