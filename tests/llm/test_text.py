@@ -149,6 +149,22 @@ def test_quality_rules(spark, kind):
         assert r["kept"] == (not e[6] and e[7] is not None and r["score"] >= quality_rules.MARGIN)
 
 
+def of_two_vocabularies(spark):
+    """Texts of one shape; those of odd numbers, which are labelled bad, have other words."""
+    r, good, bad = np.random.default_rng(2), ["river", "stone", "cloud", "field", "light"], ["casin", "lotto", "cheap", "prize", "bonus"]
+    rows = [(i, " ".join(r.choice(bad if i % 2 else good, 40))) for i in range(80)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, quality int")
+
+
+def test_quality_tells_vocabularies_apart(spark, monkeypatch):
+    docs, labels = of_two_vocabularies(spark)
+    monkeypatch.setattr(quality_rules.C, "table", lambda _, __, name: {"documents": docs, "labels": labels}[name])
+    ratio, classifier = (queries.queries()[q](spark, "") for q in ("op5_quality_rules", "op2_quality_classifier"))
+    for got in (ratio, classifier):
+        score = {r["doc_id"]: r["score"] for r in got.collect()}
+        assert min(score[i] for i in range(60, 80, 2)) > max(score[i] for i in range(61, 80, 2)) + 0.1
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return sp.worker(sp.model_path())[0]

@@ -1,6 +1,6 @@
 """Quality classifier: naive Bayes support vectors.
 
-*Features.* Indicators, hashed to ``BUCKETS`` bins, of the shapes of words and of pairs of neighbouring words
+*Features.* Indicators, hashed to ``BUCKETS`` bins, of words and of pairs of neighbouring words, of their shapes
 (``quality_rules.ngrams``: case, punctuation and digits stay, runs of letters shrink), and of how much of a text
 repeats the word before it. *Scaling.* Each indicator is scaled by the log ratio of its smoothed counts in the two
 classes. *Fit.* A linear model with hinge loss, by dual coordinate descent over the sampled rows, which are at most
@@ -24,7 +24,7 @@ from . import common as C
 from .labelled import LABELLED_ROWS, calibrated, fold, sample
 from .quality_rules import ngrams
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 
@@ -37,7 +37,7 @@ def indicators(text: Column) -> Column:
         same = F.size(F.filter(h, lambda x, i: (i > 0) & (F.get(h, i - 1) == x)))
         share = F.floor(F.log2((same + 0.01) / (n + 1)) / 2)
         repeats = F.pmod(F.xxhash64(F.lit("same"), share), F.lit(BUCKETS))
-        return F.array_distinct(F.concat(ngrams(text, h, BUCKETS), F.array(repeats)))
+        return F.array_distinct(F.concat(ngrams(text, h, BUCKETS, words=True), F.array(repeats)))
 
     return C.let(C.word_hashes(text), of)
 
