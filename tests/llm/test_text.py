@@ -93,6 +93,16 @@ def test_label_model_finds_good_voters():
     assert ((toxicity.label_model(votes, start) > 0.5) == truth).mean() > 0.95
 
 
+def test_covered_forms_take_no_places(spark, monkeypatch):
+    """Each of 20 long toxic words has five forms; 20 places hold all of them."""
+    monkeypatch.setattr(toxicity, "TERMS", 20)
+    bad = [f"{chr(97 + i)}{chr(98 + i)}{chr(99 + i)}qwertzy" for i in range(20)]
+    rows = [(d, " ".join(x for i, w in enumerate(bad) for x in (w, f"n{d}x{i}")), 1) for d in range(6)] + [(9, "clean words here", 0)]
+    terms = toxicity.mined_terms(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    assert {t[:3] for t in terms} >= {w[:3] for w in bad}
+    assert toxicity.uncovered(["abcd", "abcd*", "abcdef", "abcdef*", "xyzab"]) == ["abcd", "abcd*", "xyzab"]
+
+
 @pytest.mark.parametrize("kind", ["documents", "odd", "none"])
 def test_base_spans(spark, kind):
     docs = plain.read(spark, "documents") if kind == "documents" else plain.odd_documents(spark) if kind == "odd" else plain.no_documents(spark)

@@ -11,8 +11,8 @@ classes explain are correlated: each one's say is divided by one plus its positi
 sample's labels set the scale of the posterior odds.
 
 *Classifier.* A ridge logistic regression of the voters on the model's posterior labels; its score is the result.
-Everything learnt comes from at most ``labelled.LABELLED_ROWS`` rows and ``TERMS`` terms, so scoring is a projection
-with a constant list: no shuffle, no join.
+Everything learnt comes from at most ``labelled.LABELLED_ROWS`` rows, so scoring is a projection with a constant
+list: no shuffle, no join. A text that no voter but "no term" fires on can't be rejected.
 
 Tokens are maximal runs of ASCII letters, digits and non-ASCII characters, with A-Z lower-cased.
 
@@ -32,8 +32,9 @@ from .labelled import LABELLED_ROWS, calibrated, fold, logistic, sample
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-#: Terms of the lexicon at most, contexts that a term needs, and its share of clean documents at most.
-TERMS, CONTEXTS, CLEAN_SHARE = 512, 4, 0.1
+#: Terms of the lexicon at most, or one for so many labelled rows if that is more; contexts that a term needs, and its
+#: share of clean documents at most.
+TERMS, ROWS_A_TERM, CONTEXTS, CLEAN_SHARE = 512, 16, 4, 0.1
 #: Lengths of beginnings, and toxic documents that one needs.
 STEMS, STEM_DOCS = (4, 5, 6, 7), 3
 PATTERNS = ("no term", "several terms", "shouting", "runs of marks")
@@ -49,19 +50,24 @@ def forms(word: Column, lengths: tuple[int, ...]) -> Column:
 
 
 def mined_terms(rows: DataFrame) -> list[str]:
-    """Of (doc_id, text, label): forms with many toxic contexts and hardly any clean document."""
-    placed = rows.select("doc_id", "label", F.explode(C.let(tokens(F.col("text")), lambda t: F.transform(t, lambda w, i: F.struct(w.alias("w"), F.xxhash64(F.get(t, i - 1), F.get(t, i + 1)).alias("context"))))))
-    toxic = F.col("label") == 1
-    found = placed.select("doc_id", "label", F.explode(forms(F.col("col.w"), STEMS)).alias("w"), F.col("col.context").alias("context")).groupBy("w").agg(
-        F.approx_count_distinct(F.when(toxic, F.col("context")), 0.02).alias("contexts"),
-        F.approx_count_distinct(F.when(toxic, F.col("doc_id")), 0.02).alias("toxic"),
-        F.approx_count_distinct(F.when(~toxic, F.col("doc_id")), 0.02).alias("clean"),
-    )
-    found = found.where((F.col("contexts") >= CONTEXTS) & (F.col("clean") <= CLEAN_SHARE * F.col("toxic")))
-    found = found.where(~F.endswith("w", F.lit("*")) | (F.col("toxic") >= STEM_DOCS))
-    best = [r[0] for r in found.orderBy(F.desc("contexts"), "w").limit(TERMS).select("w").collect()]
-    stems = [w[:-1] for w in best if w.endswith("*")]
-    return [w for w in best if not any(w.startswith(s) and w != f"{s}*" for s in stems)]  # a shorter beginning says it all
+    """Of (doc_id, text, label): forms with many toxic contexts and hardly any clean document; at most ``TERMS``, or one
+    for each ``ROWS_A_TERM`` rows if that is more, after forms that a shorter beginning covers have gone."""
+    rows = rows.dropDuplicates(["doc_id", "text"])
+    held = rows.select("label", F.explode(F.array_distinct(F.flatten(F.transform(tokens(F.col("text")), lambda w: forms(w, STEMS))))).alias("w"))
+    found = held.groupBy("w").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    found = found.where((F.col("toxic") > 0) & (F.col("clean") <= CLEAN_SHARE * F.col("toxic")))
+    found = C.saved(found.where(~F.endswith("w", F.lit("*")) | (F.col("toxic") >= STEM_DOCS)).select("w"))
+    placed = rows.where("label = 1").select(F.explode(C.let(tokens(F.col("text")), lambda t: F.transform(t, lambda w, i: F.struct(w.alias("w"), F.xxhash64(F.get(t, i - 1), F.get(t, i + 1)).alias("context"))))))
+    placed = placed.select(F.explode(forms(F.col("col.w"), STEMS)).alias("w"), F.col("col.context").alias("context"))
+    counted = placed.join(found, "w").distinct().groupBy("w").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= CONTEXTS)
+    best = [r[0] for r in counted.orderBy(F.desc("contexts"), "w").select("w").collect()]
+    return uncovered(best)[: max(TERMS, rows.count() // ROWS_A_TERM)]
+
+
+def uncovered(found: list[str]) -> list[str]:
+    """The forms that no shorter beginning among them covers: it says it all."""
+    stems = {w[:-1] for w in found if w.endswith("*")}
+    return [w for w in found if not any(w[:k] in stems and len(w.removesuffix("*")) > k for k in STEMS)]
 
 
 def voters(text: Column, terms: list[str]) -> Column:
@@ -88,14 +94,15 @@ def label_model(votes: np.ndarray, start: np.ndarray, steps: int = 10) -> np.nda
     p = np.clip(start.astype(float), 0.02, 0.98)
     prior = np.log(p.mean() / (1 - p.mean()))
     for _ in range(steps):
-        on1, on0 = (votes * p[:, None]).sum(0) + 0.5, (votes * (1 - p)[:, None]).sum(0) + 0.5
+        on1, on0 = p.astype(votes.dtype) @ votes + 0.5, (1 - p).astype(votes.dtype) @ votes + 0.5
         t1, t0 = on1 / (p.sum() + 1), on0 / ((1 - p).sum() + 1)
         # what is left of each vote when the class is known; its correlations discount the voter
-        rest = votes - (p[:, None] * t1 + (1 - p)[:, None] * t0)
-        spread = np.sqrt((rest**2).mean(0)) + 1e-9
+        both = np.stack([p, 1 - p], 1).astype(votes.dtype) @ np.stack([t1, t0]).astype(votes.dtype)
+        rest = np.subtract(votes, both, out=both)
+        spread = np.sqrt(np.einsum("ij,ij->j", rest, rest) / len(votes)) + 1e-9
         together = np.clip((rest.T @ rest) / len(votes) / np.outer(spread, spread), 0, 1)
         say = 1 / np.maximum(1.0, together.sum(0))
-        odds = prior + votes @ (say * np.log(t1 / t0))  # a silent voter abstains
+        odds = prior + (votes @ (say * np.log(t1 / t0)).astype(votes.dtype)).astype(float)  # a silent voter abstains
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         done = np.abs(new - p).max() < 1e-4
         p = new
