@@ -84,13 +84,29 @@ def test_hinge_loss_meets_its_optimum():
 
 
 def test_label_model_finds_good_voters():
+    """From a rough start and no label: four good voters, and three that say the same nothing, which count once."""
     r = np.random.default_rng(1)
-    truth = r.random(2000) < 0.3
-    good = [np.where(truth, r.random(2000) < 0.8, r.random(2000) < 0.05) for _ in range(4)]
-    bad = r.random(2000) < 0.3
-    votes = np.stack([*good, bad, bad, bad], 1).astype(float)  # three voters say the same nothing
-    start = np.where(r.random(2000) < 0.1, ~truth, truth)
-    assert ((toxicity.label_model(votes, start) > 0.5) == truth).mean() > 0.95
+    truth = r.random(4000) < 0.3
+    good = [np.where(truth, r.random(4000) < 0.8, r.random(4000) < 0.05) for _ in range(4)]
+    bad = r.random(4000) < 0.3
+    on = np.stack([*good, bad, bad, bad], 1)
+    start = np.where(on[:, :4].sum(1) >= 2, 0.9, 0.1)
+    votes = toxicity.Votes([np.flatnonzero(x) for x in on], on.shape[1])
+    assert votes.count.sum() == 4000 and (votes.on[votes.row] == on).all()
+    posterior = toxicity.label_model(votes, 0.3, start)
+    assert ((posterior > 0.5) == truth).mean() > 0.93
+    assert abs(posterior[bad].mean() - posterior[~bad].mean()) < 0.1
+
+
+def test_sparse_logistic_meets_its_optimum():
+    r = np.random.default_rng(3)
+    x = (r.random((300, 12)) < 0.3).astype(float)
+    y = r.random(300)
+    flat, offsets = np.nonzero(x)[1], np.concatenate([[0], np.cumsum(x.sum(1)).astype(int)])
+    w = labelled.logistic_sparse(flat, offsets, y, 12, 1.0)
+    full = np.concatenate([x, np.ones((300, 1))], 1)
+    assert np.abs(full.T @ (1 / (1 + np.exp(-full @ w)) - y) + w).max() < 1e-2
+    assert np.allclose(w, labelled.logistic(full, y, 1.0), atol=1e-3)
 
 
 def test_covered_forms_take_no_places(spark, monkeypatch):
@@ -103,6 +119,42 @@ def test_covered_forms_take_no_places(spark, monkeypatch):
     assert toxicity.uncovered(["abcd", "abcd*", "abcdef", "abcdef*", "xyzab"]) == ["abcd", "abcd*", "xyzab"]
 
 
+def test_mined_terms_against_plain_counts(spark):
+    """The forms that enough toxic documents, few others and enough contexts hold."""
+    r = np.random.default_rng(5)
+    filler = [f"{a}{b}" for a in ("ka", "lo", "mi", "tu") for b in ("ren", "sol", "vatu", "zim")]
+    rows = []
+    for d in range(90):
+        words = list(r.choice(filler, 25))
+        if d % 3 == 0:
+            words += [["Nasty", "vilest", "vileness", "brutish"][int(k)] for k in r.integers(0, 4, 3)]
+            r.shuffle(words)
+        rows.append((d, " ".join(words), int(d % 3 == 0)))
+    forms = lambda w: [w, *[w[:k] + "*" for k in toxicity.STEMS if len(w) > k]]
+    toxic, clean, contexts = Counter(), Counter(), {}
+    for _, t, y in rows:
+        w = t.lower().split()
+        (toxic if y else clean).update({f for x in w for f in forms(x)})
+        for i, x in enumerate(w):
+            for f in forms(x) if y else ():
+                contexts.setdefault(f, set()).add((w[i - 1] if i else None, w[i + 1] if i + 1 < len(w) else None))
+    found = [f for f, n in toxic.items() if n >= toxicity.TOXIC_DOCS and clean[f] <= toxicity.CLEAN_SHARE * n and len(contexts[f]) >= toxicity.CONTEXTS]
+    expected = toxicity.uncovered(sorted(found, key=lambda f: (-len(contexts[f]), f)))
+    assert expected and toxicity.mined_terms(spark.createDataFrame(rows, "doc_id long, text string, label int")) == expected
+
+
+def test_toxicity_reaches_past_the_lexicon(spark):
+    """Scores are the same for any partitioning, and a term in a new text is enough."""
+    r, filler = np.random.default_rng(6), [f"w{i}" for i in range(300)]
+    rows = [(d, " ".join([*r.choice(filler, 30), *([["slime", "vermin", "rotten"][int(k)] for k in r.integers(0, 3, 3)] if d % 4 == 0 else [])])) for d in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d % 4 == 0)) for d in range(0, 400, 2)], "doc_id long, toxic int")
+    scored = lambda df: {x["doc_id"]: round(x["s"], 9) for x in df.select("doc_id", toxicity.fit(df, labels).score(F.col("text")).alias("s")).collect()}
+    first, second = scored(docs.repartition(3)), scored(docs.repartition(7))
+    assert first == second
+    assert min(s for d, s in first.items() if d % 4 == 0) > 0.5 > max(s for d, s in first.items() if d % 4)
+
+
 @pytest.mark.parametrize("kind", ["documents", "odd", "none"])
 def test_base_spans(spark, kind):
     docs = plain.read(spark, "documents") if kind == "documents" else plain.odd_documents(spark) if kind == "odd" else plain.no_documents(spark)

@@ -55,3 +55,40 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 50) -> np.
         if done:
             break
     return w
+
+
+def logistic_sparse(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, features: int, ridge: float, steps: int = 30) -> np.ndarray:
+    """The same over 0/1 features: row i has those numbered ``flat[offsets[i]:offsets[i + 1]]``, and a constant, which
+    is the last weight. Newton steps, each solved by conjugate gradients."""
+    row = np.repeat(np.arange(len(y)), np.diff(offsets))
+    down = lambda v: np.append(np.bincount(flat, weights=v[row], minlength=features), v.sum())
+    up = lambda w: np.bincount(row, weights=w[:-1][flat], minlength=len(y)) + w[-1]
+
+    def loss(w: np.ndarray) -> float:
+        z = up(w)
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge * (w @ w) / 2)
+
+    w = np.zeros(features + 1)
+    now = loss(w)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(up(w), -30, 30)))
+        gradient, curve = down(p - y) + ridge * w, p * (1 - p)
+        step, rest = np.zeros_like(w), gradient.copy()
+        along, size = rest.copy(), rest @ rest
+        for _ in range(50):
+            bent = down(curve * up(along)) + ridge * along
+            a = size / (along @ bent)
+            step, rest = step + a * along, rest - a * bent
+            size, before = rest @ rest, size
+            if size < 1e-8 * (gradient @ gradient) + 1e-16:
+                break
+            along = rest + size / before * along
+        while (new := loss(w - step)) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        if new > now:
+            break
+        w, done = w - step, now - new < 1e-7 * (1 + abs(now))
+        now = new
+        if done:
+            break
+    return w

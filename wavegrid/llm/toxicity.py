@@ -1,65 +1,96 @@
 """Toxicity by weak supervision.
 
 *Voters.* Each term of a mined lexicon is a voter that fires where a text has it, and so are a few patterns
-(no term, several terms, shouting, runs of marks). Terms come from the labelled sample: words that stand in many
-different contexts of toxic texts and hardly ever in others. Contexts count, not documents, so that the words of
-one copied text are no terms.
+(several words with a term, shouting, runs of marks). A term is a word or the beginning of words (``STEMS`` letters).
+Terms come from the labelled sample: forms that ``TOXIC_DOCS`` toxic documents hold and hardly any other, in at least
+``CONTEXTS`` different contexts. Contexts count so that the words of one copied text are no terms.
 
-*Label model.* A text is toxic or not, and a voter fires with a chance of its own in either class; expectation
-maximisation, started from the sample's labels, estimates these accuracies; a voter that is silent abstains. Voters that fire together more than the
-classes explain are correlated: each one's say is divided by one plus its positive correlations with the others. The
-sample's labels set the scale of the posterior odds.
+*Label model.* A text is toxic or not, and a voter fires with a chance that depends on the class and on one more
+frequent voter, the one that tells most about it within the classes; so accuracies and correlations are both
+parameters. Expectation maximisation estimates them from the votes on ``TEXTS`` texts of least hash, labelled or not.
+Labels give the terms and the share of toxic texts, no text's class.
 
-*Classifier.* A ridge logistic regression of the voters on the model's posterior labels; its score is the result.
-Everything learnt comes from at most ``labelled.LABELLED_ROWS`` rows, so scoring is a projection with a constant
-list: no shuffle, no join. A text that no voter but "no term" fires on can't be rejected.
+*Classifier.* A ridge logistic regression on hashed text features (words, their beginnings, the patterns), fitted on
+the same texts with the label model's posteriors as targets; of the ``BUCKETS`` features those that lie furthest from
+the share of toxic texts, ``FEATURES`` at most, get a weight. The labelled sample calibrates the score: a logistic
+curve over the margin and the logarithm of the text's length, as a long text has a form or two by chance.
+
+Everything learnt comes from at most ``labelled.LABELLED_ROWS`` labelled rows and about ``TEXTS`` texts. Scoring is a
+projection with a constant list: no shuffle, no join.
 
 Tokens are maximal runs of ASCII letters, digits and non-ASCII characters, with A-Z lower-cased.
 
-Defined results: null and empty texts fire no voter and get the constant's score; with no toxic or no clean label
-every score is 0; rows with a null doc_id are left out of ``op7``; ``clean_documents`` keeps them.
+Defined results: null and empty texts have no features and get the constant's score; with no toxic or no clean
+label every score is 0; rows with a null doc_id are left out of ``op7``; ``clean_documents`` keeps them unless their
+text is rejected; a doc_id with several texts gets a row, and a label, for each of them.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 from .decontamination import NO_TOKEN
-from .labelled import LABELLED_ROWS, calibrated, fold, logistic, sample
+from .labelled import LABELLED_ROWS, fold, logistic, logistic_sparse, sample
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-#: Terms of the lexicon at most, or one for so many labelled rows if that is more; contexts that a term needs, and its
-#: share of clean documents at most.
-TERMS, ROWS_A_TERM, CONTEXTS, CLEAN_SHARE = 512, 16, 4, 0.1
-#: Lengths of beginnings, and toxic documents that one needs.
-STEMS, STEM_DOCS = (4, 5, 6, 7), 3
-PATTERNS = ("no term", "several terms", "shouting", "runs of marks")
+#: Terms of the lexicon at most, or one for so many labelled rows if that is more; contexts that a term needs, toxic
+#: documents that it needs, and its share of clean documents at most.
+TERMS, ROWS_A_TERM, CONTEXTS, TOXIC_DOCS, CLEAN_SHARE = 512, 16, 4, 3, 0.1
+#: Lengths of beginnings.
+STEMS = (4, 5, 6, 7)
+#: Texts on which the label model and the classifier are fitted, besides the labelled ones.
+TEXTS = 10_000
+#: Nats that two voters must tell about each other for one to depend on the other: chance gives about 0.5 a class.
+LEAST_INFORMATION = 5.0
+#: Weight of the rough start (by the number of words with a term) beside the posteriors.
+ANCHOR = 0.9
+#: Say of a silent voter: silences of voters that never meet (of different languages, say) are not independent.
+SILENCE = 0.6
+BUCKETS, FEATURES, LEAST_Z, RIDGE = 1 << 18, 8192, 3.0, 1.0
+PATTERNS = ("several words", "shouting", "runs of marks")
+#: Forms that may be broadcast: 8 bytes each, so 8 MB.
+BROADCAST_FORMS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
     return F.array_remove(F.split(C.ascii_lower(text), NO_TOKEN), "")
 
 
-def forms(word: Column, lengths: tuple[int, ...]) -> Column:
-    """A word and its beginnings of ``lengths``."""
-    return F.array_compact(F.array(word, *[F.when(F.length(word) > k, F.concat(F.left(word, F.lit(k)), F.lit("*"))) for k in lengths]))
+def forms(word: Column) -> list[Column]:
+    """A word and its beginnings; null for those that it is too short for."""
+    return [word, *[F.when(F.length(word) > k, F.concat(F.left(word, F.lit(k)), F.lit("*"))) for k in STEMS]]
+
+
+def hashed_forms(words: Column) -> Column:
+    """Hashes of the forms of each word, flat; 0 for none."""
+    return F.flatten(F.transform(words, lambda w: F.array(*[F.when(x.isNotNull(), F.xxhash64(x)).otherwise(F.lit(0)) for x in forms(w)])))
+
+
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_FORMS else df
 
 
 def mined_terms(rows: DataFrame) -> list[str]:
     """Of (doc_id, text, label): forms with many toxic contexts and hardly any clean document; at most ``TERMS``, or one
     for each ``ROWS_A_TERM`` rows if that is more, after forms that a shorter beginning covers have gone."""
     rows = rows.dropDuplicates(["doc_id", "text"])
-    held = rows.select("label", F.explode(F.array_distinct(F.flatten(F.transform(tokens(F.col("text")), lambda w: forms(w, STEMS))))).alias("w"))
-    found = held.groupBy("w").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
-    found = found.where((F.col("toxic") > 0) & (F.col("clean") <= CLEAN_SHARE * F.col("toxic")))
-    found = C.saved(found.where(~F.endswith("w", F.lit("*")) | (F.col("toxic") >= STEM_DOCS)).select("w"))
-    placed = rows.where("label = 1").select(F.explode(C.let(tokens(F.col("text")), lambda t: F.transform(t, lambda w, i: F.struct(w.alias("w"), F.xxhash64(F.get(t, i - 1), F.get(t, i + 1)).alias("context"))))))
-    placed = placed.select(F.explode(forms(F.col("col.w"), STEMS)).alias("w"), F.col("col.context").alias("context"))
-    counted = placed.join(found, "w").distinct().groupBy("w").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= CONTEXTS)
+    held = lambda label: rows.where(F.col("label") == label).select(F.explode(F.array_distinct(hashed_forms(F.array_distinct(tokens(F.col("text")))))).alias("h")).where("h <> 0")
+    toxic = C.saved(held(1).groupBy("h").agg(F.count("*").alias("toxic")).where(F.col("toxic") >= TOXIC_DOCS))
+    clean = held(0).join(small(toxic.select("h")), "h").groupBy("h").agg(F.count("*").alias("clean"))
+    found = toxic.join(clean, "h", "left").where(F.coalesce("clean", F.lit(0)) <= CLEAN_SHARE * F.col("toxic"))
+    found = C.saved(found.select("h"))
+    placed = C.let(tokens(F.col("text")), lambda t: F.transform(t, lambda w, i: F.struct(w.alias("w"), F.xxhash64(F.get(t, i - 1), F.get(t, i + 1)).alias("context"))))
+    placed = rows.where("label = 1").select(F.explode(placed).alias("p")).select(F.explode(F.array_compact(F.array(*forms(F.col("p.w"))))).alias("w"), F.col("p.context").alias("context"))
+    counted = placed.withColumn("h", F.xxhash64("w")).join(small(found), "h").select("w", "context").distinct()
+    counted = counted.groupBy("w").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= CONTEXTS)
     best = [r[0] for r in counted.orderBy(F.desc("contexts"), "w").select("w").collect()]
     return uncovered(best)[: max(TERMS, rows.count() // ROWS_A_TERM)]
 
@@ -70,73 +101,225 @@ def uncovered(found: list[str]) -> list[str]:
     return [w for w in found if not any(w[:k] in stems and len(w.removesuffix("*")) > k for k in STEMS)]
 
 
-def voters(text: Column, terms: list[str]) -> Column:
-    """The voters that fire: term numbers, then the patterns'."""
-    n = len(terms)
-    lengths = tuple(k for k in STEMS if any(t.endswith("*") and len(t) == k + 1 for t in terms))
-    every = F.flatten(F.transform(F.array_distinct(tokens(text)), lambda w: forms(w, lengths)))
-    hits = F.array_distinct(F.filter(every, lambda w: w.isin(terms) if terms else F.lit(False)))
-    numbers = F.create_map(*[x for i, t in enumerate(terms) for x in (F.lit(t), F.lit(i))]) if terms else F.create_map(F.lit(""), F.lit(0))
+def flags(text: Column) -> list[Column]:
+    """Shouting and runs of marks."""
     upper = F.length(text) - F.length(F.translate(text, C.UPPER, ""))
     lower = F.length(text) - F.length(F.translate(text, C.LOWER, ""))
-    marks = F.regexp_count(text, F.lit(r"[!?*#$%&]{2}"))
-
-    def fired(h: Column) -> Column:
-        numbered = F.transform(h, lambda w: F.element_at(numbers, w))
-        flags = (F.size(h) == 0, F.size(h) >= 2, (upper > 20) & (2 * upper > lower), marks >= 3)
-        return F.concat(numbered, *[F.when(x, F.array(F.lit(n + k))).otherwise(F.array().cast("array<int>")) for k, x in enumerate(flags)])
-
-    return C.let(hits, fired)
-
-
-def label_model(votes: np.ndarray, start: np.ndarray, steps: int = 10) -> np.ndarray:
-    """Posterior of class 1 for each row of 0/1 ``votes``, by EM from the given labels, with correlated voters discounted."""
-    p = np.clip(start.astype(float), 0.02, 0.98)
-    prior = np.log(p.mean() / (1 - p.mean()))
+    return [(upper > 20) & (2 * upper > lower), F.regexp_count(text, F.lit(r"[!?*#$%&]{2}")) >= 3]
+
+
+def bins(text: Column) -> Column:
+    """The features of a text: bins of the forms of its words (one for each occurrence) and of its patterns; -1 for none."""
+    own = F.flatten(F.transform(tokens(text), lambda w: F.array(*[F.when(x.isNotNull(), F.pmod(F.xxhash64(x), F.lit(BUCKETS))).otherwise(F.lit(-1)) for x in forms(w)])))
+    marks = [F.when(x, F.pmod(F.xxhash64(F.lit(name), F.lit("pattern")), F.lit(BUCKETS))).otherwise(F.lit(-1)) for name, x in zip(PATTERNS[1:], flags(text))]
+    return F.concat(own, F.array(*marks))
+
+
+class Votes:
+    """Which voters fire on which texts; equal rows of votes are one, with its number of texts."""
+
+    def __init__(self, fired: list[np.ndarray], voters: int):
+        index: dict[bytes, int] = {}
+        self.row = np.array([index.setdefault(np.sort(f).astype(np.int32).tobytes(), len(index)) for f in fired], np.int64)
+        self.count = np.bincount(self.row, minlength=len(index)).astype(np.float32)
+        self.on = np.zeros((len(index), voters), np.float32)
+        for key, r in index.items():
+            self.on[r, np.frombuffer(key, np.int32)] = 1
+
+
+def label_model(votes: Votes, share: float, start: np.ndarray, steps: int = 30, anchor: float = ANCHOR) -> np.ndarray:
+    """Posterior of class 1 for each text, by expectation maximisation from ``start``, which keeps a weight of ``anchor``
+    so that the classes keep their meaning; ``share`` is the share of class 1."""
+    on, n = votes.on, votes.count
+    p = rough = np.bincount(votes.row, weights=start, minlength=len(n)) / np.maximum(n, 1)
+    prior = np.log(share / (1 - share))
+    frequency = (n[:, None] * on).sum(0)
+    order = np.lexsort((np.arange(on.shape[1]), -frequency))
+    earlier = np.empty(on.shape[1], np.int64)
+    earlier[order] = np.arange(on.shape[1])
+    allowed = earlier[None, :] < earlier[:, None]  # a voter depends on a more frequent one
     for _ in range(steps):
-        on1, on0 = p.astype(votes.dtype) @ votes + 0.5, (1 - p).astype(votes.dtype) @ votes + 0.5
-        t1, t0 = on1 / (p.sum() + 1), on0 / ((1 - p).sum() + 1)
-        # what is left of each vote when the class is known; its correlations discount the voter
-        both = np.stack([p, 1 - p], 1).astype(votes.dtype) @ np.stack([t1, t0]).astype(votes.dtype)
-        rest = np.subtract(votes, both, out=both)
-        spread = np.sqrt(np.einsum("ij,ij->j", rest, rest) / len(votes)) + 1e-9
-        together = np.clip((rest.T @ rest) / len(votes) / np.outer(spread, spread), 0, 1)
-        say = 1 / np.maximum(1.0, together.sum(0))
-        odds = prior + (votes @ (say * np.log(t1 / t0)).astype(votes.dtype)).astype(float)  # a silent voter abstains
+        chance = []
+        information = np.zeros((on.shape[1],) * 2)
+        belief = anchor * rough + (1 - anchor) * p
+        for w in (n * belief, n * (1 - belief)):
+            total = w.sum() + 1.0
+            both = (on * w[:, None].astype(np.float32)).T @ on
+            alone = np.diag(both).astype(np.float64)
+            single = (alone + share_of_prior(frequency, n)) / total
+            information += shared_information(both, alone, total)
+            chance.append((total, both, alone, np.clip(single, 1e-6, 1 - 1e-6)))
+        information[~allowed] = -np.inf
+        parent = information.argmax(1)
+        has = information[np.arange(len(parent)), parent] > LEAST_INFORMATION
+        parent = np.where(has, parent, np.arange(len(parent)))
+        tables = []
+        for total, both, alone, single in chance:  # of firing where the voter depended on fires, and where it doesn't
+            with_parent, own = both[np.arange(len(parent)), parent], alone[parent]
+            given = np.where(has, (with_parent + 2 * single) / (own + 2), single)
+            without = np.where(has, (alone - with_parent + 2 * single) / (np.maximum(total - own, 0) + 2), single)
+            tables.append(np.clip(np.stack([given, without]), 1e-6, 1 - 1e-6))
+        fires, silent = np.log(tables[0] / tables[1]), SILENCE * np.log((1 - tables[0]) / (1 - tables[1]))
+        beside = on[:, parent] * has
+        odds = prior + silent[1].sum()
+        odds = odds + beside @ (silent[0] - silent[1]) + on @ (fires[1] - silent[1]) + (on * beside) @ (fires[0] - fires[1] - silent[0] + silent[1])
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         done = np.abs(new - p).max() < 1e-4
         p = new
         if done:
             break
-    slope, offset = calibrated(odds, start > 0.5)  # discounted odds are too timid; the sample sets their scale
-    return 1 / (1 + np.exp(-np.clip(slope * odds + offset, -30, 30)))
+    return p[votes.row]
+
+
+def shared_information(both: np.ndarray, alone: np.ndarray, total: float) -> np.ndarray:
+    """What each two voters tell about each other, in nats over all texts, from how often both and each alone fire."""
+    out = np.zeros(both.shape)
+    a, b = alone[:, None], alone[None, :]
+    for cell, mine, other in ((both, a, b), (a - both, a, total - b), (b - both, total - a, b), (total - a - b + both, total - a, total - b)):
+        cell = np.maximum(cell, 1e-9)
+        out += cell * np.log(cell * total / np.maximum(mine * other, 1e-9))
+    return out
+
+
+def share_of_prior(frequency: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One more text, on which a voter fires as often as over all texts: keeps chances away from 0."""
+    return np.maximum(frequency, 0.5) / max(1.0, float(n.sum()))
 
 
 class Model:
-    def __init__(self, terms: list[str], weights: list[float], constant: float):
-        self.terms, self.weights, self.constant = terms, weights, constant
+    """Weights of the features and a constant; ``curve`` has the score's weights of margin, log length and 1."""
+
+    def __init__(self, terms: list[str], weights: np.ndarray, constant: float, curve: tuple[float, float, float] = (1.0, 0.0, 0.0)):
+        self.terms, self.weights, self.constant, self.curve = terms, weights, constant, curve
 
     def score(self, text: Column) -> Column:
-        if not self.weights:
+        if not len(self.weights):
             return F.lit(0.0)
-        table = F.array(*[F.lit(float(w)) for w in self.weights])
-        margin = F.aggregate(voters(text, self.terms), F.lit(float(self.constant)), lambda s, i: s + F.get(table, i))
-        return 1.0 / (1.0 + F.exp(F.least(F.lit(50.0), -margin)))
-
-
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, rows: int = LABELLED_ROWS) -> Model:
-    learnt = C.work_table(sample(docs, labels, column, folds, held_out, rows), "labelled")
-    terms = mined_terms(learnt)
-    got = learnt.select("label", voters(F.col("text"), terms).alias("fired")).toPandas()
-    y = got["label"].to_numpy(float) if len(got) else np.zeros(0)
-    if not 0 < y.sum() < len(y):
-        return Model([], [], 0.0)
-    votes = np.zeros((len(got), len(terms) + len(PATTERNS)))
-    for r, fired in enumerate(got["fired"]):
-        votes[r, np.asarray(fired, int)] = 1
-    posterior = label_model(votes, y)
-    w = logistic(np.concatenate([votes, np.ones((len(votes), 1))], 1), posterior, 1.0)
-    return Model(terms, w[:-1].tolist(), float(w[-1]))
+        table = F.from_json(F.lit(json.dumps([float(f"{w:.5g}") if w else 0 for w in self.weights])), "array<double>")
+        weight = lambda i: F.get(table, i.cast("int"))
+
+        def odds(b: Column) -> Column:
+            own = F.array_distinct(F.filter(b, lambda i: (i >= 0) & (weight(i) != 0.0)))
+            margin = F.aggregate(own, F.lit(float(self.constant)), lambda s, i: s + weight(i))
+            a, length, constant = self.curve
+            return margin * a + F.log(F.size(b).cast("double")) * length + constant
+
+        return 1.0 / (1.0 + F.exp(F.least(F.lit(50.0), -C.let(bins(text), odds))))
+
+
+def _fired(terms: np.ndarray):
+    """(row, fired, words): the term numbers of each text and how many of its distinct words have one."""
+    order = np.argsort(terms)
+    sorted_terms, stride = terms[order], len(STEMS) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, offsets = C.ragged(b.column("h"))
+            h = h.view(np.int64)
+            at = np.minimum(np.searchsorted(sorted_terms, h), max(0, len(terms) - 1))
+            hit = np.flatnonzero(sorted_terms[at] == h) if len(terms) and len(h) else np.zeros(0, np.int64)
+            doc = np.searchsorted(offsets, hit, side="right") - 1
+            pair = np.unique(np.stack([doc, order[at[hit]]], 1), axis=0).reshape(-1, 2) if len(hit) else np.zeros((0, 2), np.int64)
+            cuts = np.searchsorted(pair[:, 0], np.arange(len(offsets)))
+            words = np.bincount(doc[np.unique(hit // stride, return_index=True)[1]], minlength=len(offsets) - 1) if len(hit) else np.zeros(len(offsets) - 1)
+            arrays = [b.column("row"), pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(pair[:, 1].astype(np.int32))), pa.array(words.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*arrays, *(b.column(c) for c in ("shouting", "marks", "label"))], names=["row", "fired", "words", "shouting", "marks", "label"])
+
+    return run
+
+
+def _by_row(rows: np.ndarray, values: np.ndarray, found: np.ndarray) -> np.ndarray:
+    return values[np.searchsorted(rows, found)]
+
+
+def _distinct_bins(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Row number in the batch and bin, each pair once."""
+    x, offsets = C.ragged(b.column("bins"))
+    x = x.view(np.int64)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    pair = np.unique((doc * BUCKETS + x)[x >= 0])
+    return pair // BUCKETS, pair % BUCKETS
+
+
+def _bin_counts(rows: np.ndarray, posterior: np.ndarray):
+    """(bin, n, toxic) of the texts of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for b in batches:
+            doc, own = _distinct_bins(b)
+            p = _by_row(rows, posterior, b.column("row").to_numpy())
+            n += np.bincount(own, minlength=BUCKETS)
+            toxic += np.bincount(own, weights=p[doc], minlength=BUCKETS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(toxic[at])], names=["bin", "n", "toxic"])
+
+    return run
+
+
+def _chosen_bins(chosen: np.ndarray):
+    """(row, own, n): the numbers of the chosen features that a text has, and how many bins it has with repeats."""
+    number = np.full(BUCKETS, -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, own = _distinct_bins(b)
+            own = number[own]
+            doc, own = doc[own >= 0], own[own >= 0]
+            cuts = np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32)
+            n = pa.array(np.diff(b.column("bins").offsets.to_numpy()).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.ListArray.from_arrays(cuts, pa.array(own)), n], names=["row", "own", "n"])
+
+    return run
+
+
+def texts_of_least_hash(docs: DataFrame, texts: int) -> DataFrame:
+    """About ``texts`` rows (doc_id, text), picked by the hash of their doc_id, so alike for any partitioning."""
+    own = C.documents(docs)
+    return own.where(F.pmod(F.xxhash64("doc_id", F.lit("text")), F.lit(max(1, docs.count()))) < texts)
+
+
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, rows: int = LABELLED_ROWS, texts: int = TEXTS) -> Model:
+    C.small_batches(docs.sparkSession)
+    learnt = sample(docs, labels, column, folds, held_out, rows)
+    others = texts_of_least_hash(docs, texts).withColumn("label", F.lit(None).cast("int"))
+    # a text is taken once, with its label if it has one; rows are known by a hash
+    own = learnt.unionByName(others).withColumn("row", F.xxhash64("text")).groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.max("label").alias("label"))
+    own = C.work_table(own, "texts")
+    y = dict(map(tuple, own.where("label IS NOT NULL").groupBy("label").count().collect()))
+    if not (y.get(0) and y.get(1)):
+        return Model([], np.zeros(0), 0.0)
+    terms = mined_terms(own.where("label IS NOT NULL").select("doc_id", "text", "label"))
+    shouting, marks = flags(F.col("text"))
+    voted = own.select("row", hashed_forms(F.array_distinct(tokens(F.col("text")))).alias("h"), shouting.alias("shouting"), marks.alias("marks"), "label")
+    spark = docs.sparkSession
+    hashes = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "i int, t string").select("i", F.xxhash64("t").alias("h")).collect()
+    voted = voted.mapInArrow(_fired(np.array([r["h"] for r in sorted(hashes)], np.int64)), "row long, fired array<int>, words int, shouting boolean, marks boolean, label int").toPandas().sort_values("row")
+    n_terms, words = len(terms), voted["words"].to_numpy()
+    patterns = np.stack([words >= 2, voted["shouting"].to_numpy(bool), voted["marks"].to_numpy(bool)], 1)
+    fired = [np.concatenate([np.asarray(f, np.int64), n_terms + np.flatnonzero(x)]) for f, x in zip(voted["fired"], patterns)]
+    share = y[1] / (y[0] + y[1])
+    posterior = label_model(Votes(fired, n_terms + len(PATTERNS)), share, np.where(words >= 2, 0.95, np.where(words == 1, share, 0.01)))
+
+    row = voted["row"].to_numpy()
+    binned = own.select("row", bins(F.col("text")).alias("bins"))
+    counts = binned.mapInArrow(_bin_counts(row, posterior), "bin long, n double, toxic double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toPandas().sort_values("bin")
+    mean = min(max(posterior.mean(), 1e-3), 1 - 1e-3)
+    z = (counts["toxic"] - counts["n"] * mean).to_numpy() / np.sqrt(counts["n"].to_numpy() * mean * (1 - mean) + 1e-9)
+    best = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
+    chosen = counts["bin"].to_numpy()[np.sort(best[np.abs(z[best]) >= LEAST_Z])]
+    got = binned.mapInArrow(_chosen_bins(chosen), "row long, own array<int>, n int").toArrow()
+    flat, offsets = C.ragged(got.column("own").cast(pa.list_(pa.int64())))
+    target = _by_row(row, posterior, got.column("row").to_numpy())
+    w = logistic_sparse(flat.view(np.int64), offsets, target, len(chosen), RIDGE)
+    margin = np.bincount(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), weights=w[:-1][flat.view(np.int64)], minlength=len(offsets) - 1) + w[-1]
+    label = _by_row(row, voted["label"].to_numpy(float), got.column("row").to_numpy())
+    known = ~np.isnan(label)
+    x = np.stack([margin, np.log(got.column("n").to_numpy().astype(float)), np.ones(len(margin))], 1)
+    weights = np.zeros(BUCKETS)
+    weights[chosen] = w[:-1]
+    return Model(terms, weights, float(w[-1]), tuple(logistic(x[known], label[known], 1e-3).tolist()))
 
 
 def clean_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
