@@ -13,7 +13,7 @@ Labels give the terms and the share of toxic texts, no text's class.
 *Classifier.* A ridge logistic regression on hashed text features (words, their beginnings, the patterns), fitted on
 the same texts with the label model's posteriors as targets; of the ``BUCKETS`` features those that lie furthest from
 the share of toxic texts, ``FEATURES`` at most, get a weight. The labelled sample calibrates the score: a logistic
-curve over the margin and the logarithm of the text's length, as a long text has a form or two by chance.
+curve over the margin and the logarithm of the number of distinct words, as a long text has a form or two by chance.
 
 Everything learnt comes from at most ``labelled.LABELLED_ROWS`` labelled rows and about ``TEXTS`` texts. Scoring is a
 projection with a constant list: no shuffle, no join.
@@ -108,11 +108,12 @@ def flags(text: Column) -> list[Column]:
     return [(upper > 20) & (2 * upper > lower), F.regexp_count(text, F.lit(r"[!?*#$%&]{2}")) >= 3]
 
 
-def bins(text: Column) -> Column:
-    """The features of a text: bins of the forms of its words (one for each occurrence) and of its patterns; -1 for none."""
-    own = F.flatten(F.transform(tokens(text), lambda w: F.array(*[F.when(x.isNotNull(), F.pmod(F.xxhash64(x), F.lit(BUCKETS))).otherwise(F.lit(-1)) for x in forms(w)])))
+def bins(words: Column, text: Column) -> Column:
+    """The features of a text, given its distinct words: bins of the words and their beginnings (a shorter word is its
+    own beginning) and of the patterns; -1 for none, with repeats."""
+    own = F.transform(words, lambda w: F.array(*[F.pmod(F.xxhash64(x), F.lit(BUCKETS)) for x in (w, *[F.left(w, F.lit(k)) for k in STEMS])]))
     marks = [F.when(x, F.pmod(F.xxhash64(F.lit(name), F.lit("pattern")), F.lit(BUCKETS))).otherwise(F.lit(-1)) for name, x in zip(PATTERNS[1:], flags(text))]
-    return F.concat(own, F.array(*marks))
+    return F.concat(F.flatten(own), F.array(*marks))
 
 
 class Votes:
@@ -204,7 +205,7 @@ class Model:
             a, length, constant = self.curve
             return margin * a + F.log(F.size(b).cast("double")) * length + constant
 
-        return 1.0 / (1.0 + F.exp(F.least(F.lit(50.0), -C.let(bins(text), odds))))
+        return 1.0 / (1.0 + F.exp(F.least(F.lit(50.0), -C.let(bins(F.array_distinct(tokens(text)), text), odds))))
 
 
 def _fired(terms: np.ndarray):
@@ -303,7 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int =
     posterior = label_model(Votes(fired, n_terms + len(PATTERNS)), share, np.where(words >= 2, 0.95, np.where(words == 1, share, 0.01)))
 
     row = voted["row"].to_numpy()
-    binned = own.select("row", bins(F.col("text")).alias("bins"))
+    binned = own.select("row", bins(F.array_distinct(tokens(F.col("text"))), F.col("text")).alias("bins"))
     counts = binned.mapInArrow(_bin_counts(row, posterior), "bin long, n double, toxic double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toPandas().sort_values("bin")
     mean = min(max(posterior.mean(), 1e-3), 1 - 1e-3)
     z = (counts["toxic"] - counts["n"] * mean).to_numpy() / np.sqrt(counts["n"].to_numpy() * mean * (1 - mean) + 1e-9)
