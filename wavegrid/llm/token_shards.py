@@ -4,19 +4,20 @@ Documents are range-partitioned by doc_id and sorted, so shards follow each othe
 encodes its documents and writes a shard file whenever ``SHARD_TOKENS`` are gathered; the files are the rows of a
 Parquet table in the shared folder, written by Spark's committer, so a lost executor leaves none behind in part.
 
-The tokenizer drops white space between words and joins nothing across it, so a text's ids are those of its words
-(split at space, tab, line feed and carriage return) one after another, and each distinct word is encoded once by
-a worker.
+The tokenizer drops white space between words and joins nothing across it (checked when it is loaded), so a text's ids
+are those of its words, split at space, tab, line feed and carriage return, one after another, and each distinct word
+is encoded once by a worker. Words go to the library ``JOINED`` at a time, joined by spaces, and the tokens' places
+tell whose they are. A full stop or comma is taken off a word where the tokenizer itself parts it from the letter
+before it; the letters below U+0250 are tried when it is loaded, all other words go to the library as they stand.
 
 Defined results: a null or empty text has the end id alone; rows with a null doc_id are left out; rows that repeat
-a doc_id stand together, in the order of their texts.
+a doc_id, with the same text or another, have a row each and stand together, in the order of their texts.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,41 +32,57 @@ from .wordcache import WordCache
 #: Tokens after which a shard is closed, and bytes of text for each range of documents.
 SHARD_TOKENS, RANGE_BYTES = 2_000_000, 16 << 20
 END_ID = 1
-#: Marks that the tokenizer's pattern parts from a letter before them.
-MARKS = (".", ",")
+#: Marks that may be taken off a word, and words that are encoded together.
+MARKS, JOINED = (".", ","), 200
+#: Parts of the shard table whose tokens are summed together.
+PARTS = 4096
 _SHARD = "part int, shard int, n_tokens long, file binary"
 _workers: dict[str, WordCache] = {}
 
 
+class WordEncoder:
+    """The tokenizer's ids of single words."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        if any(ids(f"one{space}two") != [*ids("one"), *ids("two")] for space in " \t\n\r"):
+            raise ValueError("this tokenizer doesn't split texts at white space")
+        self.letters = {c for c in map(chr, range(0x41, 0x250)) if c.isalpha() and all(self._parted(c, m) for m in MARKS)}
+
+    def _parted(self, letter: str, mark: str) -> bool:
+        """Whether the mark is a piece of its own after the letter."""
+        t = self.tokenizer
+        text = t.normalizer.normalize_str(f"a{letter}{mark}") if t.normalizer else f"a{letter}{mark}"
+        pieces = t.pre_tokenizer.pre_tokenize_str(text) if t.pre_tokenizer else []
+        return bool(pieces) and pieces[-1][1] == (len(text) - 1, len(text))
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, and how many each has."""
+        marked = [w[-1:] in MARKS and w[-2:-1] in self.letters for w in words]
+        place: dict[str, int] = {}
+        number = lambda w: place.setdefault(w, len(place))
+        at = np.array([x for w, m in zip(words, marked) for x in ((number(w[:-1]), number(w[-1])) if m else (number(w), -1))], np.int64)
+        distinct = list(place)
+        ids, count = [], []
+        for s in range(0, len(distinct), JOINED):
+            some = distinct[s : s + JOINED]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            begin = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
+            ids.append(np.array(e.ids, np.uint32))
+            count.append(np.bincount(np.searchsorted(begin, [o[0] for o in e.offsets], side="right") - 1, minlength=len(some)))
+        flat, length = np.concatenate(ids), np.concatenate(count)
+        start = np.cumsum(length) - length
+        own = np.where(at < 0, 0, length[at])
+        return flat[C.gathered(start[at], own)], own.reshape(-1, 2).sum(1)
+
+
 def worker(path: str) -> WordCache:
     """The word cache of this Python worker, kept from task to task."""
     if path not in _workers:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-
-        tokenizer.model._resize_cache(0)  # each word comes once
-        model = tokenizer.model
-
-        def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            """A mark after a letter is a token of its own, so such words share their letters' ids. Words of ASCII
-            letters pass the normalizer and the splitting pattern whole, in lower case, and go to the model at once."""
-            marked = [w[-1:] in MARKS and w[-2:-1].isalpha() for w in words]
-            bare = [w[:-1] if m else w for w, m in zip(words, marked)]
-            bare = [w.lower() if w.isascii() and w.isalpha() else w for w in bare]
-            distinct = list(dict.fromkeys([*MARKS, *bare]))
-            plain = [w for w in distinct if w.isascii() and w.isalpha()]
-            other = [w for w in distinct if not (w.isascii() and w.isalpha())]
-            ids = [[t.id for t in model.tokenize(w)] for w in plain]
-            ids += [e.ids for e in tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-            place = dict(zip([*plain, *other], range(len(ids))))
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat, start = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum())), np.cumsum(length) - length
-            at = np.fromiter((x for w, b, m in zip(words, bare, marked) for x in (place[b], place[w[-1]] if m else -1)), np.int64, 2 * len(words))
-            own = np.where(at < 0, 0, length[at])
-            return flat[C.gathered(start[at], own)], own.reshape(-1, 2).sum(1)
-
-        _workers[path] = WordCache(encode)
+        _workers[path] = WordCache(WordEncoder(path).encode)
     return _workers[path]
 
 
@@ -110,10 +127,12 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
-    # one row for each shard, without its file
-    sizes = shards.select("part", "shard", "n_tokens")
-    order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", "shard", F.coalesce(F.sum("n_tokens").over(order), F.lit(0).cast("long")).alias("first"))
+    # tokens before a shard: those of its block of parts, and of the blocks before it (a row for each ``PARTS`` parts)
+    sizes = shards.select("part", "shard", "n_tokens", F.floor(F.col("part") / PARTS).alias("block"))
+    before = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    blocks = sizes.groupBy("block").agg(F.sum("n_tokens").alias("n")).select("block", before(Window.orderBy("block"), "n").alias("base"))
+    inside = sizes.select("part", "shard", "block", before(Window.partitionBy("block").orderBy("part", "shard"), "n_tokens").alias("own"))
+    starts = inside.join(blocks, "block").select("part", "shard", (F.col("base") + F.col("own")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -13,32 +13,46 @@ from .common import gathered
 Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
+class _Numbers(dict):
+    """The number of each word; a word that has none gets the next."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class WordCache:
-    """Remembers at most ``limit`` words besides those of the batch in hand, then starts anew."""
+    """Remembers words until there are ``limit``, then starts anew with the next batch: some 200 bytes a word."""
 
-    def __init__(self, encode: Encoder, limit: int = 2_000_000):
+    def __init__(self, encode: Encoder, limit: int = 1_000_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.number = _Numbers()
+        self.flat, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.uint32)
+        self.used = 0
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        """``a`` with room for n values: twice as long if it has less."""
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
     def ids(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents one after another, and each document's number of ids."""
-        words = list(chain.from_iterable(docs))
-        index = self.index
-        new = list(dict.fromkeys([w for w in words if w not in index]))
-        if len(index) + len(new) > self.limit and index:
+        if len(self.number) >= self.limit:
             self.clear()
-            new = list(dict.fromkeys(words))
-        if new:
-            flat, length = self.encode(new)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
-            self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        length = self.length[at]
+        words, known = list(chain.from_iterable(docs)), len(self.number)
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        total = len(self.number)
+        if total > known:
+            order, first = np.unique(at, return_index=True)
+            flat, length = self.encode([words[i] for i in first[order >= known].tolist()])
+            self.flat, self.start, self.length = self._room(self.flat, self.used + len(flat)), self._room(self.start, total), self._room(self.length, total)
+            self.flat[self.used : self.used + len(flat)] = flat
+            self.start[known:total] = self.used + np.cumsum(length) - length
+            self.length[known:total] = length
+            self.used += len(flat)
+        length = self.length[at].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum([len(d) for d in docs], dtype=np.int64)])]
-        return self.flat[gathered(self.start[at], length)], np.diff(ends)
+        return self.flat[gathered(self.start[at].astype(np.int64), length)], np.diff(ends)
