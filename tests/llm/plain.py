@@ -190,12 +190,18 @@ def _chained(*values):
 
 
 def ngram_bins(text, buckets):
+    """Of each word: the bins of the word, of its pair and of the pair of shapes."""
     import regex
 
+    from wavegrid.llm.quality_rules import PAIR, SAME, SHAPE
+
     shape = regex.sub(r"\p{Lu}+", "A", regex.sub(r"\p{Ll}+", "a", text))
     s, w = [_chained(x) for x in WORD.findall(shape)], WORD.findall(text)
-    pairs = [_chained(s[i - 1] if i else None, x, w[i - 1] == w[i] if i else None) for i, x in enumerate(s)]
-    return [x % buckets for x in [*s, *pairs]]
+    h, out = [_chained(x) for x in w], []
+    for i, x in enumerate(h):
+        before, shape_before = (h[i - 1] << 1, s[i - 1] << 1) if i else (0, 0)
+        out += [x % buckets, (x ^ before ^ PAIR) % buckets, (s[i] ^ shape_before ^ SHAPE ^ (SAME if i and w[i - 1] == w[i] else 0)) % buckets]
+    return out
 
 
 def best_sum(word, scores, unknown, longest):

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from wavegrid.llm import labelled, pii, quality_classifier, quality_rules, queries, token_shards, toxicity
 from wavegrid.llm import sentencepiece_viterbi as sp
+from wavegrid.llm import wavelet
 from wavegrid.llm.wavelet import WaveletMatrix
+from wavegrid.llm.wordcache import WordCache
 
 MIDDLE = "/root/testdata/sf0.01"
 NO_LABELS = "doc_id long, quality int, toxic int"
@@ -194,13 +196,14 @@ def test_quality_rules(spark, kind):
     labels = plain.read(spark, "labels").where("quality = 1") if kind == "documents" else spark.createDataFrame([(1,), (1,), (None,), (9,)], "doc_id long")
     rows, trusted = plain.texts(docs), {r["doc_id"] for r in labels.collect()}
     n = quality_rules.BUCKETS
-    raw, own = np.ones(n), np.ones(n)
+    raw, own = np.zeros(n), np.zeros(n)
     bins = [plain.ngram_bins(t, n) for _, t in rows]
     for (d, _), b in zip(rows, bins):
         for k, c in Counter(b).items():
             raw[k] += c
             own[k] += c if d in trusted else 0
-    w = np.log(own / own.sum()) - np.log(raw / raw.sum())
+    share = (own.sum() + 1) / (raw.sum() + 1)
+    w = np.log((own + quality_rules.SMOOTHING * share) / ((raw + quality_rules.SMOOTHING) * share))
     got = quality_rules.scored(docs, quality_rules.weights(docs, labels)).collect()
     key = lambda r: (r["doc_id"], r["n_words"], r["word_chars"])
     expected = sorted(((d, *plain.statistics(t), w[b].mean() if b else None) for (d, t), b in zip(rows, bins)), key=lambda r: r[:3])
@@ -318,7 +321,10 @@ def test_tokens_of_odd_words(spark):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    samples = ["Hello,world. it's  a b c　d", "x. .y ... a.b.", "don't DON'T I'll", "İstanbul ÀÉ é.", "tab\tnew\nline\r\nvt\x0bff\x0c.", "​zero‍ ﻿.", "á. ́.", "12.5, 3,000.", "漢字. かな,", "\x1c\x1d\x85x", "Ǆ. ﬁ, ß."]
+    samples = ["Hello,world. it's  a b c　d", "x. .y ... a.b.", "don't DON'T I'll", "İstanbul ÀÉ é.", "tab\tnew\nline\r\nvt\x0bff\x0c.", "​zero‍ ﻿.", "á. ́.", "12.5, 3,000.", "漢字. かな,", "\x1c\x1d\x85x", "Ǆ. ﬁ, ß.", "İ. cİ, xİ", "क़. ক়,", "<|endoftext|>. a<|startoftext|>b", "a\u0301. n\u0303,", "é.. ü,. 5.", "K. Å,"]
+    r = np.random.default_rng(11)
+    letters = list("abZİıßÅéñ漢क़\u0301\u0307\u200d.,,..'0 7 <|>")
+    samples += ["".join(r.choice(letters, int(k))) for k in r.integers(1, 40, 400)]
     docs = spark.createDataFrame(list(enumerate(samples)), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_shards.read_shards(token_shards.write_shards(docs, path)).collect()}
     tokenizer = Tokenizer.from_file(path)
@@ -327,12 +333,12 @@ def test_tokens_of_odd_words(spark):
         assert got[d] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
 
 
-@pytest.mark.parametrize("n, top", [(0, 1), (1, 1), (7, 3), (1500, 40), (5000, 49_000), (600, 1 << 20)])
+@pytest.mark.parametrize("n, top", [(0, 1), (1, 1), (7, 3), (1500, 40), (5000, 49_000), (600, 1 << 20), (1 << 16, 9), ((1 << 17) + 5, 700)])
 def test_wavelet_matrix(n, top):
     values = np.random.default_rng(n).integers(0, top, n).astype(np.uint32)
     w = WaveletMatrix.from_bytes(WaveletMatrix.build(values, np.arange(2), np.array([n, 0])).to_bytes())
     assert w.tokens().tolist() == values.tolist() and w.lengths.tolist() == [n, 0]
-    for i in range(0, n, max(1, n // 40)):
+    for i in [*range(0, n, max(1, n // 40)), *range(max(0, n - 1), n)]:
         v = int(values[i])
         at = np.flatnonzero(values == v)
         assert w.access(i) == v and w.rank(v, i) == int((at < i).sum()) and w.count(v) == len(at)
@@ -347,6 +353,27 @@ def test_wavelet_matrix(n, top):
         WaveletMatrix.from_bytes(b"other")
 
 
+def test_one_access_opens_a_block_of_each_plane():
+    n = 40 * wavelet.BLOCK
+    w = WaveletMatrix.from_bytes(WaveletMatrix.build(np.arange(n) % 50_000, np.arange(1), np.array([n])).to_bytes())
+    assert w.access(n // 2 + 17) == (n // 2 + 17) % 50_000 and len(w._open) <= 2 * w.levels
+    assert w.rank(49_000, n // 3) == len(range(49_000, n // 3, 50_000)) and len(w._open) <= 6 * w.levels
+
+
+def test_word_cache_starts_anew():
+    calls = []
+
+    def encode(words):
+        calls.append(list(words))
+        return np.array([len(w) for w in words for _ in w], np.uint32), np.array([len(w) for w in words])
+
+    cache = WordCache(encode, limit=4)
+    for docs in ([["aa", "b"], [], ["aa"]], [["b", "ccc", "dddd"]], [["b"], ["aa", "b"]]):
+        flat, n = cache.ids(docs)
+        assert flat.tolist() == [len(w) for d in docs for w in d for _ in w] and n.tolist() == [sum(map(len, d)) for d in docs]
+    assert calls == [["aa", "b"], ["ccc", "dddd"], ["b", "aa"]]
+
+
 def test_pipeline(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "line dedup", "near dedup", "decontamination", "sentencepiece"]

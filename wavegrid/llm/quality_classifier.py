@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
-*Features.* Indicators, hashed to ``BUCKETS`` bins, of words and of pairs of neighbouring words, of their shapes
-(``quality_rules.ngrams``: case, punctuation and digits stay, runs of letters shrink), and of how much of a text
+*Features.* Indicators, hashed to ``BUCKETS`` bins, of words, of pairs of neighbouring words and of pairs of their
+shapes (``quality_rules.ngrams``: case, punctuation and digits stay, runs of letters shrink), and of how much of a text
 repeats the word before it. *Scaling.* Each indicator is scaled by the log ratio of its smoothed counts in the two
 classes. *Fit.* A linear model with hinge loss, by dual coordinate descent over the sampled rows, which are at most
 ``labelled.LABELLED_ROWS``; a logistic curve turns margins into scores.
@@ -9,7 +9,8 @@ classes. *Fit.* A linear model with hinge loss, by dual coordinate descent over
 The scaled weights are one constant array, so scoring every text is a projection without a shuffle or a join.
 
 Defined results: empty and null texts have no indicator but the constant and get its score; without both classes
-among the labels every score is 0.5; rows with a null doc_id are left out.
+among the labels every score is 0.5; rows with a null doc_id are left out; a doc_id with several
+texts has a row for each, and its label counts for each.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def indicators(text: Column) -> Column:
         same = F.size(F.filter(h, lambda x, i: (i > 0) & (F.get(h, i - 1) == x)))
         share = F.floor(F.log2((same + 0.01) / (n + 1)) / 2)
         repeats = F.pmod(F.xxhash64(F.lit("same"), share), F.lit(BUCKETS))
-        return F.array_distinct(F.concat(ngrams(text, h, BUCKETS, words=True), F.array(repeats)))
+        return F.array_distinct(F.concat(ngrams(text, h, BUCKETS), F.array(repeats.cast("int"))))
 
     return C.let(C.word_hashes(text), of)
 
@@ -73,13 +74,13 @@ class Model:
 
     def score(self, text: Column) -> Column:
         table = F.from_json(F.lit(json.dumps([float(f"{w:.5g}") for w in self.weights])), "array<double>")
-        margin = F.aggregate(indicators(text), F.lit(self.constant), lambda s, i: s + F.get(table, i.cast("int")))
+        margin = F.aggregate(indicators(text), F.lit(self.constant), lambda s, i: s + F.get(table, i))
         return 1.0 / (1.0 + F.exp(F.least(F.lit(50.0), -(margin * self.slope + self.offset))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, rows: int = LABELLED_ROWS) -> Model:
     C.small_batches(docs.sparkSession)
-    got = sample(docs, labels, column, folds, held_out, rows).select("label", indicators(F.col("text")).cast("array<int>").alias("bins")).toPandas()
+    got = sample(docs, labels, column, folds, held_out, rows).select("label", indicators(F.col("text")).alias("bins")).toPandas()
     y = np.where(got["label"] == 1, 1.0, -1.0)
     if not len(y) or abs(y.sum()) == len(y):
         return Model(np.zeros(BUCKETS), 0.0, 1.0, 0.0)

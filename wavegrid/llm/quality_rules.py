@@ -1,20 +1,20 @@
 """Quality rules: text statistics, then a hashed n-gram log-likelihood ratio. DataFrame functions only.
 
-Words and pairs of neighbouring words are hashed to ``WORD_BUCKETS`` bins, and so are their shapes, as words of a
-large corpus are mostly rare. A shape keeps case, punctuation and digits and shortens runs of letters; a pair of
+Words, pairs of neighbouring words and pairs of their shapes are hashed to ``BUCKETS`` bins; shapes are there as words
+of a large corpus are mostly rare. A shape keeps case, punctuation and digits and shortens runs of letters; a pair of
 shapes also tells whether its words are the same. Two multinomials over the bins are counted: one over every text of
 the raw corpus, one over the trusted target (documents labelled quality 1). A bin's weight is log(p_target / p_raw),
 where ``SMOOTHING`` occurrences at the corpus's rate are added, so that a rare word has nearly no say; a document's
 score is the mean weight of its n-grams, so length doesn't matter. A document is kept if no base rule fails it and
-its score is at least ``MARGIN``. Without ``words``, ``weights`` and ``scored`` take shapes alone, in ``BUCKETS`` bins
-with add-one smoothing.
+its score is at least ``MARGIN``.
 
 Counting is a map-side combined aggregation to at most a row for each bin; those few numbers, a fixed amount at any
 size of the corpus, come to the driver and go out as one constant array, so scoring is a projection without a
 shuffle. Counts cover every document; every document gets a verdict from the same threshold.
 
 Defined results: a null text has no words, is failed by the base rules (under 10 words) and has a null score; a
-trusted set without texts gives weights from smoothing alone; rows with a null doc_id are left out.
+trusted set without texts gives weights from smoothing alone; rows with a null doc_id are left out; a doc_id
+with several texts has a row for each, and all of them are in the target if it is.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BUCKETS = 1 << 14
-#: Bins where words are hashed, too, and the counts that draw a bin's ratio to 1.
-WORD_BUCKETS, SMOOTHING = 1 << 18, 10.0
+#: Bins, and the counts that draw a bin's ratio to 1.
+BUCKETS, SMOOTHING = 1 << 18, 10.0
 MARGIN = -0.3
-#: Ids of the target that may be broadcast, 16 MB at most; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Tell the kinds of n-grams apart (fixed values).
+PAIR, SHAPE, SAME = 0x2545F491, 0x5851F42D, 0x14057B7E
+#: Ids of the target that may be broadcast, some 60 bytes each, so 15 MB; more are joined by a shuffle, to the same result.
+BROADCAST_IDS = 250_000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -80,47 +81,52 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * repeats > 20 * F.col("n_words")))
 
 
-def ngrams(text: Column, h: Column, buckets: int, words: bool = False) -> Column:
-    """Bins of the shapes of words and of neighbouring words, with ``words`` also of the words themselves and their
-    pairs; ``h`` has the words' hashes."""
-    shapes = C.word_hashes(F.regexp_replace(F.regexp_replace(text, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"))
+def shapes(text: Column) -> Column:
+    """Hashes of the words' shapes: case, punctuation and digits stay, runs of letters shrink to one."""
+    return C.word_hashes(F.regexp_replace(F.regexp_replace(text, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"))
 
-    def both(s: Column, h: Column) -> Column:
-        one = F.transform(s, lambda x: F.pmod(x, F.lit(buckets)))
-        pair = lambda x, i: F.pmod(F.xxhash64(F.get(s, i - 1), x, F.get(h, i - 1) == F.get(h, i)), F.lit(buckets))
-        own = [F.transform(h, lambda x, i: F.pmod(F.xxhash64(F.lit("word"), x), F.lit(buckets)))] if words else []
-        own += [F.transform(h, lambda x, i: F.pmod(F.xxhash64(F.lit("pair"), F.get(h, i - 1), x), F.lit(buckets)))] if words else []
-        return F.concat(one, F.transform(s, pair), *own)
 
-    return C.let(shapes, lambda s: C.let(h, lambda words: both(s, words)))
+def cells(h: Column, s: Column, i: Column, buckets: int) -> list[Column]:
+    """Bins of the i-th word, of its pair with the word before it, and of the pair of their shapes, which also tells
+    whether the two words are the same; ``h`` and ``s`` have the hashes of words and shapes. All hashes are uniform, so
+    exclusive-or mixes them well enough."""
+    before, n = F.get(h, i - 1), F.lit(buckets)
+    x, shape = F.get(h, i), F.get(s, i)
+    shifted = lambda v: F.shiftleft(F.coalesce(v, F.lit(0).cast("long")), 1)
+    same = F.when(before == x, F.lit(SAME)).otherwise(F.lit(0))
+    mixed = [x, x.bitwiseXOR(shifted(before)).bitwiseXOR(F.lit(PAIR)), shape.bitwiseXOR(shifted(F.get(s, i - 1))).bitwiseXOR(F.lit(SHAPE)).bitwiseXOR(same.cast("long"))]
+    return [F.pmod(v, n).cast("int") for v in mixed]
 
 
-def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, words: bool = False) -> list[float]:
+def ngrams(text: Column, h: Column, buckets: int) -> Column:
+    """The bins of all n-grams of a text; ``h`` has its words' hashes."""
+    of = lambda s: F.flatten(F.transform(h, lambda _, i: F.array(*cells(h, s, i, buckets))))
+    return C.let(shapes(text), of)
+
+
+def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """Log ratio of the target's and the corpus's share of each bin; ``trusted`` has the doc_ids of the target."""
-    target = C.saved(trusted.where("doc_id IS NOT NULL").select("doc_id").distinct().withColumn("target", F.lit(1)))
+    target = C.saved(trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct().withColumn("target", F.lit(1)))
     target = F.broadcast(target) if target.count() <= BROADCAST_IDS else target
     df = C.documents(docs).join(target, "doc_id", "left")
-    grams = df.select(F.explode(C.let(C.word_hashes(F.col("text")), lambda h: ngrams(F.col("text"), h, buckets, words))).alias("bin"), "target")
+    grams = df.select(F.explode(C.let(C.word_hashes(F.col("text")), lambda h: ngrams(F.col("text"), h, buckets))).alias("bin"), "target")
     got = grams.groupBy("bin").agg(F.count("*").alias("n"), F.count("target").alias("t")).toArrow()  # at most ``buckets`` rows
     raw, own, at = np.zeros(buckets), np.zeros(buckets), got.column("bin").to_numpy()
     raw[at], own[at] = got.column("n").to_numpy(), got.column("t").to_numpy()
-    if words:
-        share = (own.sum() + 1) / (raw.sum() + 1)
-        ratio = np.log(own + SMOOTHING * share) - np.log((raw + SMOOTHING) * share)
-    else:
-        ratio = np.log(own + 1) - np.log((own + 1).sum()) - np.log(raw + 1) + np.log((raw + 1).sum())
-    return np.round(ratio, 6).tolist()
+    share = (own.sum() + 1) / (raw.sum() + 1)
+    return np.round(np.log(own + SMOOTHING * share) - np.log((raw + SMOOTHING) * share), 6).tolist()
 
 
-def scored(docs: DataFrame, table: list[float], margin: float = MARGIN, words: bool = False) -> DataFrame:
+def scored(docs: DataFrame, table: list[float], margin: float = MARGIN) -> DataFrame:
     """The base statistics, score and verdict of every document."""
     constant = F.from_json(F.lit(json.dumps(table)), "array<double>")  # folded to one constant by the optimizer
-    total = lambda g: F.aggregate(g, F.lit(0.0), lambda s, i: s + F.get(constant, i.cast("int"))) / F.size(g)
-    score = F.when(F.col("n_words") > 0, C.let(ngrams(F.col("text"), F.col("h"), len(table), words), total))
-    df = base_rules(docs).withColumn("score", score)
+    weight = lambda i: F.get(constant, i)
+    of = lambda h, s: F.transform(h, lambda _, i: sum(map(weight, cells(h, s, i, len(table))), F.lit(0.0)))
+    total = lambda h: C.let(shapes(F.col("text")), lambda s: F.aggregate(of(h, s), F.lit(0.0), lambda a, x: a + x) / (3 * F.size(h)))
+    df = base_rules(docs).withColumn("score", F.when(F.col("n_words") > 0, total(F.col("h"))))
     return df.drop("text", "h").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= margin, F.lit(False)))
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs, labels = C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")
-    return scored(docs, weights(docs, labels.where("quality = 1"), WORD_BUCKETS, True), words=True)
+    return scored(docs, weights(docs, labels.where("quality = 1")))
