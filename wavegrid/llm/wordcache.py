@@ -14,17 +14,20 @@ Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
 class _Numbers(dict):
-    """The number of each word; a word that has none gets the next."""
+    """The number of each word; a word that has none gets the next and is listed in ``new``."""
+
+    new: list[str]
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
+        self.new.append(word)
         return n
 
 
 class WordCache:
     """Remembers words until there are ``limit``, then starts anew with the next batch: some 200 bytes a word."""
 
-    def __init__(self, encode: Encoder, limit: int = 1_000_000):
+    def __init__(self, encode: Encoder, limit: int = 1_500_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -42,12 +45,11 @@ class WordCache:
         """All ids of the documents one after another, and each document's number of ids."""
         if len(self.number) >= self.limit:
             self.clear()
-        words, known = list(chain.from_iterable(docs)), len(self.number)
+        words, known, self.number.new = list(chain.from_iterable(docs)), len(self.number), []
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         total = len(self.number)
         if total > known:
-            order, first = np.unique(at, return_index=True)
-            flat, length = self.encode([words[i] for i in first[order >= known].tolist()])
+            flat, length = self.encode(self.number.new)
             self.flat, self.start, self.length = self._room(self.flat, self.used + len(flat)), self._room(self.start, total), self._room(self.length, total)
             self.flat[self.used : self.used + len(flat)] = flat
             self.start[known:total] = self.used + np.cumsum(length) - length
