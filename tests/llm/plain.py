@@ -190,7 +190,7 @@ def _chained(*values):
 
 
 def ngram_bins(text, buckets):
-    """Of each word: the bins of the word, of its pair and of the pair of shapes."""
+    """The bins of the words, of their pairs and of the pairs of shapes, and of words that repeat the one before."""
     import regex
 
     from wavegrid.llm.quality_rules import PAIR, SAME, SHAPE
@@ -199,8 +199,8 @@ def ngram_bins(text, buckets):
     s, w = [_chained(x) for x in WORD.findall(shape)], WORD.findall(text)
     h, out = [_chained(x) for x in w], []
     for i, x in enumerate(h):
-        before, shape_before = (h[i - 1] << 1, s[i - 1] << 1) if i else (0, 0)
-        out += [x % buckets, (x ^ before ^ PAIR) % buckets, (s[i] ^ shape_before ^ SHAPE ^ (SAME if i and w[i - 1] == w[i] else 0)) % buckets]
+        b, sb = (h[i - 1] << 1, s[i - 1] << 1) if i else (0, 0)
+        out += [x % buckets, (x ^ b ^ PAIR) % buckets, (s[i] ^ sb ^ SHAPE) % buckets] + ([SAME % buckets] if i and w[i - 1] == w[i] else [])
     return out
 
 

@@ -206,7 +206,7 @@ def test_quality_rules(spark, kind):
     w = np.log((own + quality_rules.SMOOTHING * share) / ((raw + quality_rules.SMOOTHING) * share))
     got = quality_rules.scored(docs, quality_rules.weights(docs, labels)).collect()
     key = lambda r: (r["doc_id"], r["n_words"], r["word_chars"])
-    expected = sorted(((d, *plain.statistics(t), w[b].mean() if b else None) for (d, t), b in zip(rows, bins)), key=lambda r: r[:3])
+    expected = sorted(((d, *plain.statistics(t), w[b].sum() / (3 * len(plain.WORD.findall(t))) if b else None) for (d, t), b in zip(rows, bins)), key=lambda r: r[:3])
     assert len(got) == len(expected)
     for r, e in zip(sorted(got, key=key), expected):
         assert (r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == e[:7]

@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
 *Features.* Indicators, hashed to ``BUCKETS`` bins, of words, of pairs of neighbouring words and of pairs of their
-shapes (``quality_rules.ngrams``: case, punctuation and digits stay, runs of letters shrink), and of how much of a text
+shapes (``quality_rules.bins``: case, punctuation and digits stay, runs of letters shrink), and of how much of a text
 repeats the word before it. *Scaling.* Each indicator is scaled by the log ratio of its smoothed counts in the two
 classes. *Fit.* A linear model with hinge loss, by dual coordinate descent over the sampled rows, which are at most
 ``labelled.LABELLED_ROWS``; a logistic curve turns margins into scores.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .labelled import LABELLED_ROWS, calibrated, fold, sample
-from .quality_rules import ngrams
+from .quality_rules import bins as ngrams
 
 BUCKETS = 1 << 18
 FOLDS, HELD_OUT = 4, 2
@@ -38,7 +38,7 @@ def indicators(text: Column) -> Column:
         same = F.size(F.filter(h, lambda x, i: (i > 0) & (F.get(h, i - 1) == x)))
         share = F.floor(F.log2((same + 0.01) / (n + 1)) / 2)
         repeats = F.pmod(F.xxhash64(F.lit("same"), share), F.lit(BUCKETS))
-        return F.array_distinct(F.concat(ngrams(text, h, BUCKETS), F.array(repeats.cast("int"))))
+        return F.array_distinct(F.concat(ngrams(text, BUCKETS - 1), F.array(repeats)))
 
     return C.let(C.word_hashes(text), of)
 
@@ -74,17 +74,17 @@ class Model:
 
     def score(self, text: Column) -> Column:
         table = F.from_json(F.lit(json.dumps([float(f"{w:.5g}") for w in self.weights])), "array<double>")
-        margin = F.aggregate(indicators(text), F.lit(self.constant), lambda s, i: s + F.get(table, i))
+        margin = F.aggregate(indicators(text), F.lit(self.constant), lambda s, i: s + table[i])
         return 1.0 / (1.0 + F.exp(F.least(F.lit(50.0), -(margin * self.slope + self.offset))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, rows: int = LABELLED_ROWS) -> Model:
     C.small_batches(docs.sparkSession)
-    got = sample(docs, labels, column, folds, held_out, rows).select("label", indicators(F.col("text")).alias("bins")).toPandas()
-    y = np.where(got["label"] == 1, 1.0, -1.0)
+    got = sample(docs, labels, column, folds, held_out, rows).select("label", indicators(F.col("text")).cast("array<int>").alias("bins")).toArrow()
+    y = np.where(got.column("label").to_numpy() == 1, 1.0, -1.0)
     if not len(y) or abs(y.sum()) == len(y):
         return Model(np.zeros(BUCKETS), 0.0, 1.0, 0.0)
-    bins = [np.asarray(b, np.int64) for b in got["bins"]]
+    bins = [b for c in got.column("bins").chunks for b in np.split(c.flatten().to_numpy(), c.offsets.to_numpy()[1:-1] - c.offsets[0].as_py())]
     good, bad = np.ones(BUCKETS), np.ones(BUCKETS)
     for b, sign in zip(bins, y):
         (good if sign > 0 else bad)[b] += 1

@@ -1,11 +1,11 @@
 """Quality rules: text statistics, then a hashed n-gram log-likelihood ratio. DataFrame functions only.
 
-Words, pairs of neighbouring words and pairs of their shapes are hashed to ``BUCKETS`` bins; shapes are there as words
-of a large corpus are mostly rare. A shape keeps case, punctuation and digits and shortens runs of letters; a pair of
-shapes also tells whether its words are the same. Two multinomials over the bins are counted: one over every text of
+Words, pairs of neighbouring words and pairs of their shapes are hashed to ``BUCKETS`` bins, a power of 2; shapes are
+there as words of a large corpus are mostly rare. A shape keeps case, punctuation and digits and shortens runs of
+letters. A word that repeats the one before it counts in a bin of its own besides. Two multinomials over the bins are counted: one over every text of
 the raw corpus, one over the trusted target (documents labelled quality 1). A bin's weight is log(p_target / p_raw),
 where ``SMOOTHING`` occurrences at the corpus's rate are added, so that a rare word has nearly no say; a document's
-score is the mean weight of its n-grams, so length doesn't matter. A document is kept if no base rule fails it and
+score is the sum of its n-grams' weights over three times its words, so length doesn't matter. A document is kept if no base rule fails it and
 its score is at least ``MARGIN``.
 
 Counting is a map-side combined aggregation to at most a row for each bin; those few numbers, a fixed amount at any
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Bins, and the counts that draw a bin's ratio to 1.
-BUCKETS, SMOOTHING = 1 << 18, 10.0
+BUCKETS, SMOOTHING = 1 << 16, 10.0
 MARGIN = -0.3
 #: Tell the kinds of n-grams apart (fixed values).
 PAIR, SHAPE, SAME = 0x2545F491, 0x5851F42D, 0x14057B7E
@@ -57,12 +57,19 @@ def repeat_words(h: Column, k: int = 5) -> Column:
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(covered(C.let(pairs, twice)))
 
     def windows(h: Column) -> Column:
-        hashed = F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
+        hashed = F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[h[i + j] for j in range(k)]))
         return F.when(F.size(h) >= k, C.let(hashed, marked)).otherwise(F.lit(0).cast("long"))
 
     return C.let(h, windows)
 
 
+def without(text: Column, characters: str) -> Column:
+    """``text`` without the characters; one plain search for each is much cheaper than looking every character up."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
 def base_rules(docs: DataFrame) -> DataFrame:
     """(doc_id, text, h: the words' hashes, and the base statistics)."""
     df = C.documents(docs).withColumn("h", C.word_hashes(F.col("text")))
@@ -73,8 +80,8 @@ def base_rules(docs: DataFrame) -> DataFrame:
         "text",
         "h",
         n.alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(without(F.col("text"), " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
+        (F.length("text") - F.length(without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
         C.let(lines, lambda s: F.size(s) - F.size(F.array_distinct(s))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("h")).alias("n_repeat_words"),
     )
@@ -86,22 +93,35 @@ def shapes(text: Column) -> Column:
     return C.word_hashes(F.regexp_replace(F.regexp_replace(text, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"))
 
 
-def cells(h: Column, s: Column, i: Column, buckets: int) -> list[Column]:
-    """Bins of the i-th word, of its pair with the word before it, and of the pair of their shapes, which also tells
-    whether the two words are the same; ``h`` and ``s`` have the hashes of words and shapes. All hashes are uniform, so
-    exclusive-or mixes them well enough."""
-    before, n = F.get(h, i - 1), F.lit(buckets)
-    x, shape = F.get(h, i), F.get(s, i)
-    shifted = lambda v: F.shiftleft(F.coalesce(v, F.lit(0).cast("long")), 1)
-    same = F.when(before == x, F.lit(SAME)).otherwise(F.lit(0))
-    mixed = [x, x.bitwiseXOR(shifted(before)).bitwiseXOR(F.lit(PAIR)), shape.bitwiseXOR(shifted(F.get(s, i - 1))).bitwiseXOR(F.lit(SHAPE)).bitwiseXOR(same.cast("long"))]
-    return [F.pmod(v, n).cast("int") for v in mixed]
+def before(values: Column) -> Column:
+    """For each element the one before it, twice; 0 for the first."""
+    return F.concat(F.array(F.lit(0).cast("long")), F.transform(F.slice(values, F.lit(1), F.size(values) - 1), lambda x: F.shiftleft(x, 1)))
+
+
+def word_bins(x: Column, b: Column, mask: int) -> list[Column]:
+    """Bins of a word and of its pair, from its hash and what ``before`` gives. All hashes are uniform, so exclusive-or
+    mixes them well enough."""
+    return [x.bitwiseAND(F.lit(mask)), x.bitwiseXOR(b).bitwiseXOR(F.lit(PAIR)).bitwiseAND(F.lit(mask))]
+
+
+def shape_bin(s: Column, b: Column, mask: int) -> Column:
+    return s.bitwiseXOR(b).bitwiseXOR(F.lit(SHAPE)).bitwiseAND(F.lit(mask))
+
 
+def same(x: Column, b: Column) -> Column:
+    """Whether a word is the same as the one before it."""
+    return F.shiftleft(x, 1) == b
 
-def ngrams(text: Column, h: Column, buckets: int) -> Column:
-    """The bins of all n-grams of a text; ``h`` has its words' hashes."""
-    of = lambda s: F.flatten(F.transform(h, lambda _, i: F.array(*cells(h, s, i, buckets))))
-    return C.let(shapes(text), of)
+
+def bins(text: Column, mask: int) -> Column:
+    """The bins of all n-grams of a text."""
+
+    def of(h: Column, hb: Column, s: Column, sb: Column) -> Column:
+        own = F.flatten(F.zip_with(h, hb, lambda x, b: F.array(*word_bins(x, b, mask))))
+        again = F.size(F.filter(F.zip_with(h, hb, same), lambda y: y))
+        return F.concat(own, F.zip_with(s, sb, lambda x, b: shape_bin(x, b, mask)), F.array_repeat(F.lit(SAME & mask), again))
+
+    return C.let(C.word_hashes(text), lambda h: C.let(shapes(text), lambda s: F.when(F.size(h) > 0, C.let(before(h), lambda hb: of(h, hb, s, before(s)))).otherwise(F.array().cast("array<long>"))))
 
 
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
@@ -109,8 +129,12 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list
     target = C.saved(trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct().withColumn("target", F.lit(1)))
     target = F.broadcast(target) if target.count() <= BROADCAST_IDS else target
     df = C.documents(docs).join(target, "doc_id", "left")
-    grams = df.select(F.explode(C.let(C.word_hashes(F.col("text")), lambda h: ngrams(F.col("text"), h, buckets))).alias("bin"), "target")
-    got = grams.groupBy("bin").agg(F.count("*").alias("n"), F.count("target").alias("t")).toArrow()  # at most ``buckets`` rows
+    # a row for each word, with hashes and those before: the rest is plain arithmetic on columns, which Spark compiles
+    df = df.select("target", C.word_hashes(F.col("text")).alias("h"), shapes(F.col("text")).alias("s")).where(F.size("h") > 0)
+    df = df.select("target", F.inline(F.arrays_zip("h", before(F.col("h")).alias("hb"), "s", before(F.col("s")).alias("sb"))))
+    mask, again = buckets - 1, F.when(same(F.col("h"), F.col("hb")), F.lit(SAME & (buckets - 1)))
+    df = df.select("target", F.explode(F.array(*word_bins(F.col("h"), F.col("hb"), mask), shape_bin(F.col("s"), F.col("sb"), mask), again)).alias("bin"))
+    got = df.where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"), F.count("target").alias("t")).toArrow()  # at most ``buckets`` rows
     raw, own, at = np.zeros(buckets), np.zeros(buckets), got.column("bin").to_numpy()
     raw[at], own[at] = got.column("n").to_numpy(), got.column("t").to_numpy()
     share = (own.sum() + 1) / (raw.sum() + 1)
@@ -120,10 +144,20 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list
 def scored(docs: DataFrame, table: list[float], margin: float = MARGIN) -> DataFrame:
     """The base statistics, score and verdict of every document."""
     constant = F.from_json(F.lit(json.dumps(table)), "array<double>")  # folded to one constant by the optimizer
-    weight = lambda i: F.get(constant, i)
-    of = lambda h, s: F.transform(h, lambda _, i: sum(map(weight, cells(h, s, i, len(table))), F.lit(0.0)))
-    total = lambda h: C.let(shapes(F.col("text")), lambda s: F.aggregate(of(h, s), F.lit(0.0), lambda a, x: a + x) / (3 * F.size(h)))
-    df = base_rules(docs).withColumn("score", F.when(F.col("n_words") > 0, total(F.col("h"))))
+    mask = len(table) - 1
+    again = table[SAME & mask]
+    sum_ = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+    def of_words(x: Column, b: Column) -> Column:
+        one, pair = (constant[i] for i in word_bins(x, b, mask))
+        return one + pair + F.when(same(x, b), F.lit(again)).otherwise(F.lit(0.0))
+
+    def total(h: Column, s: Column) -> Column:
+        hb = before(h)
+        words = sum_(F.zip_with(h, hb, of_words)) + sum_(F.zip_with(s, before(s), lambda x, b: constant[shape_bin(x, b, mask)]))
+        return words / (3 * F.size(h))
+
+    df = base_rules(docs).withColumn("score", F.when(F.col("n_words") > 0, C.let(shapes(F.col("text")), lambda s: total(F.col("h"), s))))
     return df.drop("text", "h").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= margin, F.lit(False)))
 
 
