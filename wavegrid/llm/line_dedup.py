@@ -12,7 +12,8 @@ code points that two documents hold, only the lines of the smallest doc_id stay.
    Texts are shuffled never but for the last join that applies the bitmaps, which moves one copy.
 
 Defined results: a null or empty text is one empty line, which stays; keys under ``min_chars`` always stay, as do
-lines that repeat in one document only; rows with a null doc_id are left out.
+lines that repeat in one document only; rows with a null doc_id are left out. Texts that share a doc_id are one
+document, so none of them loses a line to another, but each has a row and a bitmap of its own.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from . import common as C
 #: Lines that a task settles at a time.
 CHUNK_LINES = 500_000
 EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
-_ROWS = "doc_id long, n_lines long, key binary, places binary"
-_TOLD = "doc_id long, n_lines long, places binary"
+_ROWS = "doc_id long, row long, n_lines long, key binary, places binary"
+_TOLD = "doc_id long, row long, n_lines long, places binary"
 
 
 def _keys(text: Column, min_chars: int) -> Column:
@@ -44,17 +45,17 @@ def _keys(text: Column, min_chars: int) -> Column:
     return F.transform(F.split(text, "\n", -1), key)
 
 
-def _group(key: np.ndarray, doc: np.ndarray, n_lines: np.ndarray, place: np.ndarray, with_key: bool) -> pa.RecordBatch:
-    """A row for each (key, document), or document alone, with its positions; inputs are sorted."""
+def _group(key: np.ndarray | None, doc: np.ndarray, row: np.ndarray, n_lines: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """A line for each (key, document, row), or each row alone, with its positions; inputs are sorted."""
     new = np.ones(len(doc), bool)
-    new[1:] = doc[1:] != doc[:-1]
-    if with_key:
-        new[1:] |= key[1:] != key[:-1]
+    new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])
+    if key is not None:
+        new[1:] |= (key[1:] != key[:-1]).any(1)
     first = np.flatnonzero(new)
     blobs = [place[a:b].astype(np.uint32).tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)])]
-    keys = pa.array([x.tobytes() for x in key[first]], pa.binary()) if with_key else pa.nulls(len(first), pa.binary())
-    arrays = [pa.array(doc[first], pa.int64()), pa.array(n_lines[first], pa.int64()), keys, pa.array(blobs, pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_lines", "key", "places"])
+    keys = pa.array([x.tobytes() for x in key[first]], pa.binary()) if key is not None else pa.nulls(len(first), pa.binary())
+    arrays = [*(pa.array(x[first], pa.int64()) for x in (doc, row, n_lines)), keys, pa.array(blobs, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n_lines", "key", "places"])
 
 
 def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,36 +67,38 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has = np.flatnonzero(flat.is_valid().to_numpy(zero_copy_only=False))
         if not len(has):
             continue
-        key = np.frombuffer(b"".join(flat.drop_null().to_pylist()), "V16")
-        hi = np.frombuffer(key.tobytes(), ">u8").reshape(-1, 2)
-        row = np.searchsorted(offsets, has, side="right") - 1
-        doc, place, n_lines = t.column("doc_id").to_numpy()[row], has - offsets[row], np.diff(offsets)[row]
-        order = np.lexsort((place, doc, hi[:, 1], hi[:, 0]))
-        key, doc, place, hi, n_lines = key[order], doc[order], place[order], hi[order], n_lines[order]
+        key = np.frombuffer(b"".join(flat.drop_null().to_pylist()), ">u8").reshape(-1, 2)
+        at = np.searchsorted(offsets, has, side="right") - 1
+        doc, row = (t.column(c).to_numpy()[at] for c in ("doc_id", "row"))
+        place, n_lines = has - offsets[at], np.diff(offsets)[at]
+        order = np.lexsort((place, row, doc, key[:, 1], key[:, 0]))
+        key, doc, row, place, n_lines = (x[order] for x in (key, doc, row, place, n_lines))
         new = np.ones(len(doc), bool)
-        new[1:] = (hi[1:] != hi[:-1]).any(1)
-        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        lost = doc != least
+        new[1:] = (key[1:] != key[:-1]).any(1)
+        lost = doc != doc[np.flatnonzero(new)][np.cumsum(new) - 1]  # its smallest document is the first of a key
         if lost.any():
-            by_doc = np.lexsort((place[lost], doc[lost]))
-            yield _group(key[lost][by_doc], doc[lost][by_doc], n_lines[lost][by_doc], place[lost][by_doc], False)
-        yield _group(key[~lost], doc[~lost], n_lines[~lost], place[~lost], True)
+            by_row = np.flatnonzero(lost)[np.lexsort((place[lost], row[lost], doc[lost]))]
+            yield _group(None, doc[by_row], row[by_row], n_lines[by_row], place[by_row])
+        yield _group(key[~lost], doc[~lost], row[~lost], n_lines[~lost], place[~lost])
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by key and document: passes each key's first document, tells the others."""
-    key, first = None, None
+    """Sorted by key and document: passes each key's first document, tells the others; neighbours are compared at once."""
+    last_key, last_first = None, 0
     for b in batches:
-        docs, keys = b.column("doc_id").to_pylist(), b.column("key").to_pylist()
-        told = np.zeros(len(docs), bool)
-        for i, (d, k) in enumerate(zip(docs, keys)):
-            if k is None:
-                told[i] = True
-            elif k != key:
-                key, first = k, d
-            else:
-                told[i] = d != first
-        yield b.select(["doc_id", "n_lines", "places"]).filter(pa.array(told))
+        known = b.column("key").is_null().to_numpy(zero_copy_only=False)
+        keys = np.frombuffer(b"".join(b.column("key").drop_null().to_pylist()), ">u8").reshape(-1, 2)
+        doc, told = b.column("doc_id").to_numpy()[~known], known.copy()
+        if len(keys):
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]).any(1)
+            starts = np.flatnonzero(new)
+            first = doc[starts]
+            if last_key is not None and (keys[0] == last_key).all():
+                first[0] = last_first
+            told[~known] = doc != first[np.cumsum(new) - 1]
+            last_key, last_first = keys[-1], first[-1]
+        yield b.select(["doc_id", "row", "n_lines", "places"]).filter(pa.array(told))
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +109,8 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep[np.frombuffer(b"".join(blobs), np.uint32)] = False
             maps.append(zlib.compress(np.packbits(keep, bitorder="little").tobytes()))
             lost.append(int(n - keep.sum()))
-        arrays = [b.column("doc_id"), pa.array(lost, pa.int64()), pa.array(maps, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_dropped", "keep"])
+        arrays = [b.column("doc_id"), b.column("row"), pa.array(lost, pa.int64()), pa.array(maps, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n_dropped", "keep"])
 
 
 def _kept_text(text: str, keep: bytes) -> str:
@@ -125,28 +128,38 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_lines", "n_dropped", "kept_text", "keep"])
 
 
+def _row(text: Column) -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """(doc_id, n_dropped, keep) of the documents that lose a line."""
-    C.small_batches(docs.sparkSession)
-    keyed = C.documents(docs).select("doc_id", _keys(F.col("text"), min_chars).alias("keys"))
+    """(doc_id, row, n_dropped, keep) of the texts that lose a line."""
+    spark = docs.sparkSession
+    C.small_batches(spark)
+    keyed = C.documents(docs).select("doc_id", _row(F.col("text")).alias("row"), _keys(F.col("text"), min_chars).alias("keys"))
     rows = keyed.mapInArrow(_send, _ROWS)
-    spread = F.coalesce("key", F.unhex(F.md5(F.col("doc_id").cast("string"))))  # rows without a key go anywhere
-    told = rows.repartitionByRange(spread).sortWithinPartitions("key", "doc_id", "places").mapInArrow(_stream, _TOLD)
-    told = told.groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"), F.collect_list("places").alias("places"))
-    return told.mapInArrow(_bitmaps, "doc_id long, n_dropped long, keep binary")
+    # keys are uniform, so equal ranges of their first four bytes need no sample; rows without a key go anywhere
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lead = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long")
+    part = F.floor(F.coalesce(lead, F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 << 32))) * n / F.lit(1 << 32)).cast("int")
+    told = rows.repartitionById(n, part).sortWithinPartitions("key", "doc_id", "row", "places").mapInArrow(_stream, _TOLD)
+    told = told.groupBy("doc_id", "row").agg(F.max("n_lines").alias("n_lines"), F.collect_list("places").alias("places"))
+    return told.mapInArrow(_bitmaps, "doc_id long, row long, n_dropped long, keep binary")
 
 
 def first_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text, keep) of every document; keep is null where every line stays."""
-    texts = C.documents(docs).withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
-    joined = texts.join(keep_bitmaps(docs, min_chars), "doc_id", "left").withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long")))
-    return joined.mapInArrow(_applied, "doc_id long, n_lines long, n_dropped long, kept_text string, keep binary")
+    texts = C.documents(docs).withColumn("row", _row(F.col("text"))).withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
+    joined = texts.join(keep_bitmaps(docs, min_chars), ["doc_id", "row"], "left").withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long")))
+    return joined.drop("row").mapInArrow(_applied, "doc_id long, n_lines long, n_dropped long, kept_text string, keep binary")
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """``docs`` with the same columns, its texts without the lines that go; n_chars, where there is one, follows."""
-    names, mark = docs.columns, C.unused("keep", docs.columns)
-    maps = keep_bitmaps(docs, min_chars).select("doc_id", F.col("keep").alias(mark))
+    names = docs.columns
+    mark, row = C.unused("keep", names), C.unused("row", names)
+    maps = keep_bitmaps(docs, min_chars).select("doc_id", F.col("row").alias(row), F.col("keep").alias(mark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,7 +167,7 @@ def drop_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
             texts = pa.array([t if k is None else _kept_text(t or "", k) for t, k in pairs], pa.string())
             yield b.set_column(b.schema.get_field_index("text"), "text", texts).select(names)
 
-    out = docs.join(maps, "doc_id", "left").select(*names, mark).mapInArrow(run, docs.schema)
+    out = docs.withColumn(row, _row(F.col("text"))).join(maps, ["doc_id", row], "left").select(*names, mark).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 
 
