@@ -20,7 +20,8 @@ share costs a row for each chunk of a task, not for each document. Fingerprints
 
 Defined results: a null or empty text has no words and no spans; a text shorter than the window loses nothing;
 windows that repeat within one document only are kept (only a smaller doc_id counts); rows with a null doc_id
-are left out; rows that repeat doc_id and text get equal result rows.
+are left out; rows that repeat doc_id and text get equal result rows. Texts that share a doc_id are one document, so
+none of them loses words to another; each has a row of its own (they are told apart by a 32-bit hash of the text).
 """
 
 from __future__ import annotations
@@ -41,39 +42,47 @@ CHUNK_WORDS = 1_000_000
 GROUP_BYTES = 8 << 20
 #: Bins of first-level prefixes, and documents that are read to size them.
 BINS, SIZING_DOCS = 4096, 2000
-_PACKED = "group int, docs binary, counts binary, places binary, prints binary"
-_PLACES = "doc_id long, places binary"
+_PACKED = "group int, docs binary, variants binary, counts binary, places binary, prints binary"
+_PLACES = "doc_id long, variant int, places binary"
 
 
-def _pack(group: np.ndarray, doc: np.ndarray, place: np.ndarray, prints: np.ndarray | None = None) -> pa.RecordBatch:
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins; the columns are sorted."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], 0)
+    return np.flatnonzero(new)
+
+
+def _pack(group: np.ndarray, doc: np.ndarray, variant: np.ndarray, place: np.ndarray, prints: np.ndarray | None = None) -> pa.RecordBatch:
     """One row for each group: its documents, how many occurrences each has, and those. Without prints: settled."""
-    order = np.lexsort((place, doc, group))
-    group, doc, place = group[order], doc[order], place[order].astype(np.uint32)
+    order = np.lexsort((place, variant, doc, group))
+    group, doc, variant, place = group[order], doc[order], variant[order], place[order].astype(np.uint32)
     prints = prints[order] if prints is not None else np.zeros(0, np.uint64)
-    first, _ = C.runs(group)
-    cols: tuple[list, ...] = ([], [], [], [], [])
+    first = _changes(group)
+    cols: tuple[list, ...] = ([], [], [], [], [], [])
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(group)]):
-        d, _ = C.runs(doc[a:b])
-        row = (int(group[a]), doc[a:b][d].tobytes(), np.diff(np.append(d, b - a)).astype(np.uint32).tobytes(), place[a:b].tobytes(), prints[a:b].tobytes())
+        d = _changes(doc[a:b], variant[a:b])
+        row = (int(group[a]), doc[a:b][d].tobytes(), variant[a:b][d].tobytes(), np.diff(np.append(d, b - a)).astype(np.uint32).tobytes(), place[a:b].tobytes(), prints[a:b].tobytes())
         for c, v in zip(cols, row):
             c.append(v)
     arrays = [pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(cols)]
-    return pa.RecordBatch.from_arrays(arrays, names=["group", "docs", "counts", "places", "prints"])
+    return pa.RecordBatch.from_arrays(arrays, names=["group", "docs", "variants", "counts", "places", "prints"])
 
 
-def _unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     get = lambda name, kind: np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
-    return np.repeat(get("docs", np.int64), get("counts", np.uint32)), get("places", np.uint32), get("prints", np.uint64)
+    counts = get("counts", np.uint32)
+    return np.repeat(get("docs", np.int64), counts), np.repeat(get("variants", np.int32), counts), get("places", np.uint32), get("prints", np.uint64)
 
 
 def _merged(t: pa.Table) -> pa.Table:
-    """One row for each document of a part, with all of its positions."""
-    doc, place, _ = _unpack(t)
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    first, _ = C.runs(doc)
+    """One row for each text of a part, with all of its positions."""
+    doc, variant, place, _ = _unpack(t)
+    order = np.lexsort((place, variant, doc))
+    doc, variant, place = doc[order], variant[order], place[order]
+    first = _changes(doc, variant)
     blobs = [place[a:b].tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)])]
-    return pa.table({"doc_id": pa.array(doc[first], pa.int64()), "places": pa.array(blobs, pa.binary())})
+    return pa.table({"doc_id": pa.array(doc[first], pa.int64()), "variant": pa.array(variant[first], pa.int32()), "places": pa.array(blobs, pa.binary())})
 
 
 def _nodes(prints: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,13 +122,14 @@ def _send_samples(groups: int, window: int):
             f8 = C.grams(h, SAMPLE)
             place = np.unique(_sampled(f8, at, window))
             row = np.searchsorted(offsets, place, side="right") - 1
-            doc, prints, place = t.column("doc_id").to_numpy()[row], f8[place], place - offsets[row]
+            doc, variant = (t.column(c).to_numpy()[row] for c in ("doc_id", "variant"))
+            prints, place = f8[place], place - offsets[row]
             smallest, shared = _nodes(prints, doc)
             if shared.any():  # settled here: all of these are shared; one occurrence tells other tasks
-                yield _pack(doc[shared] % groups, doc[shared], place[shared])
+                yield _pack(doc[shared] % groups, doc[shared], variant[shared], place[shared])
                 shared[_one_each(prints, shared & smallest)] = False
             ask = ~shared
-            yield _pack((prints[ask] % np.uint64(groups)).astype(np.int64), doc[ask], place[ask], prints[ask])
+            yield _pack((prints[ask] % np.uint64(groups)).astype(np.int64), doc[ask], variant[ask], place[ask], prints[ask])
 
     return run
 
@@ -129,12 +139,13 @@ def _answers(parts: int, smallest_too: bool):
 
     def run(t: pa.Table) -> pa.Table:
         settled = np.array([not len(x) for x in t.column("prints").to_pylist()])
-        known_doc, known_place, _ = _unpack(t.filter(pa.array(settled)))
-        doc, place, prints = _unpack(t.filter(pa.array(~settled)))
+        *known, _ = _unpack(t.filter(pa.array(settled)))
+        *own, prints = _unpack(t.filter(pa.array(~settled)))
+        doc = own[0]
         smallest, shared = _nodes(prints, doc)
         told = shared if smallest_too else shared & ~smallest
-        doc, place = np.concatenate([known_doc, doc[told]]), np.concatenate([known_place, place[told]])
-        return pa.Table.from_batches([_pack(doc % parts, doc, place)])
+        doc, variant, place = (np.concatenate([a, b[told]]) for a, b in zip(known, own))
+        return pa.Table.from_batches([_pack(doc % parts, doc, variant, place)])
 
     return run
 
@@ -195,14 +206,15 @@ def _send_suffixes(prefixes: _Prefixes, window: int):
             if not len(at):
                 continue
             row = np.searchsorted(offsets, at, side="right") - 1
-            doc, place, prints = t.column("doc_id").to_numpy()[row], at - offsets[row], whole[at]
+            doc, variant = (t.column(c).to_numpy()[row] for c in ("doc_id", "variant"))
+            place, prints = at - offsets[row], whole[at]
             smallest, inner = _nodes(prints, doc)
             lost = inner & ~smallest
             if lost.any():  # settled here
-                yield _pack(doc[lost] % prefixes.groups, doc[lost], place[lost])
+                yield _pack(doc[lost] % prefixes.groups, doc[lost], variant[lost], place[lost])
             ask = ~lost
             group = prefixes.of(C.grams(h, 4)[at], f8[at], prints)
-            yield _pack(group[ask], doc[ask], place[ask], prints[ask])
+            yield _pack(group[ask], doc[ask], variant[ask], place[ask], prints[ask])
 
     return run
 
@@ -219,15 +231,16 @@ def _spans(window: int):
                 last = np.append(new[1:], len(p)) - 1
                 spans.append([{"start": int(s), "end": int(e) + window} for s, e in zip(p[new], p[last])])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, kind)], names=["doc_id", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("variant"), pa.array(spans, kind)], names=["doc_id", "variant", "spans"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, window: int = 13, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """(doc_id, spans): the word spans [start, end) that a document with a smaller doc_id has too."""
+    """(doc_id, variant, spans): the word spans [start, end) that a document with a smaller doc_id has too; ``variant``
+    is the hash of the text that they belong to."""
     C.small_batches(docs.sparkSession)
-    texts = C.documents(docs)
+    texts = C.documents(docs).withColumn("variant", F.hash("text"))
     n_docs, n_bytes = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     groups, parts = max(1, n_bytes // group_bytes), max(1, n_bytes // (4 * group_bytes))
     hashed = lambda df: df.withColumn("h", C.word_hashes(F.col("text"))).drop("text")
@@ -235,12 +248,12 @@ def repeated_spans(docs: DataFrame, window: int = 13, group_bytes: int = GROUP_B
     shared = samples.groupBy("group").applyInArrow(_answers(parts, True), _PACKED)
     shared = shared.groupBy("group").applyInArrow(_merged, _PLACES)
     # sorted, so that a task that is run again forms the same chunks
-    suffixes = hashed(texts.join(shared, "doc_id")).sortWithinPartitions("doc_id")
+    suffixes = hashed(texts.join(shared, ["doc_id", "variant"])).sortWithinPartitions("doc_id", "variant")
     prefixes = _sized_prefixes(hashed(texts), n_docs, groups)
     suffixes = suffixes.mapInArrow(_send_suffixes(prefixes, window), _PACKED)
     removed = suffixes.groupBy("group").applyInArrow(_answers(parts, False), _PACKED)
     removed = removed.groupBy("group").applyInArrow(_merged, _PLACES)
-    return removed.mapInArrow(_spans(window), "doc_id long, spans array<struct<start:int,end:int>>")
+    return removed.mapInArrow(_spans(window), "doc_id long, variant int, spans array<struct<start:int,end:int>>")
 
 
 def _kept(words: Column, spans: Column) -> Column:
@@ -256,9 +269,9 @@ def _kept(words: Column, spans: Column) -> Column:
 
 def remove_repeats(docs: DataFrame, window: int = 13, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, spans) of each document."""
-    texts = C.documents(docs)
+    texts = C.documents(docs).withColumn("variant", F.hash("text"))
     spans = repeated_spans(docs, window, group_bytes)
-    df = texts.join(spans, "doc_id", "left").withColumn("words", C.words(F.col("text")))
+    df = texts.join(spans, ["doc_id", "variant"], "left").withColumn("words", C.words(F.col("text")))
     removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"])), F.lit(0).cast("long"))
     kept = F.when(F.col("spans").isNull(), F.col("words")).otherwise(C.let(F.col("words"), lambda w: C.let(F.col("spans"), lambda s: _kept(w, s))))
     return df.select(
