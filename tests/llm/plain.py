@@ -1,6 +1,7 @@
 """Plain versions of the operators, and the rows that tests share."""
 
 import hashlib
+import random
 import re
 import struct
 from collections import Counter
@@ -26,6 +27,19 @@ def odd_documents(spark):
     return spark.createDataFrame([(d, t, None, "s", 1, "k", "t", "h", 5, "p", 7) for d, t in texts], SCHEMA)
 
 
+def clashing_documents(spark):
+    """Doc_ids that occur with several texts, and repeated rows."""
+    r = random.Random(8)
+    free = lambda n: " ".join(f"v{r.randrange(900)}" for _ in range(n))
+    a, b, c = free(40), free(70), free(30)
+    lines = "\n".join(f"line number {i} of the long one" for i in range(31))
+    texts = [
+        (2, f"{a} {PASSAGE} {b}"), (2, f"{PASSAGE} {c}"), (1, f"{b} tail"), (3, f"{c} {PASSAGE}"), (3, f"{c} {PASSAGE}"), (5, lines), (5, "line number 4 of the long one\nxy\nA line of its own here"), (4, "line number 7 of the long one\nz"),
+        (6, lines), (6, f"{lines} more"), (7, b), (7, None), (7, ""), (8, f"{b} tail"), (2, "one two three"), (9, "one two three"),
+    ]
+    return spark.createDataFrame([(d, t, None, "s", 1, "k", "t", "h", 5, "p", 7) for d, t in texts], SCHEMA)
+
+
 def no_documents(spark):
     return spark.createDataFrame([], SCHEMA)
 
@@ -79,10 +93,10 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def near_groups(rows):
-    """(doc_id, n_shingles, component_id, kept)."""
-    sets = {d: shingles(t) for d, t in rows}
-    up = {d: d for d in sets}
+def near_groups(rows, share=85):
+    """(doc_id, n_shingles, component_id, kept) of each row."""
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
 
     def top(d):
         while up[d] != d:
@@ -90,15 +104,18 @@ def near_groups(rows):
         return d
 
     where = {}
-    for d, s in sets.items():
+    for d, s in enumerate(sets):
         for x in s:
             where.setdefault(x, []).append(d)
     common = Counter((a, b) for ds in where.values() for i, a in enumerate(ds) for b in ds[i + 1 :])
     for (a, b), n in common.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= share * (len(sets[a]) + len(sets[b]) - n):
             a, b = sorted((top(a), top(b)))
             up[b] = a
-    return sorted((d, len(sets[d]), top(d), top(d) == d) for d, _ in rows)
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        least[top(k)] = min(d, least.get(top(k), d))
+    return sorted((d, len(sets[k]), least[top(k)], least[top(k)] == d) for k, (d, _) in enumerate(rows))
 
 
 def tiled(doc, item, least=5):

@@ -11,11 +11,11 @@ from wavegrid.llm import common as C
 from wavegrid.llm import decontamination, line_dedup, near_dedup, queries, substring_dedup
 from wavegrid.llm.components import components
 
-INPUTS = ["documents", "odd", "none"]
+INPUTS = ["documents", "odd", "none", "clash"]
 
 
 def given(spark, kind):
-    return {"documents": lambda: plain.read(spark, "documents"), "odd": lambda: plain.odd_documents(spark), "none": lambda: plain.no_documents(spark)}[kind]()
+    return {"documents": lambda: plain.read(spark, "documents"), "odd": lambda: plain.odd_documents(spark), "none": lambda: plain.no_documents(spark), "clash": lambda: plain.clashing_documents(spark)}[kind]()
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -70,8 +70,7 @@ def test_near_duplicates(spark, kind):
     assert sorted(map(tuple, near_dedup.near_duplicates(docs).collect())) == expected
     left = near_dedup.one_of_each(docs)
     assert left.columns == docs.columns
-    keeps = {d for d, _, _, k in expected if k}
-    assert sorted(r[0] for r in left.select("doc_id").collect() if r[0] is not None) == sorted(d for d, _ in plain.texts(docs) if d in keeps)
+    assert sorted(r[0] for r in left.select("doc_id").collect() if r[0] is not None) == [d for d, _, _, k in expected if k]
 
 
 def test_near_duplicates_in_blocks(spark, monkeypatch):
@@ -108,19 +107,42 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("kind", INPUTS)
-def test_decontamination(spark, kind):
+def test_decontamination(spark, kind, monkeypatch):
     docs, items = given(spark, kind), plain.read(spark, "benchmark")
     if kind == "odd":
         items = spark.createDataFrame([(1, plain.PASSAGE), (2, None), (None, plain.PASSAGE), (3, "one two"), (4, ""), (5, "same " * 9)], "item_id long, text string")
     listed = [(r["item_id"], r["text"]) for r in items.collect() if r["item_id"] is not None and r["text"]]
-    rows = dict(plain.texts(docs))
-    expected = plain.leaks(list(rows.items()), listed)
+    if kind == "clash":
+        items = spark.createDataFrame([(1, plain.PASSAGE), (2, "line number 7 of the long one xy"), (3, " ".join(plain.PASSAGE.split()[20:50]))], "item_id long, text string")
+        listed = [tuple(r) for r in items.collect()]
+        monkeypatch.setattr(decontamination, "BLOCK_TOKENS", 20)
+    rows = plain.texts(docs)
+    expected = sorted((d, plain.leaks([(d, t)], listed)[d]) for d, t in rows)
     got = decontamination.contaminated(docs, items)
-    assert {r["doc_id"]: sorted(i["item_id"] for i in r["items"]) for r in got.collect()} == expected
-    assert kind == "none" or any(expected.values())
+    assert sorted((r["doc_id"], sorted(i["item_id"] for i in r["items"])) for r in got.collect()) == expected
+    assert kind == "none" or any(x for _, x in expected)
     left = decontamination.clean_documents(docs, items)
     assert left.columns == docs.columns
-    assert {r[0] for r in left.select("doc_id").collect()} - {None} == {d for d, i in expected.items() if not i}
+    assert sorted(r[0] for r in left.select("doc_id").collect() if r[0] is not None) == [d for d, i in expected if not i]
+
+
+@pytest.mark.parametrize("first", [5, 64])
+def test_tiles_are_the_greedy_ones(first, monkeypatch):
+    """The same coverage as the quadratic search, tiles of equal free tokens; one repeated word doesn't multiply."""
+    import numpy as np
+
+    monkeypatch.setattr(decontamination, "FIRST_SEARCH", first)
+    r = random.Random(9)
+    for n in range(60):
+        item = [r.randrange(2 + n % 9) for _ in range(r.randrange(1, 60))]
+        doc = [r.randrange(2 + n % 9) for _ in range(40)] + item[len(item) // 2 :] + item[: len(item) // 2 + 3]
+        found = decontamination.tiles(np.array(doc, np.uint64), np.array(item, np.uint64), 5)
+        assert sum(t[2] for t in found) == plain.tiled(doc, item)
+        assert all(doc[d : d + k] == item[i : i + k] and k >= 5 for d, i, k in found)
+        for at in (0, 1):
+            assert len({t[at] + j for t in found for j in range(t[2])}) == sum(t[2] for t in found)
+    same = np.zeros(30_000, np.uint64)
+    assert decontamination.tiles(same, same[:3000], 5) == [(0, 0, 3000)]
 
 
 def test_decontamination_in_passes(spark, monkeypatch):

@@ -5,7 +5,8 @@ Conventions that hold for every operator here:
 * a *word* is a maximal run of ``[^\\x20\\x09-\\x0D]``; a null text has no words;
 * rows whose ``doc_id`` is null are left out, since a result row could not name them;
 * only ``doc_id`` and ``text`` are read, so extra columns never clash;
-* rows that repeat a ``doc_id`` with the same text get equal result rows.
+* rows that repeat a ``doc_id`` with the same text get equal result rows; where its texts differ, each row has a
+  result of its own, and where an operator asks for the smaller doc_id they count as one document.
 """
 
 from __future__ import annotations

@@ -18,13 +18,15 @@ no more rows than it has members. No pair of two components that share a bucket
 more than two blocks.
 
 Defined results: null or empty texts, and texts without words, have an empty set, link with nothing and are
-kept; fewer than five words are one shingle; ties go to the smallest doc_id.
+kept; fewer than five words are one shingle; ties go to the smallest doc_id. Rows are texts of their own: where a
+doc_id has several, each has its links, its component and its verdict; ``one_of_each`` drops a row by doc_id and text,
+so both of two equal rows of the smallest doc_id stay.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,9 @@ BANDS, ROWS = 32, 6
 COORDS = BANDS * ROWS
 #: Members of a bucket that are compared at a time, and how far below the threshold a sketch may lie.
 BLOCK, BLOCK_SHINGLES, SIGMAS = 512, 2_000_000, 6
-#: Ids that may be broadcast: at most 16 MB.
-BROADCAST_IDS = 1_000_000
-_PROFILE = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
+#: Ids that may be broadcast, some 60 bytes each, so 15 MB; more are joined by a shuffle, to the same result.
+BROADCAST_IDS = 250_000
+_PROFILE = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, sketch binary"
 
 
 def shingle_sets(h: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -67,12 +69,12 @@ def sketches(value: np.ndarray, offsets: np.ndarray, coords: int = COORDS) -> np
     n_docs = len(offsets) - 1
     bins = np.full(n_docs * coords, np.iinfo(np.uint64).max, np.uint64)
     doc = np.repeat(np.arange(n_docs), np.diff(offsets))
-    for r in range(2 * coords):
+    for r in range(2 * coords):  # under 512, so 9 bits hold it
         if not len(value):
             break
         x = C.mix(value + C.mix(np.array([r + 1], np.uint64) * C.POLY))
         to = (x % np.uint64(coords)).astype(np.int64) if r < coords else r - coords
-        np.minimum.at(bins, doc * coords + to, (np.uint64(r) << np.uint64(56)) | (x >> np.uint64(8)))
+        np.minimum.at(bins, doc * coords + to, (np.uint64(r) << np.uint64(55)) | (x >> np.uint64(9)))
         full = (bins.reshape(n_docs, coords) != np.iinfo(np.uint64).max).all(1)
         go = ~full[doc]
         value, doc = value[go], doc[go]
@@ -89,17 +91,20 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for j in range(ROWS):
             keys = C.mix(keys * C.POLY + parts[:, :, j])
         keys = C.mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * C.POLY)
-        digests = [hashlib.blake2b(value[a:z].tobytes(), digest_size=16).digest() for a, z in zip(offsets[:-1], offsets[1:])]
         bands = pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), pa.array(keys.reshape(-1).view(np.int64)))
         sketch = pa.array([x.tobytes() for x in bins.astype(np.uint16)], pa.binary())
-        arrays = [b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(digests, pa.binary()), bands, sketch]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
+        arrays = [b.column("doc_id"), b.column("text_hash"), pa.array(np.diff(offsets)), _digests(value, offsets), bands, sketch]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "n_shingles", "digest", "bands", "sketch"])
+
+
+def _digests(value: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.array([hashlib.blake2b(value[a:z].tobytes(), digest_size=16).digest() for a, z in zip(offsets[:-1], offsets[1:])], pa.binary())
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         value, offsets = shingle_sets(*C.ragged(b.column("h")))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(value.view(np.int64)))], names=["doc_id", "set"])
+        yield pa.RecordBatch.from_arrays([_digests(value, offsets), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(value.view(np.int64)))], names=["digest", "set"])
 
 
 def _verified(share: int):
@@ -211,23 +216,25 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return C.saved(labels.join(merged, "component", "left").select("node", F.coalesce("new", "component").alias("component")))
 
 
-def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): components of documents with 100 * inter >= share * union."""
+def near_duplicates(docs: DataFrame, share: int = 85, more_columns: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): components of documents with 100 * inter >= share * union; on demand
+    also ``text_hash``."""
     C.small_batches(docs.sparkSession)
-    hashed = C.documents(docs).select("doc_id", C.word_hashes(C.ascii_lower(F.col("text"))).alias("h"))
+    hashed = C.documents(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), C.word_hashes(C.ascii_lower(F.col("text"))).alias("h"))
     profiles = C.work_table(hashed.mapInArrow(_profiles, _PROFILE), "profiles")
-    classes = profiles.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    heads = profiles.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    banded = heads.select(F.explode("bands").alias("band"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
+    # a class of equal sets is a node, numbered by its digest, so texts that share a doc_id are nodes of their own
+    classes = profiles.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("node", F.xxhash64("digest"))
+    heads = profiles.join(classes.select(F.col("rep").alias("doc_id"), "digest", "node"), ["doc_id", "digest"]).dropDuplicates(["node"])
+    banded = heads.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("node").alias("hub")).where("size > 1")
     members = C.work_table(banded.join(buckets, "band"), "members")
     nodes = members.select("node").distinct()
     labels = C.saved(nodes.select("node", F.col("node").alias("component")))
-    within = labels.select(F.col("node").alias("doc_id"))
+    within = labels.join(classes, "node").select(F.col("rep").alias("doc_id")).distinct()
     within = F.broadcast(within) if labels.count() <= BROADCAST_IDS else within
-    sets = hashed.join(within, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set array<long>").dropDuplicates(["doc_id"])
-    sets = C.work_table(sets, "sets")
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"))
+    sets = hashed.join(within, "doc_id", "left_semi").mapInArrow(_sets, "digest binary, set array<long>").withColumn("node", F.xxhash64("digest"))
+    sets = C.work_table(sets.select("node", "set").dropDuplicates(["node"]), "sets")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"s{x}"))
 
     stars = C.saved(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     both = stars.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
@@ -235,7 +242,7 @@ def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
 
     more = members.where("size > 2").join(labels, "node")
     spread = more.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    more = more.join(spread, "band").join(heads.select(F.col("doc_id").alias("node"), "sketch"), "node").join(sets.withColumnRenamed("doc_id", "node"), "node")
+    more = more.join(spread, "band").join(heads.select("node", "sketch"), "node").join(sets, "node")
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     dealt = more.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -243,20 +250,22 @@ def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
     dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
     labels = _relabelled(labels, C.work_table(dealt.mapInArrow(_block_links(share), "a long, b long"), "rest"))
 
-    rep = labels.select(F.col("node").alias("rep"), "component")
-    named = classes.join(rep, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    own = classes.join(labels, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("component"))
+    least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = own.join(least, "component").select("digest", "component_id")
     return (
         profiles.join(named, "digest", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", *more_columns, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))
     )
 
 
 def one_of_each(docs: DataFrame, share: int = 85) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component; rows without a doc_id stay."""
-    gone = C.saved(near_duplicates(docs, share).where("NOT kept").select("doc_id").distinct())
+    names, own = docs.columns, C.unused("own", docs.columns)
+    gone = C.saved(near_duplicates(docs, share, ["text_hash"]).where("NOT kept").select("doc_id", F.col("text_hash").alias(own)).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))).join(gone, ["doc_id", own], "left_anti").select(*names)
 
 
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
