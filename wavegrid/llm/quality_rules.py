@@ -95,7 +95,7 @@ def shapes(text: Column) -> Column:
 
 def before(values: Column) -> Column:
     """For each element the one before it, twice; 0 for the first."""
-    return F.concat(F.array(F.lit(0).cast("long")), F.transform(F.slice(values, F.lit(1), F.size(values) - 1), lambda x: F.shiftleft(x, 1)))
+    return F.concat(F.array(F.lit(0).cast("long")), F.transform(F.slice(values, F.lit(1), F.greatest(F.size(values) - 1, F.lit(0))), lambda x: F.shiftleft(x, 1)))
 
 
 def word_bins(x: Column, b: Column, mask: int) -> list[Column]:
@@ -130,8 +130,8 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list
     target = F.broadcast(target) if target.count() <= BROADCAST_IDS else target
     df = C.documents(docs).join(target, "doc_id", "left")
     # a row for each word, with hashes and those before: the rest is plain arithmetic on columns, which Spark compiles
-    df = df.select("target", C.word_hashes(F.col("text")).alias("h"), shapes(F.col("text")).alias("s")).where(F.size("h") > 0)
-    df = df.select("target", F.inline(F.arrays_zip("h", before(F.col("h")).alias("hb"), "s", before(F.col("s")).alias("sb"))))
+    df = df.select("target", C.word_hashes(F.col("text")).alias("h"), shapes(F.col("text")).alias("s"))
+    df = df.select("target", F.inline_outer(F.arrays_zip("h", before(F.col("h")).alias("hb"), "s", before(F.col("s")).alias("sb")))).where("h IS NOT NULL")  # the outer form, as Spark would put all of this into a filter before the other, too
     mask, again = buckets - 1, F.when(same(F.col("h"), F.col("hb")), F.lit(SAME & (buckets - 1)))
     df = df.select("target", F.explode(F.array(*word_bins(F.col("h"), F.col("hb"), mask), shape_bin(F.col("s"), F.col("sb"), mask), again)).alias("bin"))
     got = df.where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"), F.count("target").alias("t")).toArrow()  # at most ``buckets`` rows

@@ -82,14 +82,14 @@ def mined_terms(rows: DataFrame) -> list[str]:
     """Of (doc_id, text, label): forms with many toxic contexts and hardly any clean document; at most ``TERMS``, or one
     for each ``ROWS_A_TERM`` rows if that is more, after forms that a shorter beginning covers have gone."""
     rows = rows.dropDuplicates(["doc_id", "text"])
-    held = lambda label: rows.where(F.col("label") == label).select(F.explode(F.array_distinct(hashed_forms(F.array_distinct(tokens(F.col("text")))))).alias("h")).where("h <> 0")
+    held = lambda label: rows.where(F.col("label") == label).select(F.explode_outer(F.array_distinct(hashed_forms(F.array_distinct(tokens(F.col("text")))))).alias("h")).where("h <> 0")
     toxic = C.saved(held(1).groupBy("h").agg(F.count("*").alias("toxic")).where(F.col("toxic") >= TOXIC_DOCS))
     clean = held(0).join(small(toxic.select("h")), "h").groupBy("h").agg(F.count("*").alias("clean"))
     found = toxic.join(clean, "h", "left").where(F.coalesce("clean", F.lit(0)) <= CLEAN_SHARE * F.col("toxic"))
     found = C.saved(found.select("h"))
     placed = C.let(tokens(F.col("text")), lambda t: F.transform(t, lambda w, i: F.struct(w.alias("w"), F.xxhash64(F.get(t, i - 1), F.get(t, i + 1)).alias("context"))))
-    placed = rows.where("label = 1").select(F.explode(placed).alias("p")).select(F.explode(F.array_compact(F.array(*forms(F.col("p.w"))))).alias("w"), F.col("p.context").alias("context"))
-    counted = placed.withColumn("h", F.xxhash64("w")).join(small(found), "h").select("w", "context").distinct()
+    placed = rows.where("label = 1").select(F.explode_outer(placed).alias("p")).select(F.explode(F.array(*forms(F.col("p.w")))).alias("w"), F.col("p.context").alias("context"))
+    counted = placed.where("w IS NOT NULL").withColumn("h", F.xxhash64("w")).join(small(found), "h").select("w", "context").distinct()
     counted = counted.groupBy("w").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= CONTEXTS)
     best = [r[0] for r in counted.orderBy(F.desc("contexts"), "w").select("w").collect()]
     return uncovered(best)[: max(TERMS, rows.count() // ROWS_A_TERM)]
