@@ -169,6 +169,42 @@ def test_base_spans(spark, kind):
             assert not any(k == s["rank"] and a < s["end"] and s["start"] < z for a, k, z in base)
 
 
+def secrets(spark, n=360):
+    """Texts with named and unnamed hexadecimal secrets, and with harmless long names."""
+    r = np.random.default_rng(4)
+    hexes = lambda: "".join(r.choice(list("0123456789abcdef"), 40))
+    rows = []
+    for d in range(n):
+        parts = [f"plain words {d}", f"some_long_file-name_of_part{d % 7}" if d % 2 else "more words"]
+        parts += [f'token = "{hexes()}"'] if d % 3 == 0 else [f"loose {hexes()} here"] if d % 40 == 1 else []
+        rows.append((d, " and ".join(parts)))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_secrets_are_added_alike_for_any_layout(spark):
+    docs = secrets(spark)
+    added = lambda df: {r["doc_id"]: [(s["start"], s["rank"], s["end"]) for s in r["added"]] for r in pii.redactions(df, pii.fit(df)).collect()}
+    first, second = added(docs.repartition(3)), added(docs.repartition(8))
+    assert first == second
+    texts = dict(plain.texts(docs))
+    for d, spans in first.items():
+        found = [(m.start(), pii.SECRET, m.end()) for m in re.finditer("[0-9a-f]{40}", texts[d])]
+        assert spans == found, texts[d]
+
+
+def test_scorer_is_the_fitted_model(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    r = np.random.default_rng(2)
+    x = r.random((300, pii.N_FEATURES)).round(3)
+    rows = spark.createDataFrame([(float(a[0] + a[3] > 1), a.tolist()) for a in x], "label double, f array<double>")
+    model = pii.boosted(rows)
+    wide = rows.select("f", *[F.get("f", F.lit(k)).alias(f"f{k}") for k in range(pii.N_FEATURES)])
+    vectors = VectorAssembler(inputCols=[f"f{k}" for k in range(pii.N_FEATURES)], outputCol="features").transform(wide)
+    for row in model.transform(vectors).select("probability", pii.Scorer(pii.printed(model), {}).probability(F.col("f")).alias("p")).collect():
+        assert math.isclose(row["probability"][1], row["p"], abs_tol=1e-9)
+
+
 TRICKY = [
     "a@b", "a@b.c", "x@@a.b", "a@b..c", "a.b@c.d.e.", "a@b@c.d", "é@b.c", "a@b-.c x%@y.z", "1.2.3.4.5.6.7.8", "1.2.3", "256.1.1.1", "0001.02.3.4", "1.2.3.4444 9.9.9.9", "4111-1111 1111-1111", "4111  1111", "0" * 14, "0" * 13, "0" * 19 + " 0",
     "1 " * 9 + "+1 (2) 345-67890 +", "+12", "+1 2345678901234567", "++49301234567", "+4930 1234567. 12", "\U0001f600 a@b.c 漢+49 30 123456789", "7" * 40, "12 1.2.3.4 4111111111111111 a@1.2", "a" * 3000 + "@", "1." * 2000, "1-" * 1500 + "1",
