@@ -40,6 +40,8 @@ UNKNOWN_PENALTY = 10.0
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Words of one length that advance together, and characters from which a word is searched alone.
 GROUP, LONG = 20_000, 2_000
+#: Words that a worker remembers; it lives on when the stage is over, so they count in later stages' memory, too.
+CACHED_WORDS = 400_000
 
 
 def codes(words: list[str]) -> np.ndarray:
@@ -292,7 +294,7 @@ def worker(path: str) -> tuple[Pieces, WordCache]:
     """The vocabulary and word cache of this Python worker, kept from task to task."""
     if path not in _workers:
         pieces = Pieces.load(path)
-        _workers[path] = pieces, WordCache(pieces.merge_words)
+        _workers[path] = pieces, WordCache(pieces.merge_words, CACHED_WORDS)
     return _workers[path]
 
 
