@@ -53,6 +53,85 @@ def test_diverging_bar_is_stable(spark):
     assert [r.trial for r in matrix.ranked(df, matrix.pattern_keys("diverging_bar"), ["rep"]).orderBy("y").collect()] == [2, 4, 1, 3]
 
 
+def test_large_matrices_are_ranked_over_all_tasks(spark):
+    rows = [("a" if k % 3 else None, k * 7 % 5, k) for k in range(200)] + [("b", 1, 1), ("b", 1, 1)]
+    df = spark.createDataFrame(rows, "g string, key int, id int")
+    plain = {(r.g, r.key, r.id, r.y) for r in matrix.ranked(df, ["key", "id"], ["g"]).collect()}
+    assert {(r.g, r.key, r.id, r.y) for r in matrix.ranked(df, ["key", "id"], ["g"], spread=True).collect()} == plain
+    got = sorted((r.y, r.key, r.id) for r in matrix.ranked(df, ["key", "id"]).collect())
+    assert [g[1:] for g in got] == sorted((k, i) for _, k, i in rows) and [g[0] for g in got] == list(range(1, 203))
+    kept = lambda **how: sorted((r.id, r.dropped) for r in matrix.dropout(df, F.lit(20.0), 3, ["g"], ["id"], **how).collect())
+    assert kept() == kept(spread=True)
+    assert matrix.dropout(df, F.lit(20.0), 3, key=["id"]).count() == 182
+    assert matrix.ranked(df.limit(0), ["key"]).count() == 0
+
+
+def test_delta_latency_of_one_run(spark):
+    df = spark.createDataFrame([(i + 1, x) for i, x in enumerate((10, 35, 50, 90))], "trial int, latency long")
+    assert [r.dlatency for r in events.delta_latency(df, [], ["trial"]).orderBy("trial").collect()] == [25, 15, 40, 0]
+
+
+def plain_resized(a, height, width, sigma=0.0, length=0, antialias=0.0):
+    """Smoothing, low-pass and linear resize of a whole matrix, by padding and interpolation."""
+
+    def blurred(a, axis, s, length):
+        half = length // 2
+        k = np.exp(-(np.arange(-half, half + 1) ** 2) / (2 * s * s))
+        pad = np.pad(a, [(half, half) if d == axis else (0, 0) for d in (0, 1)], mode="reflect")
+        return np.apply_along_axis(np.convolve, axis, pad, k / k.sum(), "valid")
+
+    change = height > 0 and width > 0 and a.shape != (height, width)
+    if sigma and min(a.shape) > 1:
+        a = blurred(blurred(a, 0, sigma, length), 1, sigma, length)
+    if antialias and change and min(a.shape) > 1:
+        for d, size in enumerate((height, width)):
+            s = antialias * a.shape[d] / size
+            a = blurred(a, d, s, 4 * int(np.ceil(s)) + 1)
+    if change:
+        for d, size in enumerate((height, width)):
+            n = a.shape[d]
+            at = np.clip((np.arange(size) + 0.5) * n / size - 0.5, 0, n - 1)
+            a = np.apply_along_axis(lambda v: np.interp(at, np.arange(n), v), d, a)  # noqa: B023
+    return a
+
+
+@pytest.mark.parametrize(
+    "shape, height, width, filters",
+    [
+        ((40, 12), 10, 12, {"antialias": 0.75}),  # one axis changes: both are low-passed
+        ((40, 12), 40, 12, {"antialias": 0.75}),  # none changes: neither is
+        ((1, 12), 1, 6, {"sigma": 1.0, "length": 5, "antialias": 0.75}),  # a single row is not filtered
+        ((12, 1), 6, 1, {"sigma": 1.0, "length": 5}),
+        ((9, 8), 0, 4, {"sigma": 1.0, "length": 5, "antialias": 0.75}),  # a size of 0: nothing is resized
+        ((9, 30), 20, 10, {"sigma": 1.0, "length": 5, "antialias": 0.75}),
+    ],
+)
+def test_both_axes_decide_together(spark, shape, height, width, filters):
+    a = np.random.default_rng(5).normal(size=shape)
+    df = spark.createDataFrame([("m", k + 1, row) for k, row in enumerate(a.tolist())], "m string, y int, signal array<double>")
+    expected = plain_resized(a, height, width, **filters)
+    for by in ([], ["m"]):
+        got = np.full(expected.shape, np.nan)
+        for r in matrix.resized(df, height, width, by, **filters).collect():
+            got[r.y - 1, r.x - 1] = r.v
+        assert np.allclose(got, expected, atol=1e-9)
+
+
+def test_bad_matrices_raise(spark):
+    schema = "m string, trial int, y int, key int, signal array<double>"
+    empty, ragged = spark.createDataFrame([], schema), spark.createDataFrame([("m", 1, 1, 1, [1.0]), ("m", 2, 2, 2, [1.0, 2.0])], schema)
+    for bad in (empty, ragged):
+        with pytest.raises(ValueError):
+            matrix.resized(bad, 2, 2)
+    with pytest.raises(Exception, match="differ in length"):
+        matrix.resized(ragged, 2, 2, ["m"]).collect()
+    with pytest.raises(ValueError):
+        matrix.guarded(empty)
+    for row, message in ((("m", 1, 1, None, [1.0]), "sort by"), (("m", 1, 1, 1, []), "no samples"), (("m", 1, 1, 1, None), "no samples")):
+        with pytest.raises(Exception, match=message):
+            matrix.guarded(spark.createDataFrame([row], schema), ["key"]).collect()
+
+
 def test_zscore(spark):
     df = spark.createDataFrame([(1, [1.0, 5.0]), (2, [2.0, 5.0]), (3, [3.0, 5.0])], "trial int, signal array<double>")
     assert [r.signal for r in matrix.zscored(df).orderBy("trial").collect()] == [[-1.0, None], [0.0, None], [1.0, None]]

@@ -37,9 +37,9 @@ def _spline(t: np.ndarray, degree: int) -> np.ndarray:
     return np.where(a < 1, 2 / 3 - a * a + a**3 / 2, np.where(a < 2, (2 - a) ** 3 / 6, 0.0))
 
 
-def _spline_taps(n: int, size: int, degree: int) -> list[tuple[int, int, float]]:
+def _spline_taps(n: int, size: int, degree: int, outputs: np.ndarray) -> list[tuple[int, int, float]]:
     out = []
-    for o, p in enumerate(positions(n, size), 1):
+    for o, p in zip(outputs.tolist(), positions(n, size)[outputs - 1]):
         lo, hi = max(1, int(p) - REACH), min(n, int(p) + REACH)
         m = hi - lo + 1
         # coefficients c_0..c_{m+1} with zero second differences at the ends (a straight line beyond the grid)
@@ -53,14 +53,16 @@ def _spline_taps(n: int, size: int, degree: int) -> list[tuple[int, int, float]]
     return out
 
 
-def resize(n: int, size: int, method: str) -> list[tuple[int, int, float]]:
-    """Identity where the size is 0 or the same."""
+def resize(n: int, size: int, method: str, outputs: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """Of all outputs or the given ones; identity where the size is 0 or the same."""
+    if outputs is None:
+        outputs = np.arange(1, (n if size <= 0 else size) + 1)
     if size <= 0 or size == n:
-        return [(o, o, 1.0) for o in range(1, n + 1)]
+        return [(o, o, 1.0) for o in outputs.tolist()]
     if method in ("quadratic_line_ongrid", "cubic_line_ongrid"):
-        return _spline_taps(n, size, 2 if method.startswith("q") else 3)
+        return _spline_taps(n, size, 2 if method.startswith("q") else 3, outputs)
     out = []
-    for o, p in enumerate(positions(n, size), 1):
+    for o, p in zip(outputs.tolist(), positions(n, size)[outputs - 1]):
         i = int(np.floor(p))
         if method == "nearest":
             taps = {int(np.rint(p)): 1.0}
@@ -80,31 +82,20 @@ def resize(n: int, size: int, method: str) -> list[tuple[int, int, float]]:
     return out
 
 
-def smooth(n: int, kernel: np.ndarray) -> list[tuple[int, int, float]]:
+def smoothed(taps: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, kernel: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The taps over inputs that are smoothed first: each input spread over its neighbours, equal places added up."""
+    o, i, w = taps
     half = len(kernel) // 2
-    out: dict[tuple[int, int], float] = {}
-    for j, w in zip(range(-half, half + 1), kernel.tolist()):
-        for o, i in enumerate(reflected(np.arange(1, n + 1) + j, n).tolist(), 1):
-            out[o, i] = out.get((o, i), 0.0) + w
-    return [(o, i, w) for (o, i), w in out.items()]
-
-
-def axis(n: int, size: int, method: str = "linear", sigma: float = 0.0, length: int = 0, antialias: float = 0.0) -> list[tuple[int, int, float]]:
-    """Smoothing, low-pass before a resize, and the resize as one set of weights."""
-    steps = []
-    if sigma > 0 and n > 1:
-        steps.append(smooth(n, gauss(sigma, length)))
-    if antialias > 0 and n > 1 and size > 0 and size != n:
+    near = reflected(i[:, None] + np.arange(-half, half + 1), n)
+    cell, place = np.unique(o[:, None] * (n + 1) + near, return_inverse=True)
+    return cell // (n + 1), cell % (n + 1), np.bincount(place.ravel(), (w[:, None] * kernel).ravel(), len(cell))
+
+
+def axis(n: int, size: int, method: str = "linear", sigma: float = 0.0, length: int = 0, antialias: float = 0.0, outputs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(outputs, inputs, weights) of a smoothing, a low-pass and a resize together, for all outputs or the given ones."""
+    rows = np.array(resize(n, size, method, outputs), dtype=float).reshape(-1, 3)
+    taps = rows[:, 0].astype(np.int64), rows[:, 1].astype(np.int64), rows[:, 2]
+    if antialias > 0 and size > 0:
         s = antialias * n / size
-        steps.append(smooth(n, gauss(s, 4 * int(np.ceil(s)) + 1)))
-    total = resize(n, size, method)
-    for step in reversed(steps):
-        inner: dict[int, list[tuple[int, float]]] = {}
-        for o, i, w in step:
-            inner.setdefault(o, []).append((i, w))
-        joined: dict[tuple[int, int], float] = {}
-        for o, k, w in total:
-            for i, v in inner[k]:
-                joined[o, i] = joined.get((o, i), 0.0) + w * v
-        total = [(o, i, w) for (o, i), w in joined.items()]
-    return total
+        taps = smoothed(taps, n, gauss(s, 4 * int(np.ceil(s)) + 1))
+    return smoothed(taps, n, gauss(sigma, length)) if sigma > 0 else taps

@@ -7,12 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .matrix import ranked
+
 #: Samples that one row of a continuous signal holds.
 BLOCK = 1024
 
 
 def delta_latency(df: DataFrame, by: Sequence[str], order: Sequence[str], latency: str = "latency") -> DataFrame:
-    """``dlatency``: the next event's latency less this one's; 0 for the last."""
+    """``dlatency``: the next event's latency less this one's; 0 for the last. One run alone is ordered over all tasks."""
+    if not by:
+        df = ranked(df, order, name="_at")
+        after = df.select((F.col("_at") - 1).alias("_at"), F.col(latency).alias("_next"))
+        df = df.join(after, "_at", "left")
+        return df.withColumn("dlatency", F.coalesce(F.col("_next") - F.col(latency), F.lit(0).cast("long"))).drop("_at", "_next")
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("dlatency", F.coalesce(F.lead(latency).over(w) - F.col(latency), F.lit(0).cast("long")))
 

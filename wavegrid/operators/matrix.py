@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import draws
 from ..functions.taps import axis
+from ..session import work_table
 
 PATTERNS = ("sigmoid", "one_sided_fan", "two_sided_fan", "diverging_bar", "hourglass", "tilted_bar", "no_class")
 #: (variant, trial order, inverted)
@@ -37,9 +40,44 @@ def pattern_keys(pattern: str, seed: int = 0) -> list[Column]:
     return [*keys[pattern], F.col("trial")]
 
 
-def ranked(df: DataFrame, keys: Sequence[Column | str], by: Sequence[str] = (), name: str = "y") -> DataFrame:
-    """``name``: position from 1 within each matrix by the keys."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*[F.col(c) for c in by] or [F.lit(0)]).orderBy(*keys)).cast("int"))
+def with_facts(df: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` with the columns of its matrix's row in ``facts``; a null in ``by`` is a value like others."""
+    facts = facts.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+    return df.join(facts, same).drop(*[f"_of_{c}" for c in by])
+
+
+def ranked(df: DataFrame, keys: Sequence[Column | str], by: Sequence[str] = (), name: str = "y", spread: bool | None = None) -> DataFrame:
+    """``name``: position from 1 within each matrix by the keys.
+
+    Many small matrices are ranked by a window. With ``spread`` (where ``by`` is empty, always) a matrix may be larger
+    than a task: rows are sorted in ranges over all tasks and saved, and a row's rank is its place in its range after
+    the rows of the ranges before.
+    """
+    by, keys = list(by), [F.col(k) if isinstance(k, str) else k for k in keys]
+    if by and not spread:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*keys)).cast("int"))
+    order, ranges = [*map(F.col, by), *keys], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # the id holds the range above bit 33 and the place in it below
+    rows = work_table(sorted_rows.withColumn("_id", F.monotonically_increasing_id()), "ranked").withColumn("_range", F.shiftright("_id", 33))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    before = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    rows = rows.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_id", "_range", "_before")
+    if by:
+        rows = with_facts(rows, rows.groupBy(*by).agg((F.min(name) - 1).alias("_ahead")), by).withColumn(name, F.col(name) - F.col("_ahead")).drop("_ahead")
+    return rows.withColumn(name, F.col(name).cast("int"))
+
+
+def guarded(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Raises an error where there is no trial, and where a trial has no samples or no value to sort by."""
+    if df.isEmpty():
+        raise ValueError("there are no trials")
+    fail = lambda message: F.raise_error(F.lit(message)).cast("array<double>")
+    signal = F.when(F.coalesce(F.size("signal"), F.lit(0)) <= 0, fail("a trial has no samples"))
+    for k in keys:
+        signal = signal.when(F.col(k).isNull(), fail(f"a trial has no value of {k} to sort by"))
+    return df.withColumn("signal", signal.otherwise(F.col("signal")))
 
 
 def sort_key(seed: int = 0) -> Column:
@@ -60,12 +98,20 @@ def drop_count(rate: Column, n: Column) -> Column:
     return draws.clamp(F.rint(rate).cast("long"), F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0)).cast("long"))
 
 
-def dropout(df: DataFrame, rate: Column, seed: int, by: Sequence[str] = (), key: Sequence[str] = ("trial",)) -> DataFrame:
-    """Without ``drop_count(rate, n)`` trials of each matrix, chosen by hash; ``dropped`` tells how many."""
-    group = Window.partitionBy(*[F.col(c) for c in by] or [F.lit(0)])
-    order = group.orderBy(draws.uniform(seed, "drop", *by, *key), *key)
-    df = df.withColumn("dropped", drop_count(rate, F.count("*").over(group))).withColumn("_place", F.row_number().over(order))
-    return df.where(F.col("_place") > F.col("dropped")).drop("_place")
+def dropout(df: DataFrame, rate: Column, seed: int, by: Sequence[str] = (), key: Sequence[str] = ("trial",), spread: bool | None = None) -> DataFrame:
+    """Without ``drop_count(rate, n)`` trials of each matrix, chosen by hash; ``dropped`` tells how many.
+
+    ``spread`` is that of ``ranked``: for matrices that may be larger than a task.
+    """
+    by, order = list(by), [draws.uniform(seed, "drop", *by, *key), *[F.col(k) for k in key]]
+    if by and not spread:
+        group = Window.partitionBy(*by)
+        df = df.withColumn("_n", F.count("*").over(group)).withColumn("_place", F.row_number().over(group.orderBy(*order)))
+    else:
+        df = ranked(df, order, by, "_place", spread)
+        df = with_facts(df, df.groupBy(*by).agg(F.count("*").alias("_n")), by) if by else df.withColumn("_n", F.lit(df.count()))
+    df = df.withColumn("dropped", drop_count(rate, F.col("_n")))
+    return df.where(F.col("_place") > F.col("dropped")).drop("_place", "_n")
 
 
 def crop_samples(n: Column, start_ms: Column, end_ms: Column, rate: Column) -> tuple[Column, Column]:
@@ -93,37 +139,86 @@ def zscored(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return joined.withColumn("signal", z).drop("_stats")
 
 
-def axis_weights(sizes: DataFrame, size: int, method: str = "linear", **filters) -> DataFrame:
-    """(n, o, i, w) for each distinct n of ``sizes``: made once a size, on the executors."""
+#: What the weights of an axis depend on: its length, whether it is smoothed, whether it is low-passed.
+AXIS = ("_n", "_smooth", "_low")
+#: Outputs whose weights are made at once, as each may have many inputs.
+OUTPUTS = 200
+
+
+def axis_weights(axes: DataFrame, size: int, method: str = "linear", sigma: float = 0.0, length: int = 0, antialias: float = 0.0) -> DataFrame:
+    """(``AXIS``, o, i, w) for each distinct axis: made once, on the executors, where a long axis has many tasks."""
 
     def run(batches):
         for b in batches:
-            for n in b["n"]:
-                yield pd.DataFrame([(int(n), *x) for x in axis(int(n), size, method, **filters)], columns=["n", "o", "i", "w"])
+            for (n, smooth, low), g in b.groupby(list(AXIS)):
+                outputs = g["o"].to_numpy()
+                for s in range(0, len(outputs), OUTPUTS):
+                    o, i, w = axis(int(n), size, method, sigma if smooth else 0.0, length, antialias if low else 0.0, outputs[s : s + OUTPUTS])
+                    yield pd.DataFrame({"_n": n, "_smooth": smooth, "_low": low, "o": o, "i": i, "w": w})
 
-    return sizes.select(F.col("n").cast("int")).distinct().mapInPandas(run, "n int, o int, i int, w double")
+    axes = axes.select(F.col("_n").cast("int").alias("_n"), "_smooth", "_low").where(F.col("_n") > 0).distinct()
+    outputs = axes.withColumn("o", F.explode(F.sequence(F.lit(1), F.lit(size) if size > 0 else F.col("_n")))).repartition("_n", "o")
+    return outputs.mapInPandas(run, "_n int, _smooth boolean, _low boolean, o int, i int, w double")
 
 
-def time_axis(df: DataFrame, size: int, method: str = "linear", **filters) -> DataFrame:
+def with_axis(df: DataFrame, n: Column, size: int, smooth: Column | None, low: Column | None) -> DataFrame:
+    """``AXIS`` of each row; an axis by itself is low-passed if its own length changes."""
+    smooth = n > 1 if smooth is None else smooth
+    low = (n > 1) & F.lit(size > 0) & (n != size) if low is None else low
+    return df.withColumns({"_n": n.cast("int"), "_smooth": smooth, "_low": low})
+
+
+def time_axis(df: DataFrame, size: int, method: str = "linear", smooth: Column | None = None, low: Column | None = None, **filters) -> DataFrame:
     """``signal`` filtered and resized along time; each row keeps its wide form."""
-    df = df.withColumn("_n", F.size("signal"))
-    w = axis_weights(df.select(F.col("_n").alias("n")), size, method, **filters)
-    w = w.groupBy("n", "o").agg(F.collect_list(F.struct("i", "w")).alias("taps"))
-    w = w.groupBy(F.col("n").alias("_n")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "taps"))), lambda x: x["taps"]).alias("_taps"))
+    df = with_axis(df, F.size("signal"), size, smooth, low)
+    w = axis_weights(df, size, method, **filters)
+    w = w.groupBy(*AXIS, "o").agg(F.collect_list(F.struct("i", "w")).alias("taps"))
+    w = w.groupBy(*AXIS).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "taps"))), lambda x: x["taps"]).alias("_taps"))
     value = lambda taps: F.aggregate(taps, F.lit(0.0), lambda a, x: a + x["w"] * F.element_at("signal", x["i"]))
-    return df.join(w, "_n").withColumn("signal", F.transform("_taps", value)).drop("_n", "_taps")
+    return df.join(w, list(AXIS)).withColumn("signal", F.transform("_taps", value)).drop(*AXIS, "_taps")
 
 
-def trial_axis(df: DataFrame, size: int, by: Sequence[str] = (), method: str = "linear", **filters) -> DataFrame:
-    """Long rows (by, y, x, v): rows ranked by ``y`` combined to ``size`` rows of each matrix."""
+def trial_axis(df: DataFrame, size: int, by: Sequence[str] = (), method: str = "linear", n: Column | None = None, smooth: Column | None = None, low: Column | None = None, **filters) -> DataFrame:
+    """Long rows (by, y, x, v): rows ranked by ``y`` combined to ``size`` rows of each matrix; ``n`` is its number of rows."""
     by = list(by)
-    n = F.count("*").over(Window.partitionBy(*[F.col(c) for c in by] or [F.lit(0)]))
-    df = df.select(*by, "y", "signal", n.cast("int").alias("n"))
-    w = axis_weights(df.select("n"), size, method, **filters)
-    rows = df.join(w, (df["n"] == w["n"]) & (df["y"] == w["i"])).select(*by, F.col("o").alias("y"), "w", F.posexplode("signal").alias("x", "v"))
+    if n is None:
+        df, n = with_sizes(df, by), F.col("_height")
+    df = with_axis(df, n, size, smooth, low).select(*by, "y", "signal", *AXIS)
+    w = axis_weights(df, size, method, **filters).withColumnRenamed("i", "y")
+    rows = df.join(w, [*AXIS, "y"]).select(*by, F.col("o").alias("y"), "w", F.posexplode("signal").alias("x", "v"))
     return rows.groupBy(*by, "y", (F.col("x") + 1).alias("x")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
+def with_sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``_height``, ``_width`` of each row's matrix; an error where it is empty or its rows differ in length."""
+    facts = [F.count("*").alias("_height"), F.min(F.coalesce(F.size("signal"), F.lit(0))).alias("_width"), F.max(F.size("signal")).alias("_longest")]
+    if by:
+        df = with_facts(df, df.groupBy(*by).agg(*facts), by)
+        bad = (F.col("_width") <= 0) | (F.col("_width") != F.col("_longest"))
+        message = F.lit("a matrix is empty or its trials differ in length")
+        return df.withColumn("_width", F.when(bad, F.raise_error(message).cast("int")).otherwise(F.col("_width"))).drop("_longest")
+    height, width, longest = df.agg(*facts).first()
+    if not height or width <= 0 or width != longest:
+        raise ValueError("the matrix is empty or its trials differ in length")
+    return df.withColumns({"_height": F.lit(height), "_width": F.lit(width)})
+
+
+def resized(df: DataFrame, height: int, width: int, by: Sequence[str] = (), method: str = "linear", **filters) -> DataFrame:
+    """Long cells (by, y, x, v) of each matrix smoothed, low-passed and resized along both axes.
+
+    A matrix with one row or one column is not filtered. If its size changes along either axis, both are low-passed.
+    Without a positive height and width nothing is resized.
+    """
+    if height <= 0 or width <= 0:
+        height = width = 0
+    df = with_sizes(df, by)
+    h, w = F.col("_height"), F.col("_width")
+    smooth = F.least(h.cast("long"), w.cast("long")) > 1
+    df = df.withColumns({"_filtered": smooth, "_changed": smooth & F.lit(height > 0) & ((h != height) | (w != width))})
+    smooth, low = F.col("_filtered"), F.col("_changed")
+    return trial_axis(time_axis(df, width, method, smooth, low, **filters), height, by, method, h, smooth, low, **filters)
+
+
 def images(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, image array<array<float>>) of long cells; an image is of bounded size."""
     rows = cells.groupBy(*by, "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda c: c["v"].cast("float")).alias("row"))

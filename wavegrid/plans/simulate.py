@@ -125,9 +125,7 @@ def build_images(trials: DataFrame, epochs: DataFrame, params: DataFrame, cfg: C
         filters |= {"sigma": cfg.filter_sigma, "length": cfg.gauss_kernel_len}
     if cfg.resize_antialias and cfg.antialias_factor > 0:
         filters |= {"antialias": cfg.antialias_factor}
-    # time first: it makes the rows short before rows are combined
-    df = matrix.time_axis(df.select(*by, "y", "signal"), cfg.target_width, cfg.resize_method, **filters)
-    cells = matrix.trial_axis(df, cfg.target_height, by, cfg.resize_method, **filters)
+    cells = matrix.resized(df.select(*by, "y", "signal"), cfg.target_height, cfg.target_width, by, cfg.resize_method, **filters)
     image = matrix.variants(matrix.images(cells, by)).join(facts, by).join(params, "rep")
     pidx = F.array_position(F.array(*[F.lit(p) for p in matrix.PATTERNS]), F.col("pattern"))
     size = lambda h, w: F.struct(h.cast("int").alias("h"), w.cast("int").alias("w"))

@@ -121,12 +121,12 @@ SELECT p AS pattern, trial, CAST(row_number() OVER (PARTITION BY p ORDER BY k1,
 @query(_DISPATCH.replace("{u}", u_sql(1, "no_class", "rep", "trial")))
 def pattern_dispatch(spark, sf_dir):
     df = trials(spark, sf_dir).select(F.lit(1).alias("rep"), "trial", (F.col("trial") * 10).alias("latency"), "label")
-    df = E.delta_latency(df, ["rep"], ["trial"])
+    df = E.delta_latency(df, [], ["trial"])
     df = df.withColumns({
         "one_sided_fan_duration": F.col("label") % 3, "two_sided_fan_duration": F.col("label") % 4, "diverging_bar_condition": F.when(F.col("label") % 2 == 0, "car").otherwise("face"),
         "hourglass_continuous": F.col("label") % 5, "tilted_bar_duration": F.col("label") % 6, "pattern": F.explode(F.array(*[F.lit(p) for p in M.PATTERNS])),
     })
-    return M.ranked(df, [M.sort_key(1)], ["pattern"]).select("pattern", "trial", "y")
+    return M.ranked(df, [M.sort_key(1)], ["pattern"], spread=True).select("pattern", "trial", "y")
 
 
 _DROP = f"k AS (SELECT vec_id AS trial, CAST(label AS INT) AS label, row_number() OVER (PARTITION BY CAST(label AS INT) ORDER BY {u_sql(1, 'drop', 'CAST(label AS INT)', 'vec_id')}, vec_id) AS place, least(greatest(CAST(round_even(12.5, 0) AS BIGINT), 0), greatest(count(*) OVER (PARTITION BY CAST(label AS INT)) - 1, 0)) AS dropped FROM embeddings)"
@@ -134,7 +134,7 @@ _DROP = f"k AS (SELECT vec_id AS trial, CAST(label AS INT) AS label, row_number(
 
 @query(f"WITH {_DROP} SELECT trial, label, CAST(dropped AS BIGINT) AS dropped FROM k WHERE place > dropped")
 def dropout_trials(spark, sf_dir):
-    return M.dropout(trials(spark, sf_dir).drop("signal"), F.lit(12.5), 1, ["label"]).select("trial", "label", "dropped")
+    return M.dropout(trials(spark, sf_dir).drop("signal"), F.lit(12.5), 1, ["label"], spread=True).select("trial", "label", "dropped")
 
 
 @query(f"WITH {M_SQL} SELECT trial, CAST(t - 10 AS INT) AS t, round(v, 6) + 0.0 AS v FROM m WHERE t BETWEEN 11 AND 64 - 6")
@@ -150,7 +150,7 @@ def zscore_timepoints(spark, sf_dir):
 
 @query(f"WITH {M_SQL}, {_DROP}, x AS (SELECT m.trial, m.label, t, v FROM m JOIN k USING (trial) WHERE place > dropped) SELECT trial, label, CAST(t AS INT) AS t, round((v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0), 6) + 0.0 AS v FROM x WINDOW w AS (PARTITION BY label, t)")
 def zscore_after_dropout(spark, sf_dir):
-    df = M.dropout(trials(spark, sf_dir), F.lit(12.5), 1, ["label"])
+    df = M.dropout(trials(spark, sf_dir), F.lit(12.5), 1, ["label"], spread=True)
     return long(M.zscored(df, ["label"]), "trial", "label")
 
 
@@ -201,8 +201,8 @@ def _resize_sql(method: str) -> str:
 
 def _resized(method: str) -> Query:
     def run(spark, sf_dir):
-        df = M.time_axis(M.ranked(trials(spark, sf_dir), ["label", "trial"]), 24, method)
-        return M.trial_axis(df, 16, method=method).select("y", "x", r6(F.col("v")).alias("v"))
+        df = M.ranked(trials(spark, sf_dir), ["label", "trial"])
+        return M.resized(df, 16, 24, method=method).select("y", "x", r6(F.col("v")).alias("v"))
 
     return run
 
@@ -213,12 +213,33 @@ for _name, _method in (("nearest", "nearest"), ("linear", "linear"), ("lanczos4"
         _sql[f"resize_{_name}"] = _resize_sql(_method)
 
 
+def _reflected_sql(kernel: str) -> str:
+    """Weights of a smoothing along the trials of ``c``."""
+    return f"SELECT o, CASE WHEN o + j < 1 THEN 2 - o - j WHEN o + j > n THEN 2 * n - o - j ELSE o + j END AS i, w FROM {kernel}, (SELECT n, unnest(range(1, n + 1)) AS o FROM c)"
+
+
+@query(f"{_RANKED}, {_kernel_sql(10, 1.0)}, r AS ({_reflected_sql('g')}), h AS (SELECT y, w.o AS x, sum(v * w.w) AS v FROM x JOIN w ON x.t = w.i GROUP BY y, w.o) SELECT CAST(r.o AS INT) AS y, CAST(x AS INT) AS x, round(sum(v * r.w), 6) + 0.0 AS v FROM h JOIN r ON h.y = r.i GROUP BY r.o, x")
+def gauss_smooth_2d(spark, sf_dir):
+    df = M.ranked(trials(spark, sf_dir), ["label", "trial"])
+    return M.resized(df, 0, 0, sigma=1.0, length=20).select("y", "x", r6(F.col("v")).alias("v"))
+
+
+# trials to 16 and 64 samples to 64: the samples are low-passed too, by sigma 0.75 and 5 taps
+_TRIALS_KERNEL = "k AS (SELECT j, exp(-j * j / (2 * s * s)) / sum(exp(-j * j / (2 * s * s))) OVER () AS w FROM (SELECT 0.75 * n / 16.0 AS s, unnest(range(CAST(-2 * ceil(0.75 * n / 16.0) AS BIGINT), CAST(2 * ceil(0.75 * n / 16.0) AS BIGINT) + 1)) AS j FROM c))"
+
+
+@query(f"{_RANKED}, {_kernel_sql(2, 0.75)}, {_TRIALS_KERNEL}, r AS ({_reflected_sql('k')}), a AS ({_taps_sql('linear', 'n', 16)}), ra AS (SELECT a.o, r.i, sum(a.w * r.w) AS w FROM a JOIN r ON a.i = r.o GROUP BY a.o, r.i), h AS (SELECT y, w.o AS x, sum(v * w.w) AS v FROM x JOIN w ON x.t = w.i GROUP BY y, w.o) SELECT CAST(ra.o AS INT) AS y, CAST(x AS INT) AS x, round(sum(v * ra.w), 6) + 0.0 AS v FROM h JOIN ra ON h.y = ra.i GROUP BY ra.o, x")
+def antialias_2d(spark, sf_dir):
+    df = M.ranked(trials(spark, sf_dir), ["label", "trial"])
+    return M.resized(df, 16, 64, antialias=0.75).select("y", "x", r6(F.col("v")).alias("v"))
+
+
 def _image(spark, sf_dir, by=()) -> DataFrame:
     """Sorted by label, 12 trials dropped per label when split, z-scored, 16 x 16."""
-    df = trials(spark, sf_dir)
-    df = M.dropout(df, F.lit(12.5), 1, ["label"])
+    df = M.guarded(trials(spark, sf_dir), ["label"])
+    df = M.dropout(df, F.lit(12.5), 1, ["label"], spread=True)
     df = M.zscored(M.ranked(df, ["label", "trial"], by), by)
-    return M.trial_axis(M.time_axis(df, 16), 16, by)
+    return M.resized(df, 16, 16, by)
 
 
 _IMAGE = f"""

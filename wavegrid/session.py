@@ -1,12 +1,13 @@
-"""Makes the package importable on executors."""
+"""Makes the package importable on executors, and saves tables where driver and executors both reach them."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +27,24 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(path)
         _shipped.add(app)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; where none is set, a temporary one in local mode and an error elsewhere."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not path:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(path)
+    return path
+
+
+def work_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/work-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
