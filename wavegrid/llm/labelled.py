@@ -10,6 +10,8 @@ from . import common as C
 
 #: At most this many labelled documents are learnt from, those of least hash; a broadcast of 16 bytes for each.
 LABELLED_ROWS = 20_000
+#: Values of sparse rows that are worked on at once.
+BLOCK_VALUES = 1 << 19
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -57,12 +59,32 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 50) -> np.
     return w
 
 
+def row_blocks(offsets: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of rows with about ``BLOCK_VALUES`` values each, so that what is computed from them stays small."""
+    cuts = np.searchsorted(offsets, np.arange(0, offsets[-1], BLOCK_VALUES)[1:])
+    ends = np.unique(np.concatenate([[0], cuts, [len(offsets) - 1]])).tolist()
+    return list(zip(ends, ends[1:]))
+
+
+def row_sums(flat: np.ndarray, offsets: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The sum of each row's weights and the constant, the last of ``w``."""
+    out = np.full(len(offsets) - 1, w[-1])
+    for a, z in row_blocks(offsets):
+        row = np.repeat(np.arange(z - a), np.diff(offsets[a : z + 1]))
+        out[a:z] += np.bincount(row, weights=w[flat[offsets[a] : offsets[z]]], minlength=z - a)
+    return out
+
+
 def logistic_sparse(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, features: int, ridge: float, steps: int = 30) -> np.ndarray:
     """The same over 0/1 features: row i has those numbered ``flat[offsets[i]:offsets[i + 1]]``, and a constant, which
     is the last weight. Newton steps, each solved by conjugate gradients."""
-    row = np.repeat(np.arange(len(y)), np.diff(offsets))
-    down = lambda v: np.append(np.bincount(flat, weights=v[row], minlength=features), v.sum())
-    up = lambda w: np.bincount(row, weights=w[:-1][flat], minlength=len(y)) + w[-1]
+    up = lambda w: row_sums(flat, offsets, w)
+
+    def down(v: np.ndarray) -> np.ndarray:
+        out = np.zeros(features)
+        for a, z in row_blocks(offsets):
+            out += np.bincount(flat[offsets[a] : offsets[z]], weights=np.repeat(v[a:z], np.diff(offsets[a : z + 1])), minlength=features)
+        return np.append(out, v.sum())
 
     def loss(w: np.ndarray) -> float:
         z = up(w)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .decontamination import NO_TOKEN
-from .labelled import LABELLED_ROWS, fold, logistic, logistic_sparse, sample
+from .labelled import LABELLED_ROWS, fold, logistic, logistic_sparse, row_sums, sample
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -55,6 +55,8 @@ ANCHOR = 0.9
 #: Say of a silent voter: silences of voters that never meet (of different languages, say) are not independent.
 SILENCE = 0.6
 BUCKETS, FEATURES, LEAST_Z, RIDGE = 1 << 18, 8192, 3.0, 1.0
+#: Rows of votes that are multiplied at once.
+VOTE_ROWS = 2048
 PATTERNS = ("several words", "shouting", "runs of marks")
 #: Forms that may be broadcast: 8 bytes each, so 8 MB.
 BROADCAST_FORMS = 1_000_000
@@ -123,9 +125,14 @@ class Votes:
         index: dict[bytes, int] = {}
         self.row = np.array([index.setdefault(np.sort(f).astype(np.int32).tobytes(), len(index)) for f in fired], np.int64)
         self.count = np.bincount(self.row, minlength=len(index)).astype(np.float32)
-        self.on = np.zeros((len(index), voters), np.float32)
+        self.on = np.zeros((len(index), voters), bool)
         for key, r in index.items():
-            self.on[r, np.frombuffer(key, np.int32)] = 1
+            self.on[r, np.frombuffer(key, np.int32)] = True
+
+    def blocks(self, dtype: type) -> Iterator[tuple[slice, np.ndarray]]:
+        """The votes as numbers, ``VOTE_ROWS`` rows at a time, so that products with them stay small."""
+        for s in range(0, len(self.on), VOTE_ROWS):
+            yield slice(s, s + VOTE_ROWS), self.on[s : s + VOTE_ROWS].astype(dtype)
 
 
 def label_model(votes: Votes, share: float, start: np.ndarray, steps: int = 30, anchor: float = ANCHOR) -> np.ndarray:
@@ -134,7 +141,7 @@ def label_model(votes: Votes, share: float, start: np.ndarray, steps: int = 30,
     on, n = votes.on, votes.count
     p = rough = np.bincount(votes.row, weights=start, minlength=len(n)) / np.maximum(n, 1)
     prior = np.log(share / (1 - share))
-    frequency = (n[:, None] * on).sum(0)
+    frequency = sum((n[s] @ b for s, b in votes.blocks(np.float64)), np.zeros(on.shape[1]))
     order = np.lexsort((np.arange(on.shape[1]), -frequency))
     earlier = np.empty(on.shape[1], np.int64)
     earlier[order] = np.arange(on.shape[1])
@@ -145,8 +152,10 @@ def label_model(votes: Votes, share: float, start: np.ndarray, steps: int = 30,
         belief = anchor * rough + (1 - anchor) * p
         for w in (n * belief, n * (1 - belief)):
             total = w.sum() + 1.0
-            both = (on * w[:, None].astype(np.float32)).T @ on
-            alone = np.diag(both).astype(np.float64)
+            both = np.zeros((on.shape[1],) * 2)
+            for s, b in votes.blocks(np.float32):
+                both += (b * w[s, None].astype(np.float32)).T @ b
+            alone = np.diag(both).copy()
             single = (alone + share_of_prior(frequency, n)) / total
             information += shared_information(both, alone, total)
             chance.append((total, both, alone, np.clip(single, 1e-6, 1 - 1e-6)))
@@ -161,9 +170,10 @@ def label_model(votes: Votes, share: float, start: np.ndarray, steps: int = 30,
             without = np.where(has, (alone - with_parent + 2 * single) / (np.maximum(total - own, 0) + 2), single)
             tables.append(np.clip(np.stack([given, without]), 1e-6, 1 - 1e-6))
         fires, silent = np.log(tables[0] / tables[1]), SILENCE * np.log((1 - tables[0]) / (1 - tables[1]))
-        beside = on[:, parent] * has
-        odds = prior + silent[1].sum()
-        odds = odds + beside @ (silent[0] - silent[1]) + on @ (fires[1] - silent[1]) + (on * beside) @ (fires[0] - fires[1] - silent[0] + silent[1])
+        odds = np.full(len(n), prior + silent[1].sum())
+        for s, b in votes.blocks(np.float64):
+            beside = b[:, parent] * has
+            odds[s] += beside @ (silent[0] - silent[1]) + b @ (fires[1] - silent[1]) + (b * beside) @ (fires[0] - fires[1] - silent[0] + silent[1])
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         done = np.abs(new - p).max() < 1e-4
         p = new
@@ -311,10 +321,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int =
     best = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
     chosen = counts["bin"].to_numpy()[np.sort(best[np.abs(z[best]) >= LEAST_Z])]
     got = binned.mapInArrow(_chosen_bins(chosen), "row long, own array<int>, n int").toArrow()
-    flat, offsets = C.ragged(got.column("own").cast(pa.list_(pa.int64())))
+    own_bins = got.column("own").combine_chunks()
+    flat, offsets = own_bins.flatten().to_numpy(), np.cumsum(np.append(0, own_bins.value_lengths().to_numpy()), dtype=np.int64)
     target = _by_row(row, posterior, got.column("row").to_numpy())
-    w = logistic_sparse(flat.view(np.int64), offsets, target, len(chosen), RIDGE)
-    margin = np.bincount(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), weights=w[:-1][flat.view(np.int64)], minlength=len(offsets) - 1) + w[-1]
+    w = logistic_sparse(flat, offsets, target, len(chosen), RIDGE)
+    margin = row_sums(flat, offsets, w)
     label = _by_row(row, voted["label"].to_numpy(float), got.column("row").to_numpy())
     known = ~np.isnan(label)
     x = np.stack([margin, np.log(got.column("n").to_numpy().astype(float)), np.ones(len(margin))], 1)
