@@ -11,8 +11,6 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, work_table  # noqa: F401
+
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of an Arrow batch; keeps a batch of long documents within a Python worker's memory.
@@ -69,25 +69,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor share; a temporary one only where none is set."""
-    context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(path)
-    return path
-
-
-def work_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/work-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def saved(df: DataFrame) -> DataFrame:
     """An eager reliable checkpoint, for small tables of iterative steps."""
     shared_dir(df.sparkSession)
