@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import plain
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,25 @@ def test_substrings_in_many_groups(spark):
     assert sorted(map(tuple, got.collect())) == plain.without_repeats(rows)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_subtrees(seed, monkeypatch):
+    """Common prefixes and deep nodes of sorted suffixes against all pairs of suffixes."""
+    monkeypatch.setattr(substring_dedup, "COMPARED", 7)
+    r = np.random.default_rng(seed)
+    text, depth = r.integers(0, 3, 40 * seed + 8).astype(np.uint32), 4
+    begin = np.arange(0, len(text) - depth + 1) if seed else np.zeros(0, np.int64)
+    doc = r.integers(0, 5, len(begin))
+    suffixes = substring_dedup._suffixes(text, begin, np.zeros(len(begin), np.uint32), depth)
+    order = np.lexsort(suffixes.T[::-1])
+    shared = lambda a, b: next((k for k in range(depth + 1) if a[k] != b[k]), depth + 1)
+    wanted = [0, *(shared(suffixes[a], suffixes[b]) for a, b in zip(order, order[1:]))][: len(order)]
+    assert substring_dedup.common_prefixes(suffixes, order).tolist() == wanted
+    smallest, inner = substring_dedup.subtree(suffixes, doc)
+    for i, s in enumerate(suffixes):
+        leaves = {int(d) for d, o in zip(doc, suffixes) if (o == s).all()}
+        assert (smallest[i], inner[i]) == (doc[i] == min(leaves), len(leaves) > 1)
+
+
 @pytest.mark.parametrize("kind", INPUTS)
 def test_lines(spark, kind):
     docs = given(spark, kind)

@@ -7,16 +7,20 @@ are dealt to groups by variable-length prefixes and each group builds its own su
    same sample at the same place; about two prefixes in seven are sampled). A prefix that only one document has
    leads to no node that two documents share, so its windows are leaves and go no further. This costs one
    shuffle of two sevenths of a fingerprint for each word.
-2. *Vertical partitioning.* The suffixes left go to groups by a 4-word prefix; a prefix whose share is over the
-   memory budget of a group is split by 8 words, or by the whole window where one 8-word prefix dominates. The
-   shares come from a small sample of documents, as a range partitioner's do; they place rows and decide nothing.
-3. *Subtrees.* A group sorts its suffixes by the fingerprint of ``window`` words. A run of equal ones is a deep
-   internal node, its leaves are the occurrences of a repeat, and its smallest document keeps the passage.
-4. The removed windows of a document are merged to spans: the maximal repeats that it loses.
+2. *Vertical partitioning.* The suffixes left go to groups by the 4-word prefix at their sample, so that all leaves
+   of a deep node meet and neighbours, which mostly have one sample, travel as one segment of words. A prefix whose
+   share is over the memory budget of a group is split by 8 words, or by the whole window where one 8-word prefix
+   dominates. The shares come from a small sample of documents, as a range partitioner's do; they place rows and
+   decide nothing.
+3. *Subtrees.* A group sorts its suffixes by their words and takes the common prefix of each with its neighbour. A
+   longest run of suffixes that share at least ``window`` words with the next is a deep internal node, the topmost
+   of its path, so that every occurrence of the repeat is a leaf below it; its smallest document keeps the passage.
+4. The windows that a document loses are merged to spans: the maximal repeats.
 
 Hot passages: before each shuffle a task settles what it can by itself. Of a passage that several of its
 documents hold it sends one occurrence of the smallest document, so a passage that a third of all documents
-share costs a row for each chunk of a task, not for each document. Fingerprints have 64 bits.
+share costs a row for each chunk of a task, not for each document. Words are compared by 32 bits each and 32 more of the window's
+fingerprint, which comes from 64-bit hashes of the words.
 
 Defined results: a null or empty text has no words and no spans; a text shorter than the window loses nothing;
 windows that repeat within one document only are kept (only a smaller doc_id counts); rows with a null doc_id
@@ -38,11 +42,14 @@ from . import common as C
 SAMPLE = 8
 #: Words that a task works on at a time.
 CHUNK_WORDS = 1_000_000
+#: Neighbours that are compared at a time.
+COMPARED = 1 << 16
 #: Bytes of text for each group: about 1.5 million words.
 GROUP_BYTES = 8 << 20
 #: Bins of first-level prefixes, and documents that are read to size them.
 BINS, SIZING_DOCS = 4096, 2000
 _PACKED = "group int, docs binary, variants binary, counts binary, places binary, prints binary"
+_SEGMENTS = "group int, docs binary, variants binary, counts binary, places binary, sizes binary, words binary, checks binary"
 _PLACES = "doc_id long, variant int, places binary"
 
 
@@ -85,18 +92,53 @@ def _merged(t: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc[first], pa.int64()), "variant": pa.array(variant[first], pa.int32()), "places": pa.array(blobs, pa.binary())})
 
 
-def _nodes(prints: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each leaf: whether its document is the smallest of its node, and whether the node has two documents."""
-    order = np.lexsort((doc, prints))
-    first, node = C.runs(prints[order])
+def _leaves(order: np.ndarray, first: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each leaf: whether its document is the smallest of its node, and whether the node has two documents.
+
+    ``order`` sorts the leaves by node and document, ``first`` tells where each node begins in it.
+    """
+    size = np.diff(np.append(first, len(order)))
     sorted_doc = doc[order]
-    least, most = sorted_doc[first], sorted_doc[np.append(first[1:], len(order))[: len(first)] - 1]
+    least, most = sorted_doc[first], sorted_doc[first + size - 1]
     smallest, shared = np.empty(len(order), bool), np.empty(len(order), bool)
-    smallest[order] = sorted_doc == least[node]
-    shared[order] = (most != least)[node]
+    smallest[order] = sorted_doc == np.repeat(least, size)
+    shared[order] = np.repeat(most != least, size)
     return smallest, shared
 
 
+def _nodes(prints: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_leaves`` where equal fingerprints are a node."""
+    order = np.lexsort((doc, prints))
+    return _leaves(order, C.runs(prints[order])[0], doc)
+
+
+def common_prefixes(suffixes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many symbols each suffix (a row) shares with the one before it in ``order``; 0 for the first."""
+    lcp = np.zeros(len(order), np.int64)
+    for a in range(1, len(order), COMPARED):
+        rows = suffixes[order[a - 1 : a + COMPARED]]
+        equal = rows[1:] == rows[:-1]
+        lcp[a : a + COMPARED] = np.where(equal.all(1), rows.shape[1], equal.argmin(1))
+    return lcp
+
+
+def subtree(suffixes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_leaves`` of the deep internal nodes: suffixes in word order, cut where neighbours share less than a whole row."""
+    by_doc = np.argsort(doc, kind="stable")
+    text = suffixes.view(f"S{suffixes.shape[1] * 4}").ravel()
+    order = by_doc[np.argsort(text[by_doc], kind="stable")]
+    return _leaves(order, np.flatnonzero(common_prefixes(suffixes, order) < suffixes.shape[1]), doc)
+
+
+def _suffixes(words: np.ndarray, begin: np.ndarray, checks: np.ndarray, window: int) -> np.ndarray:
+    """The first ``window`` words of each suffix and, as a last symbol, its check."""
+    out = np.empty((len(begin), window + 1), np.uint32)
+    for k in range(window):
+        out[:, k] = words[begin + k]
+    out[:, window] = checks
+    return out
+
+
 def _one_each(prints: np.ndarray, among: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(among)
     return at[np.unique(prints[at], return_index=True)[1]]
@@ -134,17 +176,75 @@ def _send_samples(groups: int, window: int):
     return run
 
 
-def _answers(parts: int, smallest_too: bool):
-    """For a group: which occurrences lie on a node that two documents share, packed by the documents' part."""
+def _answers(parts: int):
+    """For a group: which samples two documents share, packed by the documents' part."""
 
     def run(t: pa.Table) -> pa.Table:
         settled = np.array([not len(x) for x in t.column("prints").to_pylist()])
         *known, _ = _unpack(t.filter(pa.array(settled)))
         *own, prints = _unpack(t.filter(pa.array(~settled)))
-        doc = own[0]
-        smallest, shared = _nodes(prints, doc)
-        told = shared if smallest_too else shared & ~smallest
-        doc, variant, place = (np.concatenate([a, b[told]]) for a, b in zip(known, own))
+        shared = _nodes(prints, own[0])[1]
+        doc, variant, place = (np.concatenate([a, b[shared]]) for a, b in zip(known, own))
+        return pa.Table.from_batches([_pack(doc % parts, doc, variant, place)])
+
+    return run
+
+
+def _pack_segments(group: np.ndarray, doc: np.ndarray, variant: np.ndarray, place: np.ndarray, at: np.ndarray, words: np.ndarray, checks: np.ndarray, window: int) -> pa.RecordBatch:
+    """One row for each group with the segments of its suffixes: those that follow each other in a text are one."""
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | np.any([np.diff(c) != 0 for c in (group, doc, variant)], 0)
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(at)))
+    order = np.argsort(group[first], kind="stable")  # by document and place within a group, as they came
+    first, size = first[order], size[order]
+    ends, all_words, all_checks = np.append(0, np.cumsum(size)), words[C.gathered(at[first], size + window - 1)], checks[C.gathered(first, size)]
+    bounds = _changes(group[first])
+    cols: tuple[list, ...] = ([], [], [], [], [], [], [], [])
+    for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(first)]):
+        f = first[a:b]
+        d = _changes(doc[f], variant[f])
+        lo, hi = int(ends[a]), int(ends[b])
+        row = (
+            int(group[f[0]]), doc[f][d].tobytes(), variant[f][d].tobytes(), np.diff(np.append(d, b - a)).astype(np.uint32).tobytes(),
+            place[f].astype(np.uint32).tobytes(), size[a:b].astype(np.uint32).tobytes(),
+            all_words[lo + a * (window - 1) : hi + b * (window - 1)].tobytes(), all_checks[lo:hi].tobytes(),
+        )
+        for c, v in zip(cols, row):
+            c.append(v)
+    return _segment_batch(cols)
+
+
+def _segment_batch(cols: tuple[list, ...]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in _SEGMENTS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(cols)], names=names)
+
+
+def _settled(packed: pa.RecordBatch) -> pa.RecordBatch:
+    """Packed occurrences among segments: rows that have no words."""
+    known = [packed.column(c).to_pylist() for c in ("group", "docs", "variants", "counts", "places")]
+    return _segment_batch((*known, *([b""] * packed.num_rows for _ in range(3))))
+
+
+def _lost(parts: int, window: int):
+    """For a group: the suffixes below a deep node that a smaller document has too, packed by the documents' part."""
+
+    def run(t: pa.Table) -> pa.Table:
+        settled = np.array([not len(x) for x in t.column("words").to_pylist()])
+        ragged = lambda rows, name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+
+        def items(rows: pa.Table) -> tuple[np.ndarray, ...]:
+            counts = ragged(rows, "counts", np.uint32)
+            return np.repeat(ragged(rows, "docs", np.int64), counts), np.repeat(ragged(rows, "variants", np.int32), counts), ragged(rows, "places", np.uint32)
+
+        known, own = items(t.filter(pa.array(settled))), t.filter(pa.array(~settled))
+        size = ragged(own, "sizes", np.uint32).astype(np.int64)
+        length = size + window - 1
+        begin, inside = C.gathered(np.cumsum(length) - length, size), C.gathered(np.zeros(len(size), np.int64), size)
+        doc, variant, place = (np.repeat(c, size) for c in items(own))
+        smallest, inner = subtree(_suffixes(ragged(own, "words", np.uint32), begin, ragged(own, "checks", np.uint32), window), doc)
+        lost = inner & ~smallest
+        doc, variant, place = (np.concatenate([a, b[lost]]) for a, b in zip(known, (doc, variant, place + inside)))
         return pa.Table.from_batches([_pack(doc % parts, doc, variant, place)])
 
     return run
@@ -168,7 +268,7 @@ class _Prefixes:
         return self.base[b] + (deep % self.split[b].astype(np.uint64)).astype(np.int64)
 
 
-def _sized_prefixes(hashed: DataFrame, n_docs: int, groups: int) -> _Prefixes:
+def _sized_prefixes(hashed: DataFrame, n_docs: int, groups: int, window: int) -> _Prefixes:
     count, heavy = np.ones(BINS), np.zeros(BINS)
     fraction = min(1.0, SIZING_DOCS / max(1, n_docs))
 
@@ -176,11 +276,13 @@ def _sized_prefixes(hashed: DataFrame, n_docs: int, groups: int) -> _Prefixes:
         n, top = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
         for t in C.chunks(batches, "h", CHUNK_WORDS):
             h, offsets = C.ragged(t.column("h"))
-            at = np.flatnonzero(C.starts(offsets, SAMPLE, len(h)))
+            at = np.flatnonzero(C.starts(offsets, window, len(h)))
             if len(at):
+                f8 = C.grams(h, SAMPLE)
+                at = _sampled(f8, at, window)
                 bins = (C.grams(h, 4)[at] % np.uint64(BINS)).astype(np.int64)
                 n += np.bincount(bins, minlength=BINS)
-                value, first, times = np.unique(C.grams(h, SAMPLE)[at], return_index=True, return_counts=True)
+                value, first, times = np.unique(f8[at], return_index=True, return_counts=True)
                 np.maximum.at(top, bins[first], times)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(n), pa.array(top)], names=["bin", "n", "top"])
 
@@ -202,19 +304,20 @@ def _send_suffixes(prefixes: _Prefixes, window: int):
             shared = np.zeros(len(h), bool)
             for k, blob in enumerate(t.column("places").to_pylist()):
                 shared[offsets[k] + np.frombuffer(blob, np.uint32)] = True
-            at = at[shared[_sampled(f8, at, window)]]
+            sample = _sampled(f8, at, window)
+            at, sample = at[shared[sample]], sample[shared[sample]]
             if not len(at):
                 continue
             row = np.searchsorted(offsets, at, side="right") - 1
             doc, variant = (t.column(c).to_numpy()[row] for c in ("doc_id", "variant"))
-            place, prints = at - offsets[row], whole[at]
-            smallest, inner = _nodes(prints, doc)
+            place, words, checks = at - offsets[row], h.astype(np.uint32), (whole[at] >> np.uint64(32)).astype(np.uint32)
+            smallest, inner = subtree(_suffixes(words, at, checks, window), doc)
             lost = inner & ~smallest
             if lost.any():  # settled here
-                yield _pack(doc[lost] % prefixes.groups, doc[lost], variant[lost], place[lost])
+                yield _settled(_pack(doc[lost] % prefixes.groups, doc[lost], variant[lost], place[lost]))
             ask = ~lost
-            group = prefixes.of(C.grams(h, 4)[at], f8[at], prints)
-            yield _pack(group[ask], doc[ask], variant[ask], place[ask], prints[ask])
+            group = prefixes.of(C.grams(h, 4)[sample], f8[sample], whole[at])
+            yield _pack_segments(*(c[ask] for c in (group, doc, variant, place, at)), words, checks[ask], window)
 
     return run
 
@@ -245,13 +348,13 @@ def repeated_spans(docs: DataFrame, window: int = 13, group_bytes: int = GROUP_B
     groups, parts = max(1, n_bytes // group_bytes), max(1, n_bytes // (4 * group_bytes))
     hashed = lambda df: df.withColumn("h", C.word_hashes(F.col("text"))).drop("text")
     samples = hashed(texts).mapInArrow(_send_samples(groups, window), _PACKED)
-    shared = samples.groupBy("group").applyInArrow(_answers(parts, True), _PACKED)
+    shared = samples.groupBy("group").applyInArrow(_answers(parts), _PACKED)
     shared = shared.groupBy("group").applyInArrow(_merged, _PLACES)
     # sorted, so that a task that is run again forms the same chunks
     suffixes = hashed(texts.join(shared, ["doc_id", "variant"])).sortWithinPartitions("doc_id", "variant")
-    prefixes = _sized_prefixes(hashed(texts), n_docs, groups)
-    suffixes = suffixes.mapInArrow(_send_suffixes(prefixes, window), _PACKED)
-    removed = suffixes.groupBy("group").applyInArrow(_answers(parts, False), _PACKED)
+    prefixes = _sized_prefixes(hashed(texts), n_docs, groups, window)
+    suffixes = suffixes.mapInArrow(_send_suffixes(prefixes, window), _SEGMENTS)
+    removed = suffixes.groupBy("group").applyInArrow(_lost(parts, window), _PACKED)
     removed = removed.groupBy("group").applyInArrow(_merged, _PLACES)
     return removed.mapInArrow(_spans(window), "doc_id long, variant int, spans array<struct<start:int,end:int>>")
 
