@@ -41,7 +41,7 @@ from . import common as C
 
 SAMPLE = 8
 #: Words that a task works on at a time.
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 500_000
 #: Neighbours that are compared at a time.
 COMPARED = 1 << 16
 #: Bytes of text for each group: about 1.5 million words.
