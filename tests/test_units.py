@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wavegrid.functions import draws, signals, taps
 from wavegrid.operators import events, matrix, noise
 from wavegrid.plans import config, simulate
-from wavegrid.plans.diagnostics import Diagnostics, merged
+from wavegrid.plans.diagnostics import Diagnostics, merged, totals
 
 
 def one(spark, *cols):
@@ -208,6 +208,19 @@ def test_diagnostics(spark):
     assert {r.name: (r["count"], r.time) for r in merged(df).collect()} == {"a": (4, 0.75), "b": (2, 1.0)}
 
 
+def test_totals_by_worker(spark):
+    df = spark.createDataFrame([("w", "a", 1, 0.5), (None, "a", 2, 1.0), ("w", "a", 3, 0.25)], "worker string, name string, count long, time double")
+    assert {tuple(r) for r in totals(df).collect()} == {("w", "a", 4, 0.75, False), (None, "a", 2, 1.0, False), (None, "a", 6, 1.75, True)}
+
+
+def test_public_names():
+    import wavegrid
+
+    assert all(getattr(wavegrid, n) is not None for n in wavegrid.__all__)
+    with pytest.raises(AttributeError):
+        wavegrid.missing
+
+
 def test_dataset_round_trip(spark, tmp_path):
     from wavegrid.sources.dataset import load_dataset, save_dataset
 

@@ -1 +1,23 @@
-"""Simulated event-related potentials and trials-by-time images as Spark DataFrames."""
+"""Simulated event-related potentials and trials-by-time images as Spark DataFrames.
+
+The public names are loaded when they are first used, so that Python workers load only what their task needs.
+"""
+
+from importlib import import_module
+
+_HOMES = {
+    "operators.events": ["delta_latency", "epochs", "onsets", "overlap_add"],
+    "operators.matrix": ["PATTERNS", "VARIANTS", "cropped", "dropout", "images", "pattern_keys", "ranked", "resized", "variants", "zscored"],
+    "plans.config": ["Config", "N", "Noise"],
+    "plans.diagnostics": ["Diagnostics", "merged", "totals"],
+    "plans.simulate": ["generate_erp_images"],
+    "sources.dataset": ["load_dataset", "save_dataset"],
+}
+_HOME = {name: home for home, names in _HOMES.items() for name in names}
+__all__ = sorted(_HOME)
+
+
+def __getattr__(name: str):
+    if name not in _HOME:
+        raise AttributeError(f"module {__name__} has no attribute {name}")
+    return getattr(import_module(f".{_HOME[name]}", __name__), name)

@@ -1,4 +1,4 @@
-"""Counts and times of named steps on the driver, merging of such tables, and progress of a running job."""
+"""Counts and times of named steps on the driver, and merging of such tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import threading
 import time
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,30 +49,7 @@ def merged(calls: DataFrame) -> DataFrame:
     return calls.groupBy("name").agg(F.sum("count").alias("count"), F.sum("time").alias("time"))
 
 
-class Monitor:
-    """Prints the running stages' progress every ``interval`` seconds until stopped; 0 or less prints nothing."""
-
-    def __init__(self, spark: SparkSession, interval: float = 10.0, show=print):
-        self.tracker, self.interval, self.show = spark.sparkContext.statusTracker(), interval, show
-        self._stop = threading.Event()
-        self._thread: threading.Thread | None = None
-
-    def poll(self) -> list[str]:
-        found = [self.tracker.getStageInfo(s) for s in self.tracker.getActiveStageIds()]
-        return [f"stage {x.stageId}: {x.numCompletedTasks} of {x.numTasks} tasks" for x in found if x]
-
-    def start(self) -> Monitor:
-        def run() -> None:
-            while not self._stop.wait(self.interval):
-                for line in self.poll():
-                    self.show(line)
-
-        if self.interval > 0:
-            self._thread = threading.Thread(target=run, daemon=True)
-            self._thread.start()
-        return self
-
-    def stop(self) -> None:
-        self._stop.set()
-        if self._thread:
-            self._thread.join(timeout=5)
+def totals(calls: DataFrame) -> DataFrame:
+    """(worker, name, count, time, all_workers): calls by worker and name, and by name over all workers."""
+    sums = [F.sum("count").alias("count"), F.sum("time").alias("time"), (F.grouping("worker") == 1).alias("all_workers")]
+    return calls.groupingSets([["worker", "name"], ["name"]], "worker", "name").agg(*sums)

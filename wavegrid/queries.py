@@ -7,6 +7,7 @@ table (user_id: subject, ts: latency). Floats are rounded to six decimals on bot
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -293,6 +294,25 @@ def diag_merge(spark, sf_dir):
     return merged(calls).select("name", "count", F.round("time", 4).alias("time"))
 
 
+@query("SELECT user_id AS worker, event_type AS name, count(*) AS count, round(sum(value), 4) AS time, grouping(user_id) = 1 AS all_workers FROM events GROUP BY GROUPING SETS ((user_id, event_type), (event_type))")
+def diag_totals_by_worker(spark, sf_dir):
+    from .plans.diagnostics import totals
+
+    calls = table(spark, sf_dir, "events").select(F.col("user_id").alias("worker"), F.col("event_type").alias("name"), F.lit(1).cast("long").alias("count"), F.col("value").alias("time"))
+    return totals(calls).withColumn("time", F.round("time", 4))
+
+
+@query("SELECT vec_id AS idx, CAST(label AS INT) AS pattern, len(embedding) AS n, round(list_sum(embedding), 4) AS total FROM embeddings")
+def dataset_written_and_read(spark, sf_dir):
+    from .session import shared_dir
+    from .sources.dataset import load_dataset, save_dataset
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.col("label").cast("int").alias("pattern"), F.col("embedding").cast("array<double>").alias("image"))
+    images, _, _ = load_dataset(spark, save_dataset(rows, f"{shared_dir(spark)}/datasets", uuid.uuid4().hex, Config()))
+    total = F.aggregate("image", F.lit(0.0), lambda a, v: a + v)
+    return images.select("idx", "pattern", F.size("image").cast("long").alias("n"), F.round(total, 4).alias("total"))
+
+
 _RESPONSE = "[0.5, 1.0, 1.5, 2.0, 1.5, 1.0, 0.5, 0.25]"
 _OVERLAP = f"""
 WITH b AS (SELECT event_id AS trial, user_id AS rep, date_diff('hour', TIMESTAMP '2020-01-01 00:00:00', ts) AS latency, value FROM events),
