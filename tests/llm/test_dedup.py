@@ -186,7 +186,7 @@ def test_work_tables_stand_in_the_named_folder(spark):
 
 def test_a_folder_of_our_own_only_where_none_is_named():
     class Context:
-        own = None
+        own, master = None, "local[2]"
 
         def getCheckpointDir(self):
             return self.own
@@ -198,6 +198,10 @@ def test_a_folder_of_our_own_only_where_none_is_named():
         sparkContext = Context()
         conf = {}
 
+    Context.master = "spark://host:7077"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        C.shared_dir(Session)
+    Context.master = "local[2]"
     made = C.shared_dir(Session)
     assert made.startswith("file://") and C.shared_dir(Session) == made
     Session.conf = {"spark.checkpoint.dir": "named"}
