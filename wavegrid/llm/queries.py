@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators, with production parameters, and their SQL where SQL can express them."""
+"""The thin queries of the operators, with production parameters, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversation_repair import op12_conversation_repair
 from .decontamination import op9_benchmark_decontamination
 from .line_dedup import op8_line_dedup
 from .near_dedup import op6_minhash_near_dedup
@@ -13,9 +14,11 @@ from .pii import op4_pii
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op5_quality_rules
 from .sentencepiece_viterbi import op3_sentencepiece
+from .simhash import op11_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
 from .token_shards import op10_token_shards
 from .toxicity import op7_toxicity
+from .whitening import op13_embedding_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,6 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_dedup,
         op9_benchmark_decontamination,
         op10_token_shards,
+        op11_simhash_near_dedup,
+        op12_conversation_repair,
+        op13_embedding_whitening,
     ]
     return {f.__name__: f for f in every}
 
