@@ -23,6 +23,7 @@ def odd_documents(spark):
         (1, f"First {PASSAGE} end\nA line that several documents hold\n"), (2, f"Second {PASSAGE} other\n  a LINE that several documents hold \nown line here"), (3, None), (4, ""), (5, " \t\n\x0b "), (6, "word"),
         (7, "one two three four"), (8, "one two three four"), (9, long), (10, long + " more"), (10, long + " more"), (None, f"{PASSAGE} nameless"), (11, "x" * 5000), (12, "Ünïcode ▁ 漢字 \U0001f600 mail a.b@c.de, +49 (30) 1234-5678"),
         (13, "a\nshort\nshort\nA line that several documents hold"), (14, "4111 1111 1111 1111 10.0.0.1 999.1.1.1 1.2.3.4.5"), (15, (PASSAGE + " ") * 3), (16, "\n\n"), (17, "same same same same same same same same same same same same same same"),
+        (18, "hello wide world\nhello wide line\nhello wide text"), (19, "hello wide world \x85\nhello wide line \u2028\nhello wide text\u2029"), (20, "a" + " " * 300_000 + "b\n" + " " * 50_000),
     ]
     return spark.createDataFrame([(d, t, None, "s", 1, "k", "t", "h", 5, "p", 7) for d, t in texts], SCHEMA)
 

@@ -9,7 +9,8 @@ code points that two documents hold, only the lines of the smallest doc_id stay.
 2. The rows left are range-partitioned by hash and sorted by hash, document and position; each partition streams
    past the first document of each hash and tells the rest. A hash never spans two partitions.
 3. Told positions meet by document and become a zlib-compressed bitmap (bit i of byte i // 8: line i stays).
-   Texts are shuffled never but for the last join that applies the bitmaps, which moves one copy.
+   Texts are shuffled never but for the last join that applies the bitmaps, which moves one copy; they never leave
+   the JVM.
 
 Defined results: a null or empty text is one empty line, which stays; keys under ``min_chars`` always stay, as do
 lines that repeat in one document only; rows with a null doc_id are left out. Texts that share a doc_id are one
@@ -30,7 +31,7 @@ from . import common as C
 
 #: Lines that a task settles at a time.
 CHUNK_LINES = 500_000
-EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+EDGE = " \t\n\x0b\x0c\r"
 _ROWS = "doc_id long, row long, n_lines long, key binary, places binary"
 _TOLD = "doc_id long, row long, n_lines long, places binary"
 
@@ -39,7 +40,7 @@ def _keys(text: Column, min_chars: int) -> Column:
     """The 16-byte hash of each line's key; null for a short one."""
 
     def key(line: Column) -> Column:
-        bare = F.regexp_replace(line, EDGE, "")
+        bare = F.btrim(line, F.lit(EDGE))
         return F.when(F.length(bare) >= min_chars, F.unhex(F.md5(C.ascii_lower(bare))))
 
     return F.transform(F.split(text, "\n", -1), key)
@@ -103,29 +104,22 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        maps, lost = [], []
+        maps, lost, words = [], [], []
         for n, blobs in zip(b.column("n_lines").to_pylist(), b.column("places").to_pylist()):
             keep = np.ones(n, bool)
             keep[np.frombuffer(b"".join(blobs), np.uint32)] = False
-            maps.append(zlib.compress(np.packbits(keep, bitorder="little").tobytes()))
+            packed = np.packbits(keep, bitorder="little").tobytes()
+            maps.append(zlib.compress(packed))
             lost.append(int(n - keep.sum()))
-        arrays = [b.column("doc_id"), b.column("row"), pa.array(lost, pa.int64()), pa.array(maps, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n_dropped", "keep"])
+            words.append(np.frombuffer(packed.ljust(-(-len(packed) // 8) * 8, b"\0"), np.int64))
+        arrays = [b.column("doc_id"), b.column("row"), pa.array(lost, pa.int64()), pa.array(maps, pa.binary()), pa.array(words, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n_dropped", "keep", "bits"])
 
 
-def _kept_text(text: str, keep: bytes) -> str:
-    lines = text.split("\n")
-    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=len(lines), bitorder="little")
-    return "\n".join(x for x, k in zip(lines, bits) if k)
-
-
-def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for text, keep in zip(b.column("text").to_pylist(), b.column("keep").to_pylist()):
-            out.append(text if keep is None else _kept_text(text, keep))
-        arrays = [b.column("doc_id"), b.column("n_lines"), b.column("n_dropped"), pa.array(out, pa.string()), b.column("keep")]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_lines", "n_dropped", "kept_text", "keep"])
+def _kept_text(text: Column, bits: Column) -> Column:
+    """The lines whose bit is set; the text itself where there are no bits."""
+    stays = lambda _, i: F.getbit(F.get(bits, F.shiftright(i, 6)), i.bitwiseAND(63)) == 1
+    return F.when(bits.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), stays), "\n"))
 
 
 def _row(text: Column) -> Column:
@@ -134,7 +128,7 @@ def _row(text: Column) -> Column:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """(doc_id, row, n_dropped, keep) of the texts that lose a line."""
+    """(doc_id, row, n_dropped, keep, bits) of the texts that lose a line; ``bits`` is the bitmap in words of 64."""
     spark = docs.sparkSession
     C.small_batches(spark)
     keyed = C.documents(docs).select("doc_id", _row(F.col("text")).alias("row"), _keys(F.col("text"), min_chars).alias("keys"))
@@ -145,29 +139,23 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     part = F.floor(F.coalesce(lead, F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 << 32))) * n / F.lit(1 << 32)).cast("int")
     told = rows.repartitionById(n, part).sortWithinPartitions("key", "doc_id", "row", "places").mapInArrow(_stream, _TOLD)
     told = told.groupBy("doc_id", "row").agg(F.max("n_lines").alias("n_lines"), F.collect_list("places").alias("places"))
-    return told.mapInArrow(_bitmaps, "doc_id long, row long, n_dropped long, keep binary")
+    return told.mapInArrow(_bitmaps, "doc_id long, row long, n_dropped long, keep binary, bits array<long>")
 
 
 def first_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text, keep) of every document; keep is null where every line stays."""
     texts = C.documents(docs).withColumn("row", _row(F.col("text"))).withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
     joined = texts.join(keep_bitmaps(docs, min_chars), ["doc_id", "row"], "left").withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long")))
-    return joined.drop("row").mapInArrow(_applied, "doc_id long, n_lines long, n_dropped long, kept_text string, keep binary")
+    return joined.select("doc_id", "n_lines", "n_dropped", _kept_text(F.col("text"), F.col("bits")).alias("kept_text"), "keep")
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """``docs`` with the same columns, its texts without the lines that go; n_chars, where there is one, follows."""
     names = docs.columns
-    mark, row = C.unused("keep", names), C.unused("row", names)
-    maps = keep_bitmaps(docs, min_chars).select("doc_id", F.col("row").alias(row), F.col("keep").alias(mark))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pairs = zip(b.column("text").to_pylist(), b.column(mark).to_pylist())
-            texts = pa.array([t if k is None else _kept_text(t or "", k) for t, k in pairs], pa.string())
-            yield b.set_column(b.schema.get_field_index("text"), "text", texts).select(names)
-
-    out = docs.withColumn(row, _row(F.col("text"))).join(maps, ["doc_id", row], "left").select(*names, mark).mapInArrow(run, docs.schema)
+    mark, row = C.unused("bits", names), C.unused("row", names)
+    maps = keep_bitmaps(docs, min_chars).select("doc_id", F.col("row").alias(row), F.col("bits").alias(mark))
+    out = docs.withColumn(row, _row(F.col("text"))).join(maps, ["doc_id", row], "left")
+    out = out.withColumn("text", _kept_text(F.col("text"), F.col(mark))).select(*names)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 
 
