@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import work_table
+from .facts import with_facts
 from .matrix import ranked
 
 #: Samples that one row of a continuous signal holds.
@@ -24,10 +29,65 @@ def delta_latency(df: DataFrame, by: Sequence[str], order: Sequence[str], latenc
     return df.withColumn("dlatency", F.coalesce(F.lead(latency).over(w) - F.col(latency), F.lit(0).cast("long")))
 
 
-def onsets(df: DataFrame, by: Sequence[str], order: Sequence[str], gap: Column) -> DataFrame:
-    """``latency``: the running sum of gaps."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("latency", F.sum(gap.cast("long")).over(w))
+def onsets(df: DataFrame, by: Sequence[str], order: Sequence[str], gap: Column, spread: bool | None = None) -> DataFrame:
+    """``latency``: the running sum of gaps; null gaps add nothing.
+
+    Many small runs are summed by a window. With ``spread`` (where ``by`` is empty, always) a run may be larger than a task.
+    """
+    if by and not spread:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn("latency", F.sum(F.coalesce(gap.cast("long"), F.lit(0).cast("long"))).over(w))
+    return running_sum(df, by, order, gap, "latency")
+
+
+def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """``name``: the running sum of whole numbers in each run, whose rows may be any share of the table.
+
+    Rows are sorted in ranges over all tasks, and a task adds up what its range holds of each run, as a stream. What a run has
+    in earlier ranges is added at last: of the runs of a range, only the first one can have begun before.
+    """
+    by, order = list(by), list(order)
+    rows = df.withColumn("_value", F.coalesce(value.cast("long"), F.lit(0).cast("long")))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = rows.repartitionByRange(ranges, *by, *order).sortWithinPartitions(*by, *order)
+    schema = in_order.withColumns({name: F.lit(0).cast("long"), "_range": F.lit(0)}).schema
+    local = work_table(in_order.mapInArrow(_local_sums(by, name), schema), "sums")
+    earlier = Window.partitionBy(*by or [F.lit(0)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = local.groupBy("_range", *by).agg(F.sum("_value").alias("_total")).withColumn("_before", F.sum("_total").over(earlier))
+    before = before.where("_before IS NOT NULL").select("_range", *by, "_before")  # a row for each range at most
+    known = with_facts(local, F.broadcast(before), ["_range", *by], "left")
+    return known.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).select(*[c for c in df.columns if c != name], name)
+
+
+def _new_runs(b: pa.RecordBatch, by: list[str]) -> np.ndarray:
+    """Where a row's run is not that of the row before; false for the first row."""
+    new = np.zeros(b.num_rows, bool)
+    for c in by:
+        here, there = b.column(c).slice(1), b.column(c).slice(0, b.num_rows - 1)
+        differs = pc.fill_null(pc.not_equal(here, there), False).to_numpy(zero_copy_only=False)
+        new[1:] |= differs | (here.is_null().to_numpy(zero_copy_only=False) != there.is_null().to_numpy(zero_copy_only=False))
+    return new
+
+
+def _local_sums(by: list[str], name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at, run_, total = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            values, new = b.column("_value").to_numpy(), _new_runs(b, by)
+            begun = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            sums = np.cumsum(values)
+            sums = sums - (sums - values)[begun]
+            if [b.column(c)[0].as_py() for c in by] == run_:
+                sums[begun == 0] += total
+            run_, total = [b.column(c)[-1].as_py() for c in by], int(sums[-1])
+            columns = {c: b.column(c) for c in b.schema.names} | {name: pa.array(sums), "_range": pa.array(np.full(len(sums), at, np.int32))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return run
 
 
 def overlap_add(df: DataFrame, by: Sequence[str], response: str = "response") -> DataFrame:

@@ -7,17 +7,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from functools import reduce
-from operator import and_
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import draws
-from ..functions.taps import axis
+from ..functions import draws, taps
 from ..session import work_table
+from .arrays import lists_of, matrix_of
+from .facts import with_facts
+from .moments import moments
+from .selection import first_rows, quantile
 
 PATTERNS = ("sigmoid", "one_sided_fan", "two_sided_fan", "diverging_bar", "hourglass", "tilted_bar", "no_class")
 #: (variant, trial order, inverted)
@@ -40,13 +43,6 @@ def pattern_keys(pattern: str, seed: int = 0) -> list[Column]:
     return [*keys[pattern], F.col("trial")]
 
 
-def with_facts(df: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``df`` with the columns of its matrix's row in ``facts``; a null in ``by`` is a value like others."""
-    facts = facts.withColumnsRenamed({c: f"_of_{c}" for c in by})
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
-    return df.join(facts, same).drop(*[f"_of_{c}" for c in by])
-
-
 def ranked(df: DataFrame, keys: Sequence[Column | str], by: Sequence[str] = (), name: str = "y", spread: bool | None = None) -> DataFrame:
     """``name``: position from 1 within each matrix by the keys.
 
@@ -101,17 +97,25 @@ def drop_count(rate: Column, n: Column) -> Column:
 def dropout(df: DataFrame, rate: Column, seed: int, by: Sequence[str] = (), key: Sequence[str] = ("trial",), spread: bool | None = None) -> DataFrame:
     """Without ``drop_count(rate, n)`` trials of each matrix, chosen by hash; ``dropped`` tells how many.
 
-    ``spread`` is that of ``ranked``: for matrices that may be larger than a task.
+    With ``spread`` (where ``by`` is empty, always) a matrix may be larger than a task: the hash below which trials go is
+    selected by counts, and a filter drops them. Otherwise a window ranks each matrix.
     """
-    by, order = list(by), [draws.uniform(seed, "drop", *by, *key), *[F.col(k) for k in key]]
+    by, u = list(by), draws.uniform(seed, "drop", *by, *key)
     if by and not spread:
         group = Window.partitionBy(*by)
-        df = df.withColumn("_n", F.count("*").over(group)).withColumn("_place", F.row_number().over(group.orderBy(*order)))
-    else:
-        df = ranked(df, order, by, "_place", spread)
-        df = with_facts(df, df.groupBy(*by).agg(F.count("*").alias("_n")), by) if by else df.withColumn("_n", F.lit(df.count()))
-    df = df.withColumn("dropped", drop_count(rate, F.col("_n")))
-    return df.where(F.col("_place") > F.col("dropped")).drop("_place", "_n")
+        df = df.withColumn("_n", F.count("*").over(group)).withColumn("_place", F.row_number().over(group.orderBy(u, *key)))
+        df = df.withColumn("dropped", drop_count(rate, F.col("_n")))
+        return df.where(F.col("_place") > F.col("dropped")).drop("_place", "_n")
+    counts = df.groupBy(*by).agg(drop_count(F.max(rate), F.count("*")).alias("count"))
+    ends = work_table(first_rows(df, u, key, counts, by), "limits")
+    facts = with_facts(counts.withColumnRenamed("count", "dropped"), ends.drop("count"), by, "left")
+    known, last = with_facts(df.withColumn("_u", u), facts, by), F.struct(*key)
+    after = F.col("limit").isNull() | (F.col("_u") > F.col("limit")) | ((F.col("_u") == F.col("limit")) & (last > F.col("last")))
+    left = known.where(after)
+    if not ends.where("spare < same").isEmpty():  # rows of one key: some of them stay
+        tied = known.where((F.col("_u") == F.col("limit")) & (last == F.col("last"))).withColumn("_at", F.monotonically_increasing_id())
+        left = left.unionByName(ranked(tied, ["_at"], by, "_place", spread).where("_place > spare").drop("_at", "_place"))
+    return left.drop("_u", "limit", "last", "same", "spare")
 
 
 def crop_samples(n: Column, start_ms: Column, end_ms: Column, rate: Column) -> tuple[Column, Column]:
@@ -127,16 +131,10 @@ def cropped(signal: Column, start: Column, end: Column) -> Column:
 
 
 def zscored(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``signal`` standardised at each time point over the trials; null where the deviation is 0 or undefined.
-
-    Statistics are aggregated in long form, but come back as one short array a matrix, so the wide rows stay whole.
-    """
-    by = list(by)
-    stats = df.select(*by, F.posexplode("signal").alias("t", "v")).groupBy(*by, "t").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
-    stats = stats.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "m", "s"))), lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"))).alias("_stats"))
-    joined = df.join(stats, by) if by else df.join(F.broadcast(stats))  # without ``by`` there is one row of statistics
-    z = F.zip_with("signal", "_stats", lambda v, x: F.try_divide(v - x["m"], x["s"]))
-    return joined.withColumn("signal", z).drop("_stats")
+    """``signal`` standardised at each time point over the trials; null where the deviation is 0 or undefined."""
+    stats = moments(df, "signal", by).select(*by, F.arrays_zip("mean", "deviation").alias("_stats"))
+    z = F.zip_with("signal", "_stats", lambda v, x: F.try_divide(v - x["mean"], x["deviation"]))
+    return with_facts(df, stats, by).withColumn("signal", z).drop("_stats")
 
 
 #: What the weights of an axis depend on: its length, whether it is smoothed, whether it is low-passed.
@@ -145,7 +143,7 @@ AXIS = ("_n", "_smooth", "_low")
 OUTPUTS = 200
 
 
-def axis_weights(axes: DataFrame, size: int, method: str = "linear", sigma: float = 0.0, length: int = 0, antialias: float = 0.0) -> DataFrame:
+def axis_weights(axes: DataFrame, size: int, method: str = "linear", sigma: float = 0.0, length: int = 0, antialias: float = 0.0, filtered: bool = False) -> DataFrame:
     """(``AXIS``, o, i, w) for each distinct axis: made once, on the executors, where a long axis has many tasks."""
 
     def run(batches):
@@ -153,11 +151,11 @@ def axis_weights(axes: DataFrame, size: int, method: str = "linear", sigma: floa
             for (n, smooth, low), g in b.groupby(list(AXIS)):
                 outputs = g["o"].to_numpy()
                 for s in range(0, len(outputs), OUTPUTS):
-                    o, i, w = axis(int(n), size, method, sigma if smooth else 0.0, length, antialias if low else 0.0, outputs[s : s + OUTPUTS])
+                    o, i, w = taps.axis(int(n), size, method, sigma if smooth else 0.0, length, antialias if low else 0.0, outputs[s : s + OUTPUTS], filtered)
                     yield pd.DataFrame({"_n": n, "_smooth": smooth, "_low": low, "o": o, "i": i, "w": w})
 
     axes = axes.select(F.col("_n").cast("int").alias("_n"), "_smooth", "_low").where(F.col("_n") > 0).distinct()
-    outputs = axes.withColumn("o", F.explode(F.sequence(F.lit(1), F.lit(size) if size > 0 else F.col("_n")))).repartition("_n", "o")
+    outputs = axes.withColumn("o", F.explode(F.sequence(F.lit(1), F.lit(size) if size > 0 and not filtered else F.col("_n")))).repartition("_n", "o")
     return outputs.mapInPandas(run, "_n int, _smooth boolean, _low boolean, o int, i int, w double")
 
 
@@ -169,24 +167,98 @@ def with_axis(df: DataFrame, n: Column, size: int, smooth: Column | None, low: C
 
 
 def time_axis(df: DataFrame, size: int, method: str = "linear", smooth: Column | None = None, low: Column | None = None, **filters) -> DataFrame:
-    """``signal`` filtered and resized along time; each row keeps its wide form."""
-    df = with_axis(df, F.size("signal"), size, smooth, low)
-    w = axis_weights(df, size, method, **filters)
-    w = w.groupBy(*AXIS, "o").agg(F.collect_list(F.struct("i", "w")).alias("taps"))
-    w = w.groupBy(*AXIS).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "taps"))), lambda x: x["taps"]).alias("_taps"))
-    value = lambda taps: F.aggregate(taps, F.lit(0.0), lambda a, x: a + x["w"] * F.element_at("signal", x["i"]))
-    return df.join(w, list(AXIS)).withColumn("signal", F.transform("_taps", value)).drop(*AXIS, "_taps")
+    """``signal`` filtered and resized along time; each row keeps its wide form.
+
+    A spline's coefficients come from recurrences over each signal, after the filters.
+    """
+    if size <= 0 and not filters.get("sigma"):
+        return df
+    spline = size > 0 and method in taps.SPLINES
+    if not spline or any(filters.values()):
+        df = with_axis(df, F.size("signal"), size, smooth, low)
+        w = axis_weights(df, size, method, **filters, filtered=spline)
+        w = w.groupBy(*AXIS, "o").agg(F.collect_list(F.struct("i", "w")).alias("taps"))
+        w = w.groupBy(*AXIS).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "taps"))), lambda x: x["taps"]).alias("_taps"))
+        value = lambda each: F.aggregate(each, F.lit(0.0), lambda a, x: a + x["w"] * F.element_at("signal", x["i"]))
+        df = df.join(w, list(AXIS)).withColumn("signal", F.transform("_taps", value)).drop(*AXIS, "_taps")
+    return df.mapInArrow(_splines(size, taps.SPLINES[method]), df.schema) if spline else df
+
+
+def _splines(size: int, degree: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("signal")
+            a, valid, length = matrix_of(b.column(at))
+            rows: list[np.ndarray] = [np.zeros(0)] * len(length)
+            for n in np.unique(length[length > 0]).tolist():
+                which = np.flatnonzero(length == n)
+                resized_rows = taps.spline_samples(a[which, :n], size, degree) if n != size else a[which, :n]
+                for k, row in zip(which.tolist(), resized_rows):
+                    rows[k] = row
+            gaps = [np.full(len(row), not v[:n].all()) for row, v, n in zip(rows, valid, length)]  # a null leaves no value of its signal
+            yield b.set_column(at, b.schema.field(at), lists_of(rows, gaps, b.schema.field(at).type))
+
+    return run
+
+
+#: Outputs and inputs along the trial axis that a task combines at a time.
+BLOCK_OUTPUTS, BLOCK_INPUTS = 256, 1024
 
 
 def trial_axis(df: DataFrame, size: int, by: Sequence[str] = (), method: str = "linear", n: Column | None = None, smooth: Column | None = None, low: Column | None = None, **filters) -> DataFrame:
-    """Long rows (by, y, x, v): rows ranked by ``y`` combined to ``size`` rows of each matrix; ``n`` is its number of rows."""
+    """Long rows (by, y, x, v): rows ranked by ``y`` combined to ``size`` rows of each matrix; ``n`` is its number of rows.
+
+    A stencil: outputs are cut into blocks, and a row is sent to each block within the reach of its kernel, so that
+    it meets the ghost rows of the blocks beside it; of large kernels, a block's inputs are several parts, whose sums are added
+    up at last. Rows stay arrays, and their number grows by the ghost rows alone, whatever the kernel's length.
+    """
     by = list(by)
     if n is None:
         df, n = with_sizes(df, by), F.col("_height")
-    df = with_axis(df, n, size, smooth, low).select(*by, "y", "signal", *AXIS)
-    w = axis_weights(df, size, method, **filters).withColumnRenamed("i", "y")
-    rows = df.join(w, [*AXIS, "y"]).select(*by, F.col("o").alias("y"), "w", F.posexplode("signal").alias("x", "v"))
-    return rows.groupBy(*by, "y", (F.col("x") + 1).alias("x")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    if size <= 0 and not filters.get("sigma"):
+        return df.select(*by, F.col("y").cast("int").alias("y"), F.posexplode("signal").alias("x", "v")).withColumn("x", F.col("x") + 1)
+    df = with_axis(df, n, size, smooth, low).select(*by, F.col("y").cast("long").alias("y"), "signal", *AXIS)
+    reach, outputs = _reach(size, method, **filters), F.lit(size).cast("long") if size > 0 else F.col("_n").cast("long")
+    scale = outputs / F.col("_n")
+    first, last = [draws.clamp((F.floor((F.col("y") + side * reach - 0.5) * scale + 0.5) + 2 * side).cast("long"), F.lit(1).cast("long"), outputs) for side in (-1, 1)]
+    block = lambda o: F.floor((o - 1) / BLOCK_OUTPUTS)
+    sent = df.withColumn("_block", F.explode(F.sequence(block(first), block(last))))
+    start = F.greatest(F.floor((F.col("_block") * BLOCK_OUTPUTS + 0.5) / scale + 0.5) - reach - 1, F.lit(1))
+    sent = sent.withColumn("_part", F.floor((F.col("y") - start) / BLOCK_INPUTS))
+    kinds = df.select(*by).schema.fields
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kinds], "y int", "signal array<double>"])
+    sums = sent.groupBy(*by, *AXIS, "_block", "_part").applyInArrow(_combined(size, by, method, **filters), schema)
+    cells = sums.select(*by, "y", F.posexplode("signal").alias("x", "v"))
+    return cells.groupBy(*by, "y", (F.col("x") + 1).alias("x")).agg(F.sum("v").alias("v"))
+
+
+def _reach(size: int, method: str, sigma: float = 0.0, length: int = 0, antialias: float = 0.0) -> Column:
+    """Inputs on either side that an output's value depends on."""
+    own = 0 if size <= 0 else taps.SPAN.get(method, taps.REACH + 2)
+    smooth = F.when(F.col("_smooth"), (length + 1) // 2).otherwise(0) if sigma > 0 else F.lit(0)
+    low = F.when(F.col("_low"), 2 * F.ceil(antialias * F.col("_n") / size)).otherwise(0) if antialias > 0 and size > 0 else F.lit(0)
+    return (smooth + low + own + 1).cast("long")
+
+
+def _combined(size: int, by: list[str], method: str, sigma: float = 0.0, length: int = 0, antialias: float = 0.0):
+    def run(table: pa.Table) -> pa.Table:
+        head = table.slice(0, 1).to_pylist()[0]
+        n, smooth, low, block = (head[c] for c in (*AXIS, "_block"))
+        y = table.column("y").to_numpy()
+        outputs = np.arange(block * BLOCK_OUTPUTS + 1, min((block + 1) * BLOCK_OUTPUTS, size if size > 0 else n) + 1)
+        k = taps.kernel(n, size, sigma if smooth else 0.0, length, antialias if low else 0.0)
+        w = taps.stencil(n, size, method, k, outputs, y)
+        a, valid, _ = matrix_of(table.column("signal").combine_chunks())
+        finite, used = valid & np.isfinite(a), (w != 0).astype(float)
+        values, none = w @ np.where(finite, a, 0.0), np.zeros((len(w), a.shape[1]), bool)
+        if not finite.all():  # nulls add nothing; where there is nothing else, the sum is null
+            values[used @ (valid & ~finite) > 0] = np.nan
+            none = used @ valid == 0
+        some = np.flatnonzero(used.any(1))
+        keys = [pa.array([head[c]] * len(some), table.schema.field(c).type) for c in by]
+        return pa.Table.from_arrays([*keys, pa.array(outputs[some].astype(np.int32)), lists_of(list(values[some]), list(none[some]), pa.list_(pa.float64()))], names=[*by, "y", "signal"])
+
+    return run
 
 
 def with_sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -233,6 +305,7 @@ def variants(df: DataFrame) -> DataFrame:
     return df.withColumn("image", F.when(F.col("inverted"), F.transform(turned, lambda r: F.transform(r, lambda v: -v))).otherwise(turned))
 
 
-def color_range(v: Column) -> Column:
-    """Symmetric display range: the 0.99 quantile of absolute values, at least the least float step."""
-    return F.greatest(F.percentile(F.abs(v), F.lit(0.99)), F.lit(math.ldexp(1, -23)))
+def color_range(cells: DataFrame, value: str = "v", by: Sequence[str] = ()) -> DataFrame:
+    """(by, range): the symmetric display range, the 0.99 quantile of absolute values, at least the least float step."""
+    q = quantile(cells.withColumn("_size", F.abs(value)), "_size", 0.99, by)
+    return q.select(*by, F.greatest("quantile", F.lit(math.ldexp(1, -23))).alias("range"))

@@ -95,6 +95,13 @@ def onset_cumsum(spark, sf_dir):
     return E.onsets(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], gap).select("event_id", "user_id", "latency")
 
 
+@query(f"WITH g AS (SELECT event_id, CAST(round_even(exp(3.2 + 0.5 * {n_sql(1, 'onset', 'event_id')}), 0) AS BIGINT) AS gap FROM events) SELECT event_id, CAST(sum(gap) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS latency FROM g")
+def onset_cumsum_one_run(spark, sf_dir):
+    """All events as one run, over all tasks."""
+    gap = F.rint(F.exp(3.2 + 0.5 * draws.normal(1, "onset", "event_id")))
+    return E.onsets(table(spark, sf_dir, "events"), [], ["event_id"], gap).select("event_id", "latency")
+
+
 @query("SELECT vec_id AS trial, CAST(row_number() OVER (ORDER BY CAST(label AS INT) % 5, vec_id) AS INT) AS y FROM embeddings")
 def sort_condition_numeric(spark, sf_dir):
     return M.ranked(trials(spark, sf_dir).drop("signal"), [F.col("label") % 5, "trial"]).select("trial", "y")
@@ -200,6 +207,29 @@ def _resize_sql(method: str) -> str:
     return f"{_RANKED}, a AS ({_taps_sql(method, 'n', 16)}), b AS ({_taps_sql(method, '64', 24)}), h AS (SELECT y, b.o AS x, sum(v * w) AS v FROM x JOIN b ON x.t = b.i GROUP BY y, b.o) SELECT CAST(a.o AS INT) AS y, CAST(x AS INT) AS x, round(sum(v * w), 6) + 0.0 AS v FROM h JOIN a ON h.y = a.i GROUP BY a.o, x"
 
 
+def _spline_sql(name: str, source: str, key: str, at: str, n: str, size: int, degree: int) -> str:
+    """CTEs that resize ``source`` (key, at, v) along ``at``: the recurrences there and back, then the spline's weights."""
+    side, middle = ("(1 / 8.0)", "(3 / 4.0)") if degree == 2 else ("(1 / 6.0)", "(2 / 3.0)")
+    quadratic = "CASE WHEN d < 0.5 THEN 0.75 - d * d WHEN d < 1.5 THEN (1.5 - d) ** 2 / 2 ELSE 0 END"
+    cubic = "CASE WHEN d < 1 THEN 2 / 3.0 - d * d + d ** 3 / 2 WHEN d < 2 THEN (2 - d) ** 3 / 6 ELSE 0 END"
+    return f"""{name}_x AS (SELECT {key} AS k, {at} AS i, v, max({at}) OVER (PARTITION BY {key}) AS n FROM {source}),
+{name}_f AS (SELECT k, i, n, 0.0::DOUBLE AS share, v AS d FROM {name}_x WHERE i = 1 UNION ALL
+  SELECT x.k, x.i, x.n, CASE WHEN x.i = x.n THEN 0.0 ELSE {side} / ({middle} - {side} * f.share) END, CASE WHEN x.i = x.n THEN x.v ELSE (x.v - {side} * f.d) / ({middle} - {side} * f.share) END
+  FROM {name}_f f JOIN {name}_x x ON x.k = f.k AND x.i = f.i + 1),
+{name}_b AS (SELECT k, i, n, d AS c FROM {name}_f WHERE i = n UNION ALL SELECT f.k, f.i, f.n, f.d - f.share * b.c FROM {name}_b b JOIN {name}_f f ON f.k = b.k AND f.i = b.i - 1),
+{name}_c AS (SELECT k, i, c, n FROM {name}_b UNION ALL SELECT a.k, 0, 2 * a.c - z.c, a.n FROM {name}_b a JOIN {name}_b z ON a.k = z.k AND a.i = 1 AND z.i = 2
+  UNION ALL SELECT a.k, a.n + 1, 2 * a.c - z.c, a.n FROM {name}_b a JOIN {name}_b z ON a.k = z.k AND a.i = a.n AND z.i = a.n - 1),
+{name} AS (SELECT k, o, sum(c * ({quadratic if degree == 2 else cubic})) AS v FROM (SELECT c.k, p.o, c.c, abs(p.p - c.i) AS d FROM (SELECT * FROM ({_pos(n, size)})) p JOIN {name}_c c ON c.i BETWEEN floor(p.p) - 1 AND floor(p.p) + 2) GROUP BY k, o)"""
+
+
+def _resize_spline_sql(degree: int) -> str:
+    """Along time, then along the trials of each column."""
+    along = _spline_sql("h", "x", "y", "t", "64", 24, degree)
+    across = _spline_sql("u", "(SELECT o AS col, k AS y, v FROM h)", "col", "y", "n", 16, degree)
+    start = _RANKED.replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"{start}, {along}, {across} SELECT CAST(o AS INT) AS y, CAST(k AS INT) AS x, round(v, 6) + 0.0 AS v FROM u"
+
+
 def _resized(method: str) -> Query:
     def run(spark, sf_dir):
         df = M.ranked(trials(spark, sf_dir), ["label", "trial"])
@@ -210,8 +240,7 @@ def _resized(method: str) -> Query:
 
 for _name, _method in (("nearest", "nearest"), ("linear", "linear"), ("lanczos4", "lanczos4_opencv"), ("quadratic", "quadratic_line_ongrid"), ("cubic", "cubic_line_ongrid")):
     _queries[f"resize_{_name}"] = _resized(_method)
-    if "line_ongrid" not in _method:
-        _sql[f"resize_{_name}"] = _resize_sql(_method)
+    _sql[f"resize_{_name}"] = _resize_spline_sql(taps.SPLINES[_method]) if _method in taps.SPLINES else _resize_sql(_method)
 
 
 def _reflected_sql(kernel: str) -> str:
@@ -269,7 +298,7 @@ def variants(spark, sf_dir):
 @query(f"{_IMAGE}, {_VARIANTS} SELECT variant, round(greatest(quantile_cont(abs(sign * v), 0.99), 1.1920928955078125e-07), 6) AS q99 FROM im, q GROUP BY variant")
 def color_range_q99(spark, sf_dir):
     im = _image(spark, sf_dir).withColumn("variant", F.explode(F.array(*[F.lit(v[0]) for v in M.VARIANTS])))
-    return im.groupBy("variant").agg(F.round(M.color_range(F.col("v")), 6).alias("q99"))
+    return M.color_range(im, "v", ["variant"]).select("variant", F.round("range", 6).alias("q99"))
 
 
 @query("WITH g AS (SELECT vec_id AS idx, CAST(label AS INT) % 7 AS pattern, CAST(label AS INT) % 3 AS variant FROM embeddings), f AS (SELECT pattern, variant, min(idx) AS idx FROM g GROUP BY ALL) SELECT CAST(a.p AS INT) AS pattern, CAST(b.v AS INT) AS variant, f.idx FROM range(7) a(p), range(4) b(v) JOIN f ON f.pattern = a.p AND f.variant = b.v")
