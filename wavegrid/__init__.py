@@ -6,12 +6,17 @@ The public names are loaded when they are first used, so that Python workers loa
 from importlib import import_module
 
 _HOMES = {
-    "operators.events": ["delta_latency", "epochs", "onsets", "overlap_add"],
-    "operators.matrix": ["PATTERNS", "VARIANTS", "cropped", "dropout", "images", "pattern_keys", "ranked", "resized", "variants", "zscored"],
+    "operators.alignment": ["aligned", "looked_up", "missing_keys"],
+    "operators.events": ["delta_latency", "epochs", "onsets", "overlap_add", "running_sum"],
+    "operators.intervals": ["interval_join"],
+    "operators.matrix": ["PATTERNS", "VARIANTS", "cropped", "dropout", "color_range", "images", "pattern_keys", "ranked", "resized", "variants", "zscored"],
+    "operators.moments": ["moments"],
+    "operators.selection": ["order_statistic", "quantile"],
     "plans.config": ["Config", "N", "Noise"],
     "plans.diagnostics": ["Diagnostics", "merged", "totals"],
+    "plans.images": ["erp_image"],
     "plans.simulate": ["generate_erp_images"],
-    "sources.dataset": ["load_dataset", "save_dataset"],
+    "sources.dataset": ["datasets", "load_dataset", "save_dataset"],
 }
 _HOME = {name: home for home, names in _HOMES.items() for name in names}
 __all__ = sorted(_HOME)

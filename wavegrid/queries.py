@@ -14,11 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import draws, signals, taps
+from .operators import alignment as A
 from .operators import events as E
+from .operators import intervals as V
 from .operators import matrix as M
 from .operators import noise as Z
+from .plans import images as I
 from .plans import simulate as S
 from .plans.config import TINY, Config, Dist, N
+from .plans.diagnostics import Diagnostics, merged, totals
+from .session import shared_dir
+from .sources import dataset as D
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -264,12 +270,9 @@ def antialias_2d(spark, sf_dir):
     return M.resized(df, 16, 64, antialias=0.75).select("y", "x", r6(F.col("v")).alias("v"))
 
 
-def _image(spark, sf_dir, by=()) -> DataFrame:
-    """Sorted by label, 12 trials dropped per label when split, z-scored, 16 x 16."""
-    df = M.guarded(trials(spark, sf_dir), ["label"])
-    df = M.dropout(df, F.lit(12.5), 1, ["label"], spread=True)
-    df = M.zscored(M.ranked(df, ["label", "trial"], by), by)
-    return M.resized(df, 16, 16, by)
+def _image(spark, sf_dir, diagnostics=None) -> DataFrame:
+    """Sorted by label, 12 trials dropped per label, z-scored, 16 x 16."""
+    return I.erp_image(trials(spark, sf_dir), ["label", "trial"], 16, 16, rate=F.lit(12.5), seed=1, drop_by=["label"], diagnostics=diagnostics)
 
 
 _IMAGE = f"""
@@ -285,6 +288,14 @@ def erp_image(spark, sf_dir):
     return _image(spark, sf_dir).select("y", "x", r6(F.col("v")).alias("v"))
 
 
+@query(f"WITH {_DROP} SELECT 'erpimage_sorted' AS name, count(*) AS count FROM k WHERE place > dropped UNION ALL SELECT 'resize_img', 256")
+def erp_image_metrics(spark, sf_dir):
+    """What the tasks that make the image count: trials that are sorted, cells of the resized image."""
+    d = Diagnostics(enabled=True)
+    _image(spark, sf_dir, d)
+    return totals(d.calls(spark)).where("all_workers").select("name", "count")
+
+
 _VARIANTS = "q(vidx, variant, rev, sign) AS (VALUES (1, 'normal', false, 1.0), (2, 'reversed', true, 1.0), (3, 'inverted', false, -1.0), (4, 'reversed_inverted', true, -1.0))"
 
 
@@ -312,36 +323,78 @@ def first_per_variant(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type NOT IN ('click', 'view', 'signup') GROUP BY event_type")
 def noise_lookup_anti(spark, sf_dir):
     pool = spark.createDataFrame([("click",), ("view",), ("signup",)], "event_type string")
-    return table(spark, sf_dir, "events").join(F.broadcast(pool), "event_type", "left_anti").groupBy("event_type").agg(F.count("*").alias("n"))
+    return A.missing_keys(table(spark, sf_dir, "events"), pool, ["event_type"])
+
+
+@query("SELECT event_id, CAST(CASE event_type WHEN 'click' THEN 1.5 WHEN 'view' THEN 2.0 WHEN 'signup' THEN 2.5 WHEN 'purchase' THEN 3.0 WHEN 'error' THEN 0.5 END AS DOUBLE) AS level FROM events")
+def noise_lookup(spark, sf_dir):
+    """Each event's level; an event type without one would raise an error."""
+    pool = spark.createDataFrame([("click", 1.5), ("view", 2.0), ("signup", 2.5), ("purchase", 3.0), ("error", 0.5)], "event_type string, level double")
+    return A.looked_up(table(spark, sf_dir, "events"), pool, ["event_type"], "level").select("event_id", "level")
+
+
+@query(f"WITH {M_SQL} SELECT trial, label % 5 AS sort_value, count(*) AS n_samples FROM m GROUP BY ALL")
+def aligned_trials(spark, sf_dir):
+    """Trials with their sort values, each exactly once on both sides."""
+    data = trials(spark, sf_dir)
+    values = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("trial"), (F.col("label").cast("int") % 5).alias("sort_value"))
+    return A.aligned(data.select("trial", "signal"), values, ["trial"]).select("trial", "sort_value", F.size("signal").cast("long").alias("n_samples"))
+
+
+# windows of five hours to three days after each purchase, by its value
+_WINDOWS = f"WITH {E_SQL}, w AS (SELECT event_id AS window_id, user_id, latency AS opens, latency + CASE WHEN value > 50 THEN 259200000000 ELSE 18000000000 END AS closes FROM e WHERE event_type = 'purchase')"
+
+
+def _windows(spark, sf_dir) -> DataFrame:
+    bought = subject_events(spark, sf_dir).where("event_type = 'purchase'")
+    length = F.when(F.col("value") > 50, F.lit(259_200_000_000)).otherwise(F.lit(18_000_000_000))
+    return bought.select(F.col("event_id").alias("window_id"), "user_id", F.col("latency").alias("opens"), (F.col("latency") + length).alias("closes"))
+
+
+@query(f"{_WINDOWS} SELECT window_id, event_id, latency - opens AS since FROM w JOIN e ON e.user_id = w.user_id AND e.latency BETWEEN opens AND closes")
+def interval_join_by_user(spark, sf_dir):
+    pairs = V.interval_join(subject_events(spark, sf_dir), _windows(spark, sf_dir), "latency", "opens", "closes", ["user_id"])
+    return pairs.select("window_id", "event_id", (F.col("latency") - F.col("opens")).alias("since"))
+
+
+@query(f"{_WINDOWS} SELECT window_id, count(*) AS n, min(event_id) AS first_event, round(sum(value), 4) AS total FROM w JOIN e ON e.latency BETWEEN opens AND closes GROUP BY window_id")
+def interval_join_all(spark, sf_dir):
+    """Events of all users in each window."""
+    pairs = V.interval_join(subject_events(spark, sf_dir).drop("user_id"), _windows(spark, sf_dir).drop("user_id"), "latency", "opens", "closes")
+    return pairs.groupBy("window_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("SELECT event_type AS name, count(*) AS count, round(sum(value), 4) AS time FROM events GROUP BY event_type")
 def diag_merge(spark, sf_dir):
-    from .plans.diagnostics import merged
-
     calls = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.lit(1).cast("long").alias("count"), F.col("value").alias("time"))
     return merged(calls).select("name", "count", F.round("time", 4).alias("time"))
 
 
 @query("SELECT user_id AS worker, event_type AS name, count(*) AS count, round(sum(value), 4) AS time, grouping(user_id) = 1 AS all_workers FROM events GROUP BY GROUPING SETS ((user_id, event_type), (event_type))")
 def diag_totals_by_worker(spark, sf_dir):
-    from .plans.diagnostics import totals
-
     calls = table(spark, sf_dir, "events").select(F.col("user_id").alias("worker"), F.col("event_type").alias("name"), F.lit(1).cast("long").alias("count"), F.col("value").alias("time"))
     return totals(calls).withColumn("time", F.round("time", 4))
 
 
 @query("SELECT vec_id AS idx, CAST(label AS INT) AS pattern, len(embedding) AS n, round(list_sum(embedding), 4) AS total FROM embeddings")
 def dataset_written_and_read(spark, sf_dir):
-    from .session import shared_dir
-    from .sources.dataset import load_dataset, save_dataset
-
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.col("label").cast("int").alias("pattern"), F.col("embedding").cast("array<double>").alias("image"))
-    images, _, _ = load_dataset(spark, save_dataset(rows, f"{shared_dir(spark)}/datasets", uuid.uuid4().hex, Config()))
+    images, _, _ = D.load_dataset(spark, _written(spark, sf_dir))
     total = F.aggregate("image", F.lit(0.0), lambda a, v: a + v)
     return images.select("idx", "pattern", F.size("image").cast("long").alias("n"), F.round(total, 4).alias("total"))
 
 
+@query("SELECT vec_id AS idx, CAST(label AS INT) AS pattern, len(embedding) AS n FROM embeddings WHERE CAST(label AS INT) IN (3, 7)")
+def dataset_pruned(spark, sf_dir):
+    """Two patterns of a dataset; the others' partitions aren't read."""
+    images, _, _ = D.load_dataset(spark, _written(spark, sf_dir), [3, 7])
+    return images.select("idx", "pattern", F.size("image").cast("long").alias("n"))
+
+
+def _written(spark, sf_dir) -> str:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.col("label").cast("int").alias("pattern"), F.col("embedding").cast("array<double>").alias("image"))
+    return D.save_dataset(rows, f"{shared_dir(spark)}/datasets", uuid.uuid4().hex, Config())
+
+
 _RESPONSE = "[0.5, 1.0, 1.5, 2.0, 1.5, 1.0, 0.5, 0.25]"
 _OVERLAP = f"""
 WITH b AS (SELECT event_id AS trial, user_id AS rep, date_diff('hour', TIMESTAMP '2020-01-01 00:00:00', ts) AS latency, value FROM events),
