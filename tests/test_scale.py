@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavegrid.functions import taps
-from wavegrid.operators import events, matrix, moments, selection
+from wavegrid.operators import events, facts, grid, matrix, moments, selection
 
 
 @pytest.mark.parametrize("few", [1, 5, 1000])
@@ -196,3 +196,39 @@ def test_running_sums_over_all_tasks(spark):
     small = events.onsets(df, ["g"], ["k"], F.col("gap"))
     assert {(x["g"], x["k"]): x["latency"] for x in small.collect()} == {(x["g"], x["k"]): x["latency"] for x in events.onsets(df, ["g"], ["k"], F.col("gap"), spread=True).collect()}
     assert events.onsets(df.limit(0), [], ["k"], F.col("gap")).collect() == []
+
+
+def test_differences_over_all_tasks(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["a", "a", "a", None, "b"]), k, r.choice([None, -3, 0, 5, 1 << 33]), "x") for k in range(700)] + [(f"s{k}", 1, k, "x") for k in range(30)]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "g string, k int, latency long, dlatency string").repartition(5)
+    shown = lambda d: sorted(map(str, d.collect()))
+    assert shown(events.delta_latency(df, ["g"], ["k"], spread=True)) == shown(events.delta_latency(df, ["g"], ["k"], spread=False))
+    one = df.withColumn("one", F.lit(1))
+    assert shown(events.delta_latency(df, [], ["k", "g"])) == shown(events.delta_latency(one, ["one"], ["k", "g"], spread=False).drop("one"))
+    assert events.delta_latency(df.limit(0), [], ["k"]).collect() == []
+
+
+def test_a_large_group_is_spread(spark, monkeypatch):
+    df = spark.createDataFrame([("a", k, 2 * k) for k in range(50)] + [("b", 1, 1)], "g string, k int, latency long")
+    assert not facts.crowded(df, ["g"]) and facts.crowded(df, [])
+    plans = lambda: [d._jdf.queryExecution().toString() for d in (events.delta_latency(df, ["g"], ["k"]), matrix.ranked(df, ["k"], ["g"]), events.onsets(df, ["g"], ["k"], F.col("k")))]
+    assert all("windowspecdefinition(g#" in p for p in plans())
+    monkeypatch.setattr(facts, "GROUP_ROWS", 20)
+    assert facts.crowded(df, ["g"]) and not any("windowspecdefinition(g#" in p for p in plans()[:2])
+
+
+def test_grid(spark):
+    df = spark.createDataFrame([(1, 1, 1), (1, 7, 4), (2, 3, 4)], "rep int, p int, v int")
+    df = df.withColumn("idx", grid.output_index(F.col("rep"), F.col("p"), F.col("v")))
+    assert [x["idx"] for x in df.orderBy("idx").collect()] == [1, 28, 40]
+    assert all(tuple(x["at"]) == (x["rep"], x["p"], x["v"]) for x in df.withColumn("at", grid.grid_place(F.col("idx"))).collect())
+    every = [tuple(x[0]) for x in spark.range(1, 85).select(grid.grid_place(F.col("id"))).collect()]
+    assert len(set(every)) == 84 and {x[0] for x in every} == {1, 2, 3} and {x[1:] for x in every} == {(p, v) for p in range(1, 8) for v in range(1, 5)}
+
+
+def test_cells_without_an_image_are_skipped(spark):
+    images = spark.createDataFrame([(5, 1, 1), (3, 1, 1), (None, 1, 2), (9, 2, 1)], "idx int, p int, v int")
+    cells = spark.createDataFrame([(p, v) for p in (1, 2) for v in (1, 2)], "p int, v int")
+    assert sorted(map(tuple, grid.first_per_cell(images, ["p", "v"]).collect())) == [(1, 1, 3), (2, 1, 9)]
+    assert [tuple(x) for x in grid.empty_cells(cells, images.where("idx IS NOT NULL"), ["p", "v"]).orderBy("p").collect()] == [(1, 2), (2, 2)]

@@ -11,30 +11,74 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import work_table
-from .facts import with_facts
-from .matrix import ranked
+from .facts import crowded, with_facts
 
 #: Samples that one row of a continuous signal holds.
 BLOCK = 1024
 
 
-def delta_latency(df: DataFrame, by: Sequence[str], order: Sequence[str], latency: str = "latency") -> DataFrame:
-    """``dlatency``: the next event's latency less this one's; 0 for the last. One run alone is ordered over all tasks."""
-    if not by:
-        df = ranked(df, order, name="_at")
-        after = df.select((F.col("_at") - 1).alias("_at"), F.col(latency).alias("_next"))
-        df = df.join(after, "_at", "left")
-        return df.withColumn("dlatency", F.coalesce(F.col("_next") - F.col(latency), F.lit(0).cast("long"))).drop("_at", "_next")
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("dlatency", F.coalesce(F.lead(latency).over(w) - F.col(latency), F.lit(0).cast("long")))
+def delta_latency(df: DataFrame, by: Sequence[str], order: Sequence[str], latency: str = "latency", spread: bool | None = None) -> DataFrame:
+    """``dlatency``: the next event's latency less this one's; 0 for the last of a run, and where either is null.
+
+    Many small runs are ordered by a window. With ``spread`` (unless told, where a run is larger than a task should take; where
+    ``by`` is empty, always) rows are sorted in ranges over all tasks, each of which looks one row ahead as a stream; the
+    first row of the next range is known to the last row of a range, from a table of one row for each range.
+    """
+    by = list(by)
+    if by and not (crowded(df, by) if spread is None else spread):
+        w = Window.partitionBy(*by).orderBy(*order)
+        return df.withColumn("dlatency", F.coalesce(F.lead(latency).over(w) - F.col(latency), F.lit(0).cast("long")))
+    in_order = _in_ranges(df, by, order).withColumn("_at", F.col(latency).cast("long"))
+    schema = in_order.withColumns({"_next": F.lit(None).cast("long"), "_range": F.lit(0), "_head": F.lit(True), "_tail": F.lit(True)}).schema
+    local = work_table(in_order.mapInArrow(_local_next(by), schema), "next")
+    after = Window.orderBy("_range")  # over one row for each range
+    heads = local.where("_head").select((F.lag("_range").over(after)).alias("_range"), *by, F.col("_at").alias("_follows")).where("_range IS NOT NULL")
+    tails = with_facts(local.where("_tail"), F.broadcast(heads), ["_range", *by], "left").withColumn("_next", F.coalesce("_next", "_follows")).drop("_follows")
+    known = local.where("NOT _tail").unionByName(tails)
+    return known.withColumn("dlatency", F.coalesce(F.col("_next") - F.col("_at"), F.lit(0).cast("long"))).select(*[c for c in df.columns if c != "dlatency"], "dlatency")
+
+
+def _in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(ranges, *by, *order).sortWithinPartitions(*by, *order)
+
+
+def _local_next(by: list[str]):
+    """Sorted rows with the next one's ``_at``, if it is of the same run; the range's first and last row are marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at, held, head = TaskContext.get().partitionId(), None, True
+
+        def told(b: pa.RecordBatch, following: pa.Array, first: bool, last: bool) -> pa.RecordBatch:
+            heads, tails = np.zeros(b.num_rows, bool), np.zeros(b.num_rows, bool)
+            heads[0], tails[-1] = first, last
+            more = {"_next": following, "_range": pa.array(np.full(b.num_rows, at, np.int32)), "_head": pa.array(heads), "_tail": pa.array(tails)}
+            columns = {c: b.column(c) for c in b.schema.names} | more
+            return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([held, b] if held is not None else [b]).combine_chunks().to_batches()[0]
+            if rows.num_rows > 1:
+                following = pc.if_else(pa.array(~_new_runs(rows, by)[1:]), rows.column("_at").slice(1), pa.scalar(None, pa.int64()))
+                yield told(rows.slice(0, rows.num_rows - 1), following, head, False)
+                head = False
+            held = rows.slice(rows.num_rows - 1)
+        if held is not None:
+            yield told(held, pa.nulls(1, pa.int64()), head, True)
+
+    return run
 
 
 def onsets(df: DataFrame, by: Sequence[str], order: Sequence[str], gap: Column, spread: bool | None = None) -> DataFrame:
     """``latency``: the running sum of gaps; null gaps add nothing.
 
-    Many small runs are summed by a window. With ``spread`` (where ``by`` is empty, always) a run may be larger than a task.
+    Many small runs are summed by a window. With ``spread`` (see ``delta_latency``) a run may have any share of the table.
     """
-    if by and not spread:
+    if by and not (crowded(df, by) if spread is None else spread):
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn("latency", F.sum(F.coalesce(gap.cast("long"), F.lit(0).cast("long"))).over(w))
     return running_sum(df, by, order, gap, "latency")
@@ -48,8 +92,7 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: C
     """
     by, order = list(by), list(order)
     rows = df.withColumn("_value", F.coalesce(value.cast("long"), F.lit(0).cast("long")))
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_order = rows.repartitionByRange(ranges, *by, *order).sortWithinPartitions(*by, *order)
+    in_order = _in_ranges(rows, by, order)
     schema = in_order.withColumns({name: F.lit(0).cast("long"), "_range": F.lit(0)}).schema
     local = work_table(in_order.mapInArrow(_local_sums(by, name), schema), "sums")
     earlier = Window.partitionBy(*by or [F.lit(0)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import draws, taps
 from ..session import work_table
 from .arrays import lists_of, matrix_of
-from .facts import with_facts
+from .facts import crowded, with_facts
 from .moments import moments
 from .selection import first_rows, quantile
 
@@ -46,12 +46,12 @@ def pattern_keys(pattern: str, seed: int = 0) -> list[Column]:
 def ranked(df: DataFrame, keys: Sequence[Column | str], by: Sequence[str] = (), name: str = "y", spread: bool | None = None) -> DataFrame:
     """``name``: position from 1 within each matrix by the keys.
 
-    Many small matrices are ranked by a window. With ``spread`` (where ``by`` is empty, always) a matrix may be larger
-    than a task: rows are sorted in ranges over all tasks and saved, and a row's rank is its place in its range after
-    the rows of the ranges before.
+    Many small matrices are ranked by a window. With ``spread`` (unless told, where one is larger than a task should
+    take; where ``by`` is empty, always) rows are sorted in ranges over all tasks and saved, and a row's rank is its place
+    in its range after the rows of the ranges before.
     """
     by, keys = list(by), [F.col(k) if isinstance(k, str) else k for k in keys]
-    if by and not spread:
+    if by and not (crowded(df, by) if spread is None else spread):
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*keys)).cast("int"))
     order, ranges = [*map(F.col, by), *keys], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
@@ -97,11 +97,11 @@ def drop_count(rate: Column, n: Column) -> Column:
 def dropout(df: DataFrame, rate: Column, seed: int, by: Sequence[str] = (), key: Sequence[str] = ("trial",), spread: bool | None = None) -> DataFrame:
     """Without ``drop_count(rate, n)`` trials of each matrix, chosen by hash; ``dropped`` tells how many.
 
-    With ``spread`` (where ``by`` is empty, always) a matrix may be larger than a task: the hash below which trials go is
-    selected by counts, and a filter drops them. Otherwise a window ranks each matrix.
+    With ``spread`` (see ``ranked``) the hash below which trials go is selected by counts, and a filter drops them.
+    Otherwise a window ranks each matrix.
     """
     by, u = list(by), draws.uniform(seed, "drop", *by, *key)
-    if by and not spread:
+    if by and not (crowded(df, by) if spread is None else spread):
         group = Window.partitionBy(*by)
         df = df.withColumn("_n", F.count("*").over(group)).withColumn("_place", F.row_number().over(group.orderBy(u, *key)))
         df = df.withColumn("dropped", drop_count(rate, F.col("_n")))
@@ -114,7 +114,7 @@ def dropout(df: DataFrame, rate: Column, seed: int, by: Sequence[str] = (), key:
     left = known.where(after)
     if not ends.where("spare < same").isEmpty():  # rows of one key: some of them stay
         tied = known.where((F.col("_u") == F.col("limit")) & (last == F.col("last"))).withColumn("_at", F.monotonically_increasing_id())
-        left = left.unionByName(ranked(tied, ["_at"], by, "_place", spread).where("_place > spare").drop("_at", "_place"))
+        left = left.unionByName(ranked(tied, ["_at"], by, "_place", True).where("_place > spare").drop("_at", "_place"))
     return left.drop("_u", "limit", "last", "same", "spare")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import draws, signals
 from ..operators import events, matrix, noise
+from ..operators.grid import output_index
+from ..session import work_table
 from .config import Config, Dist
 
 GEOMETRY = ("p100", "p300", "n170")
@@ -61,10 +63,10 @@ def design(params: DataFrame, seed: int) -> DataFrame:
     for column, name in columns.items():
         df = df.withColumn(column, axis(name))
     keys = ["diverging_bar_condition", *columns]
-    df = matrix.ranked(df, [draws.uniform(seed, "order", "rep", *keys), *keys], ["rep"], "trial")
+    df = matrix.ranked(df, [draws.uniform(seed, "order", "rep", *keys), *keys], ["rep"], "trial", spread=False)
     gap = F.rint(F.exp(draws.normal(seed, "onset", "rep", "trial", mean=F.col("mu"), sd=F.col("sigma"))))
-    df = events.onsets(df, ["rep"], ["trial"], gap)
-    df = events.delta_latency(df, ["rep"], ["trial"])
+    df = events.onsets(df, ["rep"], ["trial"], gap, spread=False)
+    df = events.delta_latency(df, ["rep"], ["trial"], spread=False)
     return df.select("rep", "trial", *keys, "latency", "dlatency")
 
 
@@ -111,11 +113,12 @@ def build_images(trials: DataFrame, epochs: DataFrame, params: DataFrame, cfg: C
     df = df.withColumn("signal", matrix.cropped(F.col("signal"), F.col("crop_start_samples"), F.col("crop_end_samples"))).join(trials, ["rep", "trial"])
     df = df.withColumn("pattern", F.explode(F.array(*[F.lit(p) for p in matrix.PATTERNS])))
     by = ["rep", "pattern"]
-    df = matrix.dropout(df, F.col("dropout_trials_rate"), cfg.seed, by)
-    df = matrix.ranked(df, [matrix.sort_key(cfg.seed)], by)
+    # a rep's trials are bounded by its levels, so each matrix fits a task
+    df = matrix.dropout(df, F.col("dropout_trials_rate"), cfg.seed, by, spread=False)
+    df = matrix.ranked(df, [matrix.sort_key(cfg.seed)], by, spread=False)
     if cfg.zscore_timepoints:
         df = matrix.zscored(df, by)
-    df = df.persist()
+    df = work_table(df, "matrices")
     facts = df.groupBy(*by).agg(
         F.max("raw_time").alias("raw_time"), F.max(F.size("signal")).alias("n_time"), F.count("*").alias("kept"), F.max("dropped").cast("int").alias("dropout_trials"),
         F.max("crop_start_samples").alias("crop_start_samples"), F.max("crop_end_samples").alias("crop_end_samples"),
@@ -131,7 +134,7 @@ def build_images(trials: DataFrame, epochs: DataFrame, params: DataFrame, cfg: C
     size = lambda h, w: F.struct(h.cast("int").alias("h"), w.cast("int").alias("w"))
     image = image.withColumns(
         {
-            "idx": (F.col("rep") - 1) * 28 + (pidx - 1) * 4 + F.col("vidx"),
+            "idx": output_index(F.col("rep"), pidx, F.col("vidx")),
             "label": F.col("pattern"),
             "erpimage_raw_size": size(F.col("kept") + F.col("dropout_trials"), F.col("raw_time")),
             "erpimage_processed_size": size(F.col("kept"), F.col("n_time")),
@@ -143,9 +146,9 @@ def build_images(trials: DataFrame, epochs: DataFrame, params: DataFrame, cfg: C
 
 
 def generate_erp_images(spark: SparkSession, cfg: Config) -> DataFrame:
-    """28 images for each of ``cfg.n_per_pattern`` reps; lazy until written."""
+    """28 images for each of ``cfg.n_per_pattern`` reps; epochs and matrices are work tables."""
     cfg.checked()
     params = sample_params(spark.range(1, cfg.n_per_pattern + 1).withColumnRenamed("id", "rep"), cfg)
     trials, epochs = simulate(params, cfg)
-    epochs = epochs.persist()  # one simulation feeds seven orders and their statistics
+    epochs = work_table(epochs, "epochs")  # one simulation feeds seven orders and their statistics
     return build_images(trials, epochs, params, cfg)

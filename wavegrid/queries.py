@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import draws, signals, taps
 from .operators import alignment as A
 from .operators import events as E
+from .operators import grid as G
 from .operators import intervals as V
 from .operators import matrix as M
 from .operators import noise as Z
@@ -312,14 +313,36 @@ def color_range_q99(spark, sf_dir):
     return M.color_range(im, "v", ["variant"]).select("variant", F.round("range", 6).alias("q99"))
 
 
-@query("WITH g AS (SELECT vec_id AS idx, CAST(label AS INT) % 7 AS pattern, CAST(label AS INT) % 3 AS variant FROM embeddings), f AS (SELECT pattern, variant, min(idx) AS idx FROM g GROUP BY ALL) SELECT CAST(a.p AS INT) AS pattern, CAST(b.v AS INT) AS variant, f.idx FROM range(7) a(p), range(4) b(v) JOIN f ON f.pattern = a.p AND f.variant = b.v")
-def first_per_variant(spark, sf_dir):
-    g = trials(spark, sf_dir).select(F.col("trial").alias("idx"), (F.col("label") % 7).alias("pattern"), (F.col("label") % 3).alias("variant"))
-    first = g.groupBy("pattern", "variant").agg(F.min("idx").alias("idx"))
+_CELLS = "WITH g AS (SELECT vec_id AS idx, CAST(label AS INT) % 7 AS pattern, CAST(label AS INT) % 3 AS variant FROM embeddings), c AS (SELECT CAST(a.p AS INT) AS pattern, CAST(b.v AS INT) AS variant FROM range(7) a(p), range(4) b(v))"
+
+
+def _cells(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Images in cells of a grid of seven by four."""
+    images = trials(spark, sf_dir).select(F.col("trial").alias("idx"), (F.col("label") % 7).alias("pattern"), (F.col("label") % 3).alias("variant"))
     grid = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(6))).alias("pattern")).select("pattern", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("variant"))
+    return images, grid
+
+
+@query(f"{_CELLS}, f AS (SELECT pattern, variant, min(idx) AS idx FROM g GROUP BY ALL) SELECT c.pattern, c.variant, f.idx FROM c JOIN f USING (pattern, variant)")
+def first_per_variant(spark, sf_dir):
+    images, grid = _cells(spark, sf_dir)
+    first = G.first_per_cell(images, ["pattern", "variant"])
     return grid.join(F.broadcast(first), ["pattern", "variant"])  # at most one row for each of 28 cells; missing ones are skipped
 
 
+@query(f"{_CELLS} SELECT c.pattern, c.variant FROM c ANTI JOIN g USING (pattern, variant)")
+def empty_grid_cells(spark, sf_dir):
+    images, grid = _cells(spark, sf_dir)
+    return G.empty_cells(grid, images, ["pattern", "variant"])
+
+
+@query("WITH g AS (SELECT vec_id, vec_id // 28 + 1 AS rep, CAST(label AS INT) % 7 + 1 AS p, vec_id % 4 + 1 AS v FROM embeddings), i AS (SELECT vec_id, CAST((rep - 1) * 28 + (p - 1) * 4 + v AS BIGINT) AS idx, rep, p, v FROM g) SELECT vec_id, idx, CAST(rep AS INT) AS rep, CAST(p AS INT) AS pattern, CAST(v AS INT) AS variant FROM i")
+def output_index(spark, sf_dir):
+    """Each image's number in the output, and the place that it leads back to."""
+    e = trials(spark, sf_dir).select(F.col("trial").alias("vec_id"), G.output_index(F.floor(F.col("trial") / 28) + 1, F.col("label") % 7 + 1, F.col("trial") % 4 + 1).alias("idx"))
+    return e.select("vec_id", "idx", G.grid_place(F.col("idx")).alias("at")).select("vec_id", "idx", "at.*")
+
+
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type NOT IN ('click', 'view', 'signup') GROUP BY event_type")
 def noise_lookup_anti(spark, sf_dir):
     pool = spark.createDataFrame([("click",), ("view",), ("signup",)], "event_type string")
