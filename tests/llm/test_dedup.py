@@ -22,7 +22,8 @@ def given(spark, kind):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{plain.SF}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{plain.SF}/{t}.parquet'")
     got = queries.queries()[name](spark, plain.SF)
     cursor = con.execute(queries.oracle_sql()[name])
     assert [d[0] for d in cursor.description] == got.columns
