@@ -304,20 +304,22 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int =
     terms = mined_terms(own.where("label IS NOT NULL").select("doc_id", "text", "label"))
     shouting, marks = flags(F.col("text"))
     voted = own.select("row", hashed_forms(F.array_distinct(tokens(F.col("text")))).alias("h"), shouting.alias("shouting"), marks.alias("marks"), "label")
-    spark = docs.sparkSession
-    hashes = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "i int, t string").select("i", F.xxhash64("t").alias("h")).collect()
-    voted = voted.mapInArrow(_fired(np.array([r["h"] for r in sorted(hashes)], np.int64)), "row long, fired array<int>, words int, shouting boolean, marks boolean, label int").toPandas().sort_values("row")
+    hashes = docs.sparkSession.range(1).select(F.array(*[F.xxhash64(F.lit(t)) for t in terms]).cast("array<long>")).first()[0]
+    voted = voted.mapInArrow(_fired(np.array(hashes, np.int64)), "row long, fired array<int>, words int, shouting boolean, marks boolean, label int").toArrow().sort_by("row")
     n_terms, words = len(terms), voted["words"].to_numpy()
-    patterns = np.stack([words >= 2, voted["shouting"].to_numpy(bool), voted["marks"].to_numpy(bool)], 1)
-    fired = [np.concatenate([np.asarray(f, np.int64), n_terms + np.flatnonzero(x)]) for f, x in zip(voted["fired"], patterns)]
+    patterns = np.stack([words >= 2, voted["shouting"].to_numpy(), voted["marks"].to_numpy()], 1)
+    lists = voted["fired"].combine_chunks()
+    each = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+    fired = [np.concatenate([f.astype(np.int64), n_terms + np.flatnonzero(x)]) for f, x in zip(each, patterns)]
     share = y[1] / (y[0] + y[1])
     posterior = label_model(Votes(fired, n_terms + len(PATTERNS)), share, np.where(words >= 2, 0.95, np.where(words == 1, share, 0.01)))
 
     row = voted["row"].to_numpy()
     binned = own.select("row", bins(F.array_distinct(tokens(F.col("text"))), F.col("text")).alias("bins"))
-    counts = binned.mapInArrow(_bin_counts(row, posterior), "bin long, n double, toxic double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toPandas().sort_values("bin")
+    counts = binned.mapInArrow(_bin_counts(row, posterior), "bin long, n double, toxic double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow().sort_by("bin")
     mean = min(max(posterior.mean(), 1e-3), 1 - 1e-3)
-    z = (counts["toxic"] - counts["n"] * mean).to_numpy() / np.sqrt(counts["n"].to_numpy() * mean * (1 - mean) + 1e-9)
+    n = counts["n"].to_numpy()
+    z = (counts["toxic"].to_numpy() - n * mean) / np.sqrt(n * mean * (1 - mean) + 1e-9)
     best = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
     chosen = counts["bin"].to_numpy()[np.sort(best[np.abs(z[best]) >= LEAST_Z])]
     got = binned.mapInArrow(_chosen_bins(chosen), "row long, own array<int>, n int").toArrow()
@@ -326,7 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int =
     target = _by_row(row, posterior, got.column("row").to_numpy())
     w = logistic_sparse(flat, offsets, target, len(chosen), RIDGE)
     margin = row_sums(flat, offsets, w)
-    label = _by_row(row, voted["label"].to_numpy(float), got.column("row").to_numpy())
+    label = _by_row(row, voted["label"].cast(pa.float64()).fill_null(np.nan).to_numpy(), got.column("row").to_numpy())
     known = ~np.isnan(label)
     x = np.stack([margin, np.log(got.column("n").to_numpy().astype(float)), np.ones(len(margin))], 1)
     weights = np.zeros(BUCKETS)
