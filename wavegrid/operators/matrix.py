@@ -279,11 +279,12 @@ def resized(df: DataFrame, height: int, width: int, by: Sequence[str] = (), meth
     """Long cells (by, y, x, v) of each matrix smoothed, low-passed and resized along both axes.
 
     A matrix with one row or one column is not filtered. If its size changes along either axis, both are low-passed.
-    Without a positive height and width nothing is resized.
+    Without a positive height and width nothing is resized. Sizes are counted here unless ``with_sizes`` has told them
+    before costlier steps.
     """
     if height <= 0 or width <= 0:
         height = width = 0
-    df = with_sizes(df, by)
+    df = df if "_height" in df.columns else with_sizes(df, by)
     h, w = F.col("_height"), F.col("_width")
     smooth = F.least(h.cast("long"), w.cast("long")) > 1
     df = df.withColumns({"_filtered": smooth, "_changed": smooth & F.lit(height > 0) & ((h != height) | (w != width))})

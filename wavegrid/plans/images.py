@@ -23,6 +23,6 @@ def erp_image(trials: DataFrame, keys: Sequence[str], height: int, width: int, b
     df = matrix.guarded(trials, keys)
     if rate is not None:
         df = matrix.dropout(df, rate, seed, drop_by, spread=True)
-    df = diagnostics.step(SORTED, matrix.ranked(df, keys, by))
+    df = matrix.with_sizes(diagnostics.step(SORTED, matrix.ranked(df, keys, by)), by)
     cells = matrix.resized(matrix.zscored(df, by) if zscore else df, height, width, by, method, **filters)
     return diagnostics.step(RESIZED, cells.select(*by, "y", "x", F.col("v")))
