@@ -74,7 +74,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def cell(bits: Column, parts: int = PARTS) -> Column:
     """The parts' population counts, seven bits each, so that a step below 0 leads to no cell; at most 8 parts."""
     width = 64 // parts
-    count = lambda p: F.bit_count(F.shiftrightunsigned(bits, p * width).bitwiseAND((1 << width) - 1)).cast("long")
+    part = lambda p: F.shiftrightunsigned(bits, p * width).bitwiseAND((1 << width) - 1) if parts > 1 else bits
+    count = lambda p: F.bit_count(part(p)).cast("long")
     return sum((F.shiftleft(count(p), 7 * p) for p in range(1, parts)), count(0))
 
 
