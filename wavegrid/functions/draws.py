@@ -26,5 +26,5 @@ def discrete_uniform(seed: int, stream: str, *keys: Column | str, low: int, high
 
 
 def clamp(value: Column, low: Column | int, high: Column | int) -> Column:
-    """Bounds as a Julia clamp has them: the upper one wins where they cross."""
+    """The upper bound wins where the two cross."""
     return F.least(F.greatest(value, F.lit(low) if isinstance(low, int) else low), F.lit(high) if isinstance(high, int) else high)
