@@ -10,6 +10,7 @@ from wavegrid.operators import alignment, intervals
 from wavegrid.plans import images
 from wavegrid.plans.config import Config
 from wavegrid.plans.diagnostics import Diagnostics, totals
+from wavegrid.queries import queries
 from wavegrid.sources import dataset
 
 
@@ -102,3 +103,51 @@ def test_metrics_of_tasks(spark):
     off = Diagnostics()
     assert sorted(map(tuple, images.erp_image(df, ["label", "trial"], 8, 4, rate=F.lit(50.0), diagnostics=off).collect())) == sorted(map(tuple, cells.collect()))
     assert off.calls(spark).collect() == [] and off.step("x", df) is df
+
+
+def totals_by_hand(points, spans):
+    """{span: (points, least point, sum)} of rows (point, place, value) and (span, opens, closes)."""
+    held = {i: [(k, v) for k, at, v in points if at is not None and a <= at <= b] for i, a, b in spans if a is not None and b is not None}
+    return {i: (len(x), min(k for k, _ in x), sum(v for _, v in x if v is not None) if any(v is not None for _, v in x) else None) for i, x in held.items() if x}
+
+
+@pytest.mark.parametrize("hot,places", [(1, 40), (7, 5000), (200_000, 5000), (200_000, 3)])
+def test_interval_totals(spark, hot, places):
+    r = random.Random(places)
+    points = [(k, r.choice([None, 1 << 40, *[r.randrange(-places, places) for _ in range(8)]]), r.choice([None, 0.25, 1.5, -2.0])) for k in range(600)]
+    spans = [(k, s := r.randrange(-places, places), s + r.choice([-1, 0, 1, 2, 63, 64, places, 1 << 41])) for k in range(150)]
+    spans += [(200 + k, -places, places) for k in range(30)] + [(300 + k, -places, k) for k in range(30)] + [(90_000, None, 5), (90_001, 5, None)]
+    p = spark.createDataFrame(points, "point int, place long, value double").repartition(3)
+    s = spark.createDataFrame(spans, "span int, opens long, closes long").repartition(2)
+    got = intervals.interval_totals(p, s, "place", "opens", "closes", {"n": ("count", "place"), "least": ("min", "point"), "total": ("sum", "value")}, hot)
+    assert got.columns == ["span", "opens", "closes", "n", "least", "total"]
+    rows = got.collect()
+    assert {x["span"]: (x["n"], x["least"], x["total"]) for x in rows} == totals_by_hand(points, spans) and len(rows) == len({x["span"] for x in rows})
+
+
+def test_interval_totals_of_nothing_and_of_odd_values(spark):
+    p = spark.createDataFrame([(1, 5, float("nan")), (2, 7, float("inf")), (3, 9, 1.0)], "point int, place long, value double")
+    s = spark.createDataFrame([(1, 0, 4), (2, 5, 5), (3, 6, 8), (4, 8, 10)], "span int, opens long, closes long")
+    total = lambda p, s: {x["span"]: str(x["total"]) for x in intervals.interval_totals(p, s, "place", "opens", "closes", {"total": ("sum", "value")}).collect()}
+    assert total(p.limit(0), s) == total(p, s.limit(0)) == {}
+    assert total(p, s) == {2: "nan", 3: "inf", 4: "1.0"}
+
+
+def most_rows(node):
+    """The most rows that a step of an executed plan gave."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        node = node.executedPlan()
+    if "QueryStage" in node.nodeName():
+        return most_rows(node.plan())
+    out, below = node.metrics().get("numOutputRows"), node.children()
+    return max([out.get().value() if out.isDefined() else 0, *[most_rows(below.apply(k)) for k in range(below.size())]])
+
+
+def test_query_of_all_intervals_makes_no_pairs(spark, tmp_path):
+    """3,000 windows that hold 4.5 million pairs, all events being within the shortest window."""
+    rows = spark.range(3000).selectExpr("id AS event_id", "timestampadd(MICROSECOND, id * 1000, TIMESTAMP_NTZ'2024-01-01 00:00:00') AS ts", "id % 5 AS user_id", "'purchase' AS event_type", "CAST(id % 100 AS DOUBLE) AS value")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    result = queries()["interval_join_all"](spark, str(tmp_path))
+    got = {x["window_id"]: (x["n"], x["first_event"], x["total"]) for x in result.collect()}
+    assert got == {k: (3000 - k, k, float(sum(i % 100 for i in range(k, 3000)))) for k in range(3000)}
+    assert most_rows(result._jdf.queryExecution().executedPlan()) < 400_000

@@ -8,7 +8,7 @@ from importlib import import_module
 _HOMES = {
     "operators.alignment": ["aligned", "looked_up", "missing_keys"],
     "operators.events": ["delta_latency", "epochs", "onsets", "overlap_add", "running_sum"],
-    "operators.intervals": ["interval_join"],
+    "operators.intervals": ["interval_join", "interval_totals"],
     "operators.matrix": ["PATTERNS", "VARIANTS", "cropped", "dropout", "color_range", "images", "pattern_keys", "ranked", "resized", "variants", "zscored"],
     "operators.moments": ["moments"],
     "operators.selection": ["order_statistic", "quantile"],
