@@ -192,6 +192,33 @@ def test_secrets_are_added_alike_for_any_layout(spark):
         assert spans == found, texts[d]
 
 
+def test_secrets_are_learned_from_all_documents(spark):
+    """What names a secret stands only in documents past the 5,000 of least hash, which a sample would be made of."""
+    n, r = 5600, np.random.default_rng(8)
+    order = spark.range(n).select("id", F.pmod(F.xxhash64("id", F.lit("pii")), F.lit(n)).alias("h")).collect()
+    hexes = lambda: "".join(r.choice(list("0123456789abcdef"), 40))
+    rows = [(x["id"], f'token = "{hexes()}"' if x["h"] >= 5000 else f"loose {hexes()} here" if x["id"] % 250 == 1 else f"some_long_file-name_of_part{x['id'] % 7}") for x in order]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = dict(rows)
+    for x in pii.redactions(docs, pii.fit(docs)).collect():
+        found = [(m.start(), pii.SECRET, m.end()) for m in re.finditer("[0-9a-f]{40}", texts[x["doc_id"]])]
+        assert [(s["start"], s["rank"], s["end"]) for s in x["added"]] == found, x["text"]
+
+
+def test_boosted_by_weights_and_in_several_tasks(spark):
+    """Weights stand for repeated rows, the number of tasks doesn't count, and splits see every row."""
+    r = np.random.default_rng(3)
+    x = r.integers(0, 4, (400, pii.N_FEATURES)).astype(float)
+    rows = spark.createDataFrame([(float(a[0] + a[3] > 3), a.tolist(), int(n)) for a, n in zip(x, r.integers(1, 5, 400))], "label double, f array<double>, n long")
+    repeated = rows.select("label", "f", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("label", "f")
+    fits = [pii.boosted(rows), pii.boosted(repeated), pii.boosted(rows, 50)]
+    scores = rows.select("f", *[pii.Scorer(pii.printed(m), {}).probability(F.col("f")).alias(f"p{k}") for k, m in enumerate(fits)]).collect()
+    for s in scores:
+        assert math.isclose(s["p0"], s["p1"], abs_tol=1e-9) and math.isclose(s["p0"], s["p2"], abs_tol=1e-9)
+    many = spark.range(12_000).select((F.col("id") % 2).cast("double").alias("label"), F.transform(F.sequence(F.lit(1), F.lit(pii.N_FEATURES)), lambda k: (F.col("id") % (k * 7)).cast("double")).alias("f"))
+    assert pii.boosted(many).getMaxBins() ** 2 >= 12_000
+
+
 def test_scorer_is_the_fitted_model(spark):
     from pyspark.ml.feature import VectorAssembler
 

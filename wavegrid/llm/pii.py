@@ -8,13 +8,14 @@ trying a long run again from each of its characters. Places come from the length
 two separators between them, and every run of 16 or more letters, digits and ``+/_-`` with both letters and digits, a
 possible secret (a kind without a base pattern); candidates may overlap base spans and each other.
 
-*Boosting.* Trees are fitted on the candidates of about ``SAMPLE_DOCS`` documents of least hash with features of their
-format and, but for secrets, of the characters around them. No table marks personal data, so targets are what another
+*Boosting.* Trees are fitted on the candidates of all documents with features of their format and, but for secrets, of
+the characters around them. Candidates with the same features and target are one row with their number as its weight. No table marks personal data, so targets are what another
 view says: of a secret, whether it is assigned (stands in quotes after ``=`` or ``:``), which its features don't tell;
 of the other kinds, whether the strict pattern and its check accept the same span or a word for the kind names it. The
 checks themselves (Luhn, parts up to 255) are no features. So a secret is found by its format where nothing names it.
 For each kind the threshold is the lowest of ``THRESHOLDS`` that keeps a precision of ``PRECISION``
-(``NAMED_SHARE`` for secrets) on held-out documents; where none does, or where there is nothing to learn from, the kind adds nothing. The fitted
+(``NAMED_SHARE`` for secrets) over the candidates of all documents, each scored by trees fitted on the other two of
+``FOLDS`` parts of the documents; where none does, or where there is nothing to learn from, the kind adds nothing. The fitted
 trees become one SQL expression, so scoring is a projection: no shuffle, no Python.
 
 Defined results: a null or empty text has no spans; base spans are always kept; a candidate that overlaps a base
@@ -23,6 +24,7 @@ span of its kind isn't added; rows with a null doc_id are left out; a doc_id wit
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.ml.classification import GBTClassifier
@@ -35,7 +37,10 @@ from . import common as C
 KINDS = ("email", "ip", "card", "phone")
 #: A kind without a base pattern, which only the trees can add.
 ALL_KINDS, SECRET = (*KINDS, "secret"), 4
-SAMPLE_DOCS = 5000
+#: Parts of the documents whose candidates are scored by trees of the others, for the thresholds.
+FOLDS = 3
+#: Rows of different features or targets that one task takes in a fit.
+TASK_ROWS = 50_000
 #: Share of what a threshold accepts that must be labelled; of secrets less, as one that nothing names is not a mistake.
 PRECISION, NAMED_SHARE = 0.98, 0.5
 THRESHOLDS = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99)
@@ -183,32 +188,51 @@ class Scorer:
         return self.probability(c["f"]) >= limit
 
 
-def boosted(rows: DataFrame):
-    """Trees fitted on (label, f); sorted in one partition (at most the sample's candidates), so alike for any layout."""
-    named = rows.select("label", *[F.get("f", F.lit(k)).alias(f"f{k}") for k in range(N_FEATURES)])
-    named = named.repartition(1).sortWithinPartitions(*named.columns)
+def boosted(rows: DataFrame, task_rows: int = TASK_ROWS):
+    """Trees fitted on (label, f), each weighing ``n`` if there is such a column.
+
+    Rows are dealt by their content and sorted in each task, so up to ``task_rows`` of them fit alike for any layout;
+    beyond that only the order in which tasks' sums are added may differ. Splits are searched for among all rows: the
+    library would take a sample beyond the square of ``maxBins``.
+    """
+    weight = F.col("n").cast("double") if "n" in rows.columns else F.lit(1.0)
+    named = rows.select("label", *[F.get("f", F.lit(k)).alias(f"f{k}") for k in range(N_FEATURES)], weight.alias("n"))
+    count = named.count()
+    named = named.repartition(max(1, -(-count // task_rows)), *named.columns).sortWithinPartitions(*named.columns)
     vectors = VectorAssembler(inputCols=[f"f{k}" for k in range(N_FEATURES)], outputCol="features").transform(named)
-    return GBTClassifier(maxIter=8, maxDepth=3, stepSize=0.3, seed=5, labelCol="label", featuresCol="features").fit(vectors)
+    bins = max(32, math.isqrt(count) + 1)
+    return GBTClassifier(maxIter=8, maxDepth=3, stepSize=0.3, seed=5, maxBins=bins, labelCol="label", featuresCol="features", weightCol="n").fit(vectors)
 
 
 def printed(model) -> list[tuple[float, list[str]]]:
     return [(w, t.toDebugString.strip().split("\n")[1:]) for w, t in zip(model.treeWeights, model.trees)]
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Scorer:
+def learned(rows: DataFrame) -> Scorer:
+    """Trees of weighted rows, without thresholds; none where the rows have one target only."""
+    rows = rows.groupBy("label", "f").agg(F.sum("n").alias("n"))
+    if rows.select("label").distinct().count() < 2:
+        return Scorer([], {})
+    return Scorer(printed(boosted(rows)), {})
+
+
+def fit(docs: DataFrame) -> Scorer:
     texts = C.documents(docs)
-    own = texts.where(F.pmod(F.xxhash64("doc_id", F.lit("pii")), F.lit(max(1, texts.count()))) < sample_docs)
-    rows = own.select("doc_id", base_spans(F.col("text")).alias("base"), F.explode_outer(candidates(F.col("text"))).alias("c")).where("c IS NOT NULL")
+    rows = texts.select("doc_id", base_spans(F.col("text")).alias("base"), F.explode_outer(candidates(F.col("text"))).alias("c")).where("c IS NOT NULL")
     same = F.exists("base", lambda b: (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end")) & (b["rank"] == F.col("c.rank")))
     label = F.when(F.col("c.rank") == SECRET, F.col("c.assigned")).otherwise(same | F.col("c.named"))
-    rows = rows.select(label.cast("double").alias("label"), F.col("c.rank").alias("rank"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold"), "c.f")
-    rows = C.work_table(rows, "candidates")
-    n, positive = rows.where("fold > 0").agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    if not 0 < positive < n:
-        return Scorer([], {})
-    scorer = Scorer(printed(boosted(rows.where("fold > 0"))), {})
-    held = rows.where("fold = 0").select("label", "rank", scorer.probability(F.col("f")).alias("p"))
-    counts = [F.sum(F.when(F.col("p") >= t, x)).alias(f"{name}{k}") for k, t in enumerate(THRESHOLDS) for name, x in (("n", F.lit(1.0)), ("y", F.col("label")))]
+    rows = rows.select(label.cast("double").alias("label"), F.col("c.rank").alias("rank"), F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold"), "c.f")
+    rows = C.work_table(rows.groupBy("label", "rank", "fold", "f").agg(F.count("*").alias("n")), "candidates")
+    scorer = learned(rows)
+    if not scorer.trees:
+        return scorer
+    p = F.lit(None).cast("double")
+    for fold in range(FOLDS):
+        others = learned(rows.where(F.col("fold") != fold))
+        if others.trees:
+            p = F.when(F.col("fold") == fold, others.probability(F.col("f"))).otherwise(p)
+    held = rows.select("label", "rank", "n", p.alias("p"))
+    counts = [F.sum(F.when(F.col("p") >= t, x * F.col("n"))).alias(f"{name}{k}") for k, t in enumerate(THRESHOLDS) for name, x in (("n", F.lit(1.0)), ("y", F.col("label")))]
     for r in held.groupBy("rank").agg(*counts).collect():  # a row for each kind
         good = [t for k, t in enumerate(THRESHOLDS) if r[f"n{k}"] and r[f"y{k}"] >= (NAMED_SHARE if r["rank"] == SECRET else PRECISION) * r[f"n{k}"]]
         scorer.thresholds[r["rank"]] = min(good, default=2.0)
