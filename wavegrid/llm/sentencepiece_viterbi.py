@@ -4,10 +4,12 @@ Of the model file only the vocabulary and its scores are read, by the library th
 model is a BPE model: its scores are merge ranks, and ids are right only if neighbours are merged in that order.
 ``merge_words``, which the operator uses, does so and gives the library's ids.
 
-Words of equal length advance together: for each piece length, rolling hashes of all substrings at all positions
-probe the sorted keys of the pieces of that length (hits are compared character by character). Then each step
-merges, in every word at once, the neighbours that make the piece of the greatest score, of equal ones the
-leftmost, until no two neighbours make a piece. A character that no piece covers is written as its UTF-8 bytes.
+Words of equal length advance together, a word in each column: for each piece length, rolling hashes of all
+substrings at all positions probe a hash table of the pieces of that length (hits are compared character by
+character). Then each step merges, in every word at once, the neighbours that make the piece of the greatest score,
+of equal ones the leftmost, until no two neighbours make a piece: a pair is one number, the rank of its score before
+its place, so the least of a column is the pair to merge. A character that no piece covers is written as its UTF-8
+bytes.
 
 ``encode_words`` is the Viterbi search for a unigram model's scores: the segmentation of the greatest sum, where an
 uncovered character counts ``UNKNOWN_PENALTY`` under the lowest score. With a BPE model its ids are not the library's.
@@ -40,6 +42,8 @@ UNKNOWN_PENALTY = 10.0
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Words of one length that advance together, and characters from which a word is searched alone.
 GROUP, LONG = 20_000, 2_000
+#: Above all ranks of scores.
+NO_PAIR = 1 << 32
 #: Words that a worker remembers; it lives on when the stage is over, so they count in later stages' memory, too.
 CACHED_WORDS = 400_000
 
@@ -48,6 +52,36 @@ def codes(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+class HashTable:
+    """Pieces of one length by their hashes: a slot for each, or the next free one after it, in eight times the room."""
+
+    def __init__(self, key: np.ndarray, ids: np.ndarray, text: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.ids, self.text = key[order], ids[order], np.ascontiguousarray(text[order].T)
+        bits = (8 * len(key)).bit_length()
+        self.shift = np.uint64(64 - bits)
+        number = np.arange(len(key))
+        slot = np.maximum.accumulate((self.key >> self.shift).astype(np.int64) - number) + number
+        self.held = np.full((1 << bits) + len(key) + 1, -1, np.int32)
+        self.held[slot] = number
+
+    def found(self, h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts (rows), words (columns) and ids of the pieces among the substrings of ``text`` with the hashes ``h``."""
+        slot = (h >> self.shift).astype(np.int64)
+        start, word = np.nonzero(self.held[slot] >= 0)  # most are at an end here
+        h, slot = h[start, word], slot[start, word]
+        k = self.held[slot]
+        other = np.flatnonzero(self.key[k] != h)
+        while len(other):
+            slot[other] += 1
+            k[other] = self.held[slot[other]]
+            other = other[(k[other] >= 0) & (self.key[k[other]] != h[other])]
+        same = k >= 0
+        for j, own in enumerate(self.text):
+            same &= text[start + j, word] == own[k]
+        return start[same], word[same], self.ids[k[same]]
+
+
 class Pieces:
     """A vocabulary: pieces with scores by length, and byte pieces."""
 
@@ -56,14 +90,20 @@ class Pieces:
         self.unknown = min((s for _, _, s in pieces if s > -1e8), default=0.0) - UNKNOWN_PENALTY
         self.longest = max((len(p) for _, p, _ in pieces), default=1)
         self.table = {p: (s, i) for i, p, s in pieces}
+        # by id; the last entry is what the id -1 stands for, no piece
+        self.score, self.rank = np.full(size + 1, -np.inf), np.full(size + 1, NO_PAIR)
+        for i, _, s in pieces:
+            self.score[i] = s
+        own = np.array([i for i, _, _ in pieces], np.int64)
+        self.rank[own] = np.unique(-self.score[own], return_inverse=True)[1]
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in range(1, self.longest + 1):
-            own = [(i, p, s) for i, p, s in pieces if len(p) == n]
-            if own:
-                text = codes([p for _, p, _ in own]).reshape(-1, n)
-                key = self.hashed(text, n)[:, 0]
-                order = np.argsort(key)
-                self.by_length[n] = (key[order], np.array([i for i, _, _ in own])[order], np.array([s for _, _, s in own])[order], text[order])
+            some = [(i, p) for i, p, _ in pieces if len(p) == n]
+            if some:
+                text, ids = codes([p for _, p in some]).reshape(-1, n), np.array([i for i, _ in some], np.int32)
+                key = next(h for m, h in self.hashed(text.T) if m == n)[0]
+                self.by_length[n] = key, ids, self.score[ids], text
+        self.hash_tables = {n: HashTable(key, ids, text) for n, (key, ids, _, text) in self.by_length.items()}
         table = [b""] * size
         for i, p, _ in pieces:
             table[i] = p.replace(SPACE, " ").encode()
@@ -83,82 +123,71 @@ class Pieces:
         normal = [(i, sp.id_to_piece(i), sp.get_score(i)) for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         return cls(normal, byte_ids, len(ids))
 
-    @staticmethod
-    def hashed(text: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of the length-n substrings at each start of each row."""
-        width = text.shape[1] - n + 1
-        h = np.zeros((len(text), width), np.uint64)
-        for j in range(n):
-            h = h * C.POLY + text[:, j : j + width]
-        return C.mix(h)
-
-    def probed(self, text: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each length: the score and id of the piece at each start of each row; -inf and -1 where there is none."""
+    def hashed(self, text: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each length: hashes of the substrings at each start (row) of each word (column)."""
         h = np.zeros(text.shape, np.uint64)
-        for n in range(1, min(self.longest, text.shape[1]) + 1):
-            width = text.shape[1] - n + 1
-            h = h[:, :width] * C.POLY + text[:, n - 1 :]
-            if n not in self.by_length:
-                continue
-            keys, ids, scores, own = self.by_length[n]
-            x = C.mix(h)
-            at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-            hit = keys[at] == x
-            row, col = np.nonzero(hit)
-            same = np.ones(len(row), bool)
-            for j in range(n):
-                same &= text[row, col + j] == own[at[row, col], j]
-            hit[row, col] = same
-            yield n, np.where(hit, scores[at], -np.inf), np.where(hit, ids[at], -1)
-
-    def all_probed(self, text: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """The lengths probed, and score and id of the piece by row, length and start; -inf and -1 where there is none."""
-        count, length = text.shape
-        lengths = []
-        score = np.full((count, self.longest + 1, length), -np.inf)
-        piece = np.full((count, self.longest + 1, length), -1, np.int32)
-        for n, s, i in self.probed(text):
-            score[:, n, : s.shape[1]], piece[:, n, : s.shape[1]] = s, i
+        for n in range(1, min(self.longest, len(text)) + 1):
+            h = h[: len(text) - n + 1] * C.POLY + text[n - 1 :]
+            yield n, C.mix(h)
+
+    def probed(self, text: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length: starts, words and ids of the pieces found, where ``text`` has a word in each column."""
+        for n, h in self.hashed(text):
+            if n in self.hash_tables:
+                yield n, *self.hash_tables[n].found(h, text)
+
+    def all_probed(self, text: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """The lengths probed, and the id of the piece by length, start and word; -1 where there is none."""
+        lengths, piece = [], np.full((self.longest + 1, *text.shape), -1, np.int32)
+        for n, start, word, i in self.probed(text):
+            piece[n, start, word] = i
             lengths.append(n)
-        return lengths, score, piece
+        return lengths, piece
 
     def merge(self, text: np.ndarray) -> list[np.ndarray]:
         """Ids of each row of ``text`` by merges in the order of their scores, of equal ones the leftmost first."""
-        count, length = text.shape
-        _, score, piece = self.all_probed(text)
-        size = np.ones((count, length + 1), np.int64)  # of the symbol that starts here; the last place is no symbol
-        size[:, length] = self.longest + 1
-        before = np.tile(np.arange(-1, length), (count, 1))  # where the symbol before the one that starts here starts
-        pair = np.full((count, length), -np.inf)  # score of what the symbol that starts here makes with the next one
-        if length > 1:
-            pair[:, :-1] = score[:, 2, :-1] if self.longest > 1 else -np.inf
+        text = np.ascontiguousarray(text.T)
+        length, count = text.shape
+        _, piece = self.all_probed(text)
+        size = np.ones((length + 1, count), np.int64)  # of the symbol that starts here; the last place is no symbol
+        size[length] = self.longest + 1
+        before = np.repeat(np.arange(-1, length)[:, None], count, 1)  # where the symbol before the one that starts here starts
+        bits = length.bit_length()
+        last = self.longest  # a made symbol of more characters is none: row 0 of ``piece`` has no ids
+
+        def made(n: np.ndarray, at: np.ndarray, r: np.ndarray) -> np.ndarray:
+            """What the two symbols that start at ``at`` and have n characters are worth, and their place."""
+            return (self.rank[piece[np.where(n <= last, n, 0), at, r]] << bits) | at
+
+        # of the symbol that starts here and the next one
+        pair = np.full((length, count), NO_PAIR << bits)
+        if length > 1 and last > 1:
+            pair[:-1] = (self.rank[piece[2, :-1]] << bits) | np.arange(length - 1)[:, None]
         rows = np.arange(count)
-
-        def made(r: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-            return np.where(n <= self.longest, score[r, np.minimum(n, self.longest), at], -np.inf)
-
-        while len(rows):
-            at = pair.argmax(1)
-            go = pair[np.arange(len(rows)), at] > -np.inf
-            if not go.all():
-                rows, pair, at = rows[go], pair[go], at[go]
-                if not len(rows):
-                    break
-            own = np.arange(len(rows))
-            gone = at + size[rows, at]
-            n = size[rows, at] + size[rows, gone]
-            size[rows, at], size[rows, gone] = n, 0
-            pair[own, gone] = -np.inf
+        while True:
+            best = pair.min(0)
+            own = np.flatnonzero(best < NO_PAIR << bits)
+            if not len(own):
+                break
+            at = best[own] & ((1 << bits) - 1)
+            if 4 * len(own) < 3 * len(rows):
+                rows, pair, own = rows[own], pair[:, own], np.arange(len(own))
+            r = rows[own]
+            gone = at + size[at, r]
+            n = gone - at + size[gone, r]
+            size[at, r], size[gone, r] = n, 0
+            pair[gone, own] = NO_PAIR << bits
             after = at + n
-            before[rows, after] = at
-            pair[own, at] = made(rows, at, n + size[rows, after])
+            before[after, r] = at
+            pair[at, own] = made(n + size[after, r], at, r)
             has = at > 0
-            r, left = rows[has], before[rows[has], at[has]]
-            pair[own[has], left] = made(r, left, size[r, left] + n[has])
-        row, start = np.nonzero(size[:, :length])
-        ids = piece[row, size[row, start], start]
-        cuts = np.searchsorted(row, np.arange(1, count))
-        return [self.spelt(i, s, t) if (i == -1).any() else i for i, s, t in zip(np.split(ids, cuts), np.split(start, cuts), text)]
+            r, n, own = r[has], n[has], own[has]
+            left = before[at[has], r]
+            pair[left, own] = made(size[left, r] + n, left, r)
+        row, start = np.nonzero(size[:length].T)
+        ids, n = self.spelt(piece[size[start, row], start, row], text[start, row])
+        ends = np.cumsum(np.bincount(row, weights=n, minlength=count).astype(np.int64)).tolist()
+        return [ids[a:z] for a, z in zip([0, *ends], ends)]
 
     def merge_long(self, text: np.ndarray) -> np.ndarray:
         """The same merges in one long word, taken from a heap."""
@@ -185,12 +214,14 @@ class Pieces:
                 offer(before[at])
         start = [at for at in range(length) if size[at]]
         ids = [self.table.get(word[at : at + size[at]], (0.0, -1))[1] for at in start]
-        return self.spelt(np.array(ids), np.array(start), text)
+        return self.spelt(np.array(ids), text[start])[0]
 
     def search(self, text: np.ndarray) -> list[np.ndarray]:
         """Ids of each row of ``text``; -1 for a character to be written as bytes."""
         count, length = text.shape
-        probed, score, piece = self.all_probed(text)
+        probed, piece = self.all_probed(text.T)
+        piece = piece.transpose(2, 0, 1)
+        score = self.score[piece]
         score[:, 1] = np.where(np.isneginf(score[:, 1]), self.unknown, score[:, 1])
         best = np.full((count, length + 1), -np.inf)
         best[:, 0] = 0
@@ -211,20 +242,20 @@ class Pieces:
             steps.append(np.where(n > 0, piece[rows, n, np.minimum(at, length - 1)], -2))
             starts.append(at)
         ids, start = np.stack(steps[::-1], 1), np.stack(starts[::-1], 1)
-        return [self.spelt(i[i != -2], s[i != -2], t) if (i == -1).any() else i[i != -2] for i, s, t in zip(ids, start, text)]
+        return [self.spelt(i[i != -2], t[s[i != -2]])[0] for i, s, t in zip(ids, start, text)]
 
     def search_long(self, text: np.ndarray) -> np.ndarray:
         """The same search over one long word, in blocks of positions and with plain lists."""
         length = len(text)
         best, back, ids = [0.0] + [-np.inf] * length, [1] * (length + 1), [-1] * (length + 1)
         for s in range(0, length, LONG):
-            part = text[s : s + LONG + self.longest - 1][None]
-            rows = {n: (sc[0, :LONG].tolist(), i[0, :LONG].tolist()) for n, sc, i in self.probed(part)}
+            part = text[s : s + LONG + self.longest - 1][:, None]
+            piece = self.all_probed(part)[1][:, :LONG, 0]
+            scores, pieces = self.score[piece].tolist(), piece.tolist()
             for k in range(min(LONG, length - s)):
                 here = best[s + k]
                 for n in range(1, min(self.longest, length - s - k) + 1):
-                    sc, i = rows[n] if n in rows else ((), ())
-                    v, p = (sc[k], i[k]) if k < len(sc) else (-np.inf, -1)
+                    v, p = scores[n][k], pieces[n][k]
                     if n == 1 and p < 0:
                         v = self.unknown
                     end = s + k + n
@@ -236,17 +267,22 @@ class Pieces:
             out.append(ids[at])
             at -= back[at]
             starts.append(at)
-        return self.spelt(np.array(out[::-1]), np.array(starts[::-1]), text)
-
-    def spelt(self, ids: np.ndarray, start: np.ndarray, text: np.ndarray) -> np.ndarray:
-        out: list[int] = []
-        for i, s in zip(ids.tolist(), start.tolist()):
-            if i >= 0:
-                out.append(i)
-            else:
-                c = chr(int(text[s]))
-                out.extend(self.byte_ids[b] for b in (SPACE if c == LITERAL else c).encode())
-        return np.array(out, np.int64)
+        return self.spelt(np.array(out[::-1]), text[starts[::-1]])[0]
+
+    def spelt(self, ids: np.ndarray, characters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids, where each -1 gives way to the bytes of its character, and how many stand for each."""
+        n = np.ones(len(ids), np.int64)
+        at = np.flatnonzero(ids == -1)
+        if not len(at):
+            return ids, n
+        kinds, kind = np.unique(characters[at], return_inverse=True)
+        spelt = [(SPACE if chr(c) == LITERAL else chr(c)).encode() for c in kinds.tolist()]
+        length = np.array([len(b) for b in spelt])
+        flat = self.byte_ids[np.frombuffer(b"".join(spelt), np.uint8)]
+        n[at] = length[kind]
+        out = np.repeat(ids, n)
+        out[C.gathered((np.cumsum(n) - n)[at], n[at])] = flat[C.gathered((np.cumsum(length) - length)[kind], n[at])]
+        return out, n
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words by the greatest sum of scores, and how many each has."""
