@@ -278,6 +278,24 @@ def test_quality_rules(spark, kind):
         assert r["kept"] == (not e[6] and e[7] is not None and r["score"] >= quality_rules.MARGIN)
 
 
+def test_words_are_scored_by_compiled_steps(spark):
+    """No step is interpreted for each word's weights: the rows of words are made, weighed and summed up in compiled code."""
+    docs = plain.read(spark, "documents")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan is not final before it has run
+    try:
+        got = quality_rules.scored(docs, [0.5] * 64)
+        lines = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    made = [x for x in lines if re.search(r"Generate |HashAggregate", x)]
+    assert len(made) == 3 and all(re.search(r"\*\(\d+\) ", x) for x in made)
+    again = {d: sum(a == b for a, b in zip(w, w[1:])) for d, w in ((d, plain.WORD.findall(t)) for d, t in plain.texts(docs))}
+    for r in got.collect():
+        expected = 0.5 + again[r["doc_id"]] / (6 * r["n_words"]) if r["n_words"] else None
+        assert r["score"] == (expected and pytest.approx(expected))
+
+
 def of_two_vocabularies(spark):
     """Texts of one shape; those of odd numbers, which are labelled bad, have other words."""
     r, good, bad = np.random.default_rng(2), ["river", "stone", "cloud", "field", "light"], ["casin", "lotto", "cheap", "prize", "bonus"]

@@ -8,9 +8,12 @@ where ``SMOOTHING`` occurrences at the corpus's rate are added, so that a rare w
 score is the sum of its n-grams' weights over three times its words, so length doesn't matter. A document is kept if no base rule fails it and
 its score is at least ``MARGIN``.
 
-Counting is a map-side combined aggregation to at most a row for each bin; those few numbers, a fixed amount at any
-size of the corpus, come to the driver and go out as one constant array, so scoring is a projection without a
-shuffle. Counts cover every document; every document gets a verdict from the same threshold.
+Counting and scoring make a row of each word, with its hashes and those of the word before: the arithmetic of n-grams
+on such rows is code that Spark compiles, on arrays each of its steps would be interpreted for each word. Counting is
+a map-side combined aggregation to at most a row for each bin; those few numbers, a fixed amount at any size of the
+corpus, come to the driver and go out as one constant array. Scoring sums up each document's words in the task that
+reads it, so one row for each document is shuffled. Counts cover every document; every document gets a verdict from
+the same threshold.
 
 Defined results: a null text has no words, is failed by the base rules (under 10 words) and has a null score; a
 trusted set without texts gives weights from smoothing alone; rows with a null doc_id are left out; a doc_id
@@ -41,12 +44,12 @@ def repeat_words(h: Column, k: int = 5) -> Column:
     """Of an array of word hashes: words that lie in a k-word window found twice or more in the text."""
 
     def marked(windows: Column) -> Column:
-        pairs = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+        pairs = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
 
         def twice(sorted_: Column) -> Column:
             n = F.size(sorted_)
             same = lambda x, i: ((i > 0) & (F.get(sorted_, i - 1)["w"] == x["w"])) | ((i < n - 1) & (F.get(sorted_, i + 1)["w"] == x["w"]))
-            return F.array_sort(F.transform(F.filter(sorted_, lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["i"]))
+            return F.sort_array(F.transform(F.filter(sorted_, lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["i"]))
 
         covered = lambda at: F.aggregate(
             at,
@@ -100,6 +103,15 @@ def before(values: Column) -> Column:
     return F.concat(F.array(F.lit(0).cast("long")), F.transform(F.slice(values, F.lit(1), F.greatest(F.size(values) - 1, F.lit(0))), lambda x: F.shiftleft(x, 1)))
 
 
+def by_word(df: DataFrame) -> DataFrame:
+    """A row for each word instead of the arrays ``h`` and ``s``: the word's h and s, and ``hb`` and ``sb`` as ``before``
+    gives them. A document without words has one row of nulls."""
+    late = lambda c: F.concat(F.array(F.lit(0).cast("long")), F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))).alias(c + "b")
+    # the outer form, as Spark would put all of this into a filter before the other, too
+    rows = df.select(*(c for c in df.columns if c not in ("h", "s")), F.inline_outer(F.arrays_zip("h", late("h"), "s", late("s"))))
+    return rows.withColumns({c: F.shiftleft(c, 1) for c in ("hb", "sb")})
+
+
 def word_bins(x: Column, b: Column, mask: int) -> list[Column]:
     """Bins of a word and of its pair, from its hash and what ``before`` gives. All hashes are uniform, so exclusive-or
     mixes them well enough."""
@@ -131,9 +143,7 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list
     target = C.saved(trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct().withColumn("target", F.lit(1)))
     target = F.broadcast(target) if target.count() <= BROADCAST_IDS else target
     df = C.documents(docs).join(target, "doc_id", "left")
-    # a row for each word, with hashes and those before: the rest is plain arithmetic on columns, which Spark compiles
-    df = df.select("target", C.word_hashes(F.col("text")).alias("h"), shapes(F.col("text")).alias("s"))
-    df = df.select("target", F.inline_outer(F.arrays_zip("h", before(F.col("h")).alias("hb"), "s", before(F.col("s")).alias("sb")))).where("h IS NOT NULL")  # the outer form, as Spark would put all of this into a filter before the other, too
+    df = by_word(df.select("target", C.word_hashes(F.col("text")).alias("h"), shapes(F.col("text")).alias("s"))).where("h IS NOT NULL")
     mask, again = buckets - 1, F.when(same(F.col("h"), F.col("hb")), F.lit(SAME & (buckets - 1)))
     df = df.select("target", F.explode(F.array(*word_bins(F.col("h"), F.col("hb"), mask), shape_bin(F.col("s"), F.col("sb"), mask), again)).alias("bin"))
     got = df.where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"), F.count("target").alias("t")).toArrow()  # at most ``buckets`` rows
@@ -147,20 +157,16 @@ def scored(docs: DataFrame, table: list[float], margin: float = MARGIN) -> DataF
     """The base statistics, score and verdict of every document."""
     constant = F.from_json(F.lit(json.dumps(table)), "array<double>")  # folded to one constant by the optimizer
     mask = len(table) - 1
-    again = table[SAME & mask]
-    sum_ = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-
-    def of_words(x: Column, b: Column) -> Column:
-        one, pair = (constant[i] for i in word_bins(x, b, mask))
-        return one + pair + F.when(same(x, b), F.lit(again)).otherwise(F.lit(0.0))
-
-    def total(h: Column, s: Column) -> Column:
-        hb = before(h)
-        words = sum_(F.zip_with(h, hb, of_words)) + sum_(F.zip_with(s, before(s), lambda x, b: constant[shape_bin(x, b, mask)]))
-        return words / (3 * F.size(h))
-
-    df = base_rules(docs).withColumn("score", F.when(F.col("n_words") > 0, C.let(shapes(F.col("text")), lambda s: total(F.col("h"), s))))
-    return df.drop("text", "h").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= margin, F.lit(False)))
+    x, b = F.col("h"), F.col("hb")
+    word, pair, shape = (constant[i] for i in (*word_bins(x, b, mask), shape_bin(F.col("s"), F.col("sb"), mask)))
+    weight = word + pair + shape + F.when(same(x, b), F.lit(table[SAME & mask])).otherwise(F.lit(0.0))
+    df = base_rules(docs)
+    of_text = [c for c in df.columns if c not in ("text", "h")]
+    # ids tell rows of one doc_id apart
+    df = by_word(df.select(F.monotonically_increasing_id().alias("row"), *of_text, "h", shapes(F.col("text")).alias("s")))
+    df = df.groupBy("row", *of_text).agg(F.sum(weight).alias("score")).drop("row")
+    df = df.withColumn("score", F.col("score") / (3 * F.col("n_words")))
+    return df.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= margin, F.lit(False)))
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
